@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ["mixing", "exact_dedup", "simhash", "packing"]
+NAMES = ["mixing", "language_id", "exact_dedup", "simhash", "packing"]
 
 
 def modules() -> list:

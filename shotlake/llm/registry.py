@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ["mixing", "language_id", "exact_dedup", "simhash", "packing"]
+NAMES = ["mixing", "warc", "language_id", "pii", "exact_dedup", "simhash", "packing"]
 
 
 def modules() -> list:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ["mixing", "warc", "language_id", "ann", "pii", "exact_dedup", "simhash", "packing"]
+NAMES = ["mixing", "warc", "language_id", "ann", "pii", "lm", "exact_dedup", "simhash", "packing"]
 
 
 def modules() -> list:

@@ -26,8 +26,9 @@ from shotlake.llm.common import crc_of_id, keep, table
 NGRAM = 4
 #: Positions of the filter (a power of two), hashes per n-gram, and languages per plane of 64-bit masks.
 POSITIONS, HASHES, PLANE = 1 << 20, 4, 60
-#: An n-gram is dropped from languages where its share is below this part of its largest share; and below so many uses.
-RARER, LEAST = 0.1, 3
+#: An n-gram is dropped from languages where its share is below this part of its largest share, or below LEAST: so a
+#: language holds at most 1 / LEAST n-grams.
+RARER, LEAST = 0.1, 2e-8
 UNKNOWN = "und"
 #: A task forgets the words it knows beyond so many; so many n-grams are counted before they are handed on.
 KEPT_WORDS, HELD_WORDS = 1_000_000, 400_000
@@ -118,7 +119,7 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", n: int = NGRAM, size: int = POSITIONS, hashes: int = HASHES, rarer: float = RARER, least: int = LEAST) -> Model:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", n: int = NGRAM, size: int = POSITIONS, hashes: int = HASHES, rarer: float = RARER, least: float = LEAST) -> Model:
     """Learn the filter from all rows of docs with a text and a language. What reaches the driver has at most `size` rows a plane."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,7 +147,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", n: int = NGRA
     index = grams.sparkSession.createDataFrame([(x, i) for i, x in enumerate(names)] or [("", 0)], "lang string, bit int")
     totals = grams.groupBy("lang").agg(F.sum("n").alias("total"))
     share = F.col("n") / F.col("total")
-    kept = grams.join(totals, "lang").join(index, "lang").filter(F.col("n") >= least).withColumn("_most", F.max(share).over(W.partitionBy("code"))).filter(share >= F.col("_most") * rarer)
+    kept = grams.join(totals, "lang").join(index, "lang").filter(share >= least).withColumn("_most", F.max(share).over(W.partitionBy("code"))).filter(share >= F.col("_most") * rarer)
     masks = kept.groupBy("code", F.floor(F.col("bit") / PLANE).cast("int").alias("plane")).agg(F.bit_or(F.expr(f"shiftleft(1L, bit % {PLANE})")).alias("mask"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,8 +2,10 @@
 
 from importlib import import_module
 
-NAMES = ["mixing", "warc", "language_id", "ann", "pii", "lm", "exact_dedup", "simhash", "packing"]
+NAMES = ["mixing", "warc", "language_id", "ann", "pii", "substrings", "lm", "exact_dedup", "simhash", "packing"]
 
 
 def modules() -> list:
-    return [import_module(f"shotlake.llm.{n}") for n in NAMES]
+    import corpus_pipeline
+
+    return [*(import_module(f"shotlake.llm.{n}") for n in NAMES), corpus_pipeline]

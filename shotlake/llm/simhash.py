@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotlake.llm.common import attach, components, keep, table
+from shotlake.llm.common import attach, components, keep, table, text_or_empty
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -46,15 +46,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE_WORDS, seed: int = 42)
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp) for each row; fp holds the 64 bits as a signed long."""
+    """(doc_id, text_hash, fp) for each row; fp holds the 64 bits as a signed long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(t, shingle) for t in b["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "fp": fp})
 
-    rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "doc_id string, fp long").withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))
+    rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("text_hash"), F.col(text).alias("text"))
+    return rows.mapInPandas(run, "doc_id string, text_hash long, fp long").withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))
 
 
 def _syndrome(coded: Column) -> Column:
@@ -168,21 +168,28 @@ def links(prints: DataFrame, most: int = MAX_BITS) -> DataFrame:
     return keep(edges, "sh-links")
 
 
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS, most: int = MAX_BITS) -> DataFrame:
+    """One row per document: doc_id, text_hash, fp, and first (none, id, text_hash): the row of its component with the smallest id, null ids last."""
+    rows = keep(fingerprints(docs, doc_id, text, shingle), "sh-prints")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "text_hash")
+    prints = keep(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min(first).alias("first")), "sh-distinct")
+    # ids in random order keep the rounds few
+    edges = keep(links(prints.select("fp"), most).select(F.xxhash64("u").alias("u"), F.xxhash64("v").alias("v")), "sh-edges")
+    roots = components(edges)
+    placed = keep(prints.withColumn("node", F.xxhash64("fp")).join(roots, "node", "left").select("fp", "n", "first", F.coalesce("root", "node").alias("root")), "sh-placed")
+    groups = keep(placed.groupBy("root").agg(F.count("*").alias("n"), F.min("first").alias("least")), "sh-groups")
+    named = keep(attach(placed, groups, ["root"], ["fp"]).select("fp", "n", F.col("least").alias("first")), "sh-named")
+    return attach(rows, named, ["fp"], ["doc_id", "text_hash"])
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS, most: int = MAX_BITS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest id that links reach).
 
     Null and empty texts have fingerprint 0 and link like others; repeated rows stay repeated; a component of null ids
     only has a null id. Long texts are read whole, in chunks of shingles. An empty table gives an empty result.
     """
-    rows = keep(fingerprints(docs, doc_id, text, shingle), "sh-prints")
-    prints = keep(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")), "sh-distinct")
-    # ids in random order keep the rounds few
-    edges = keep(links(prints.select("fp"), most).select(F.xxhash64("u").alias("u"), F.xxhash64("v").alias("v")), "sh-edges")
-    roots = components(edges)
-    placed = keep(prints.withColumn("node", F.xxhash64("fp")).join(roots, "node", "left").select("fp", "n", "first", F.coalesce("root", "node").alias("root")), "sh-placed")
-    groups = keep(placed.groupBy("root").agg(F.count("*").alias("n"), F.min("first").alias("component_id")), "sh-groups")
-    named = keep(attach(placed, groups, ["root"], ["fp"]).select("fp", "n", "component_id"), "sh-named")
-    return attach(rows, named, ["fp"], ["doc_id"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    groups = near_groups(docs, doc_id, text, shingle, most)
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

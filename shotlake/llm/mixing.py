@@ -65,31 +65,32 @@ def schedule(sources: DataFrame, block: int = BLOCK_WORDS, most: int = MOST_REPE
     spans = need.withColumn("to", F.ceil(F.round(upto, 6))).withColumn("from", F.coalesce(F.lag("to").over(W.orderBy("sidx")), F.lit(0).cast("long"))).filter("to > from")
     chunks = spans.select("sidx", "blocks", "from", "to", F.explode(F.sequence(F.floor(F.col("from") / CHUNK), F.floor((F.col("to") - 1) / CHUNK))).alias("c")).repartition("sidx", "c")
     slots = chunks.select("sidx", "blocks", F.explode(F.sequence(F.greatest("from", F.col("c") * CHUNK), F.least(F.col("to"), (F.col("c") + 1) * CHUNK) - 1)).alias("point"))
+    # Spark takes what a few rows explode to for a few rows: the hints keep it from broadcasting them
     # as many chunks of the schedule as there are chunks of points
     part = max(0, bits - int(math.log2(CHUNK)))
     slots = slots.select("sidx", "blocks", _bit_reversed(F.col("point").cast("long"), bits).alias("slot")).withColumn("part", F.shiftrightunsigned("slot", bits - part))
     ahead = slots.groupBy("sidx", "part").agg(F.count("*").alias("k"))
     ahead = ahead.withColumn("ahead", F.sum("k").over(W.partitionBy("sidx").orderBy("part")) - F.col("k")).drop("k")
-    ranked = slots.withColumn("_r", F.row_number().over(W.partitionBy("sidx", "part").orderBy("slot")) - 1).join(ahead, ["sidx", "part"]).withColumn("rank", F.col("_r") + F.col("ahead"))
+    ranked = slots.withColumn("_r", F.row_number().over(W.partitionBy("sidx", "part").orderBy("slot")) - 1).hint("merge").join(ahead.hint("merge"), ["sidx", "part"]).withColumn("rank", F.col("_r") + F.col("ahead"))
     return ranked.withColumn("round", F.floor(F.col("rank") / F.col("blocks"))).filter(F.col("round") < most).select("slot", "sidx", "rank", "round", (F.col("rank") % F.col("blocks")).alias("block"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, block: int = BLOCK_WORDS, most: int = MOST_REPEATS, seed: int = 0) -> DataFrame:
-    """One row per document: doc_id, size, source, source_size, target, taken (words the mix takes, repeats counted), shares (taken / size).
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, block: int = BLOCK_WORDS, most: int = MOST_REPEATS, seed: int = 0, carry: tuple = ()) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken (words the mix takes, repeats counted), source, shares (taken / size), and the columns `carry`.
 
     A null or empty text has size 0 and nothing is taken of it; a null source is a source, the last; repeated rows are
     rows of their own; an empty table gives an empty result. Reruns agree: the shuffle is a hash of (seed, doc_id).
     """
-    sized = keep(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
+    sized = keep(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *carry), "mix-sizes")
     sources = keep(targets(sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")), weights, most), "mix-sources")
     # one row per source: Spark broadcasts it while it is small
     rows = sized.join(sources.select(F.col("source").alias("_s"), "sidx", F.col("size").alias("source_size"), "target", F.ceil(F.col("rows") / CHUNK).alias("_k")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("_p", F.floor(F.pmod(F.shiftrightunsigned("_h", 1), F.lit(1 << 40)) * F.col("_k") / (1 << 40)))
     before = rows.groupBy("sidx", "_p").agg(F.sum("size").alias("_w"))
     before = before.withColumn("_base", F.sum("_w").over(W.partitionBy("sidx").orderBy("_p")) - F.col("_w")).drop("_w")
-    order = W.partitionBy("sidx", "_p").orderBy("_h", "doc_id", "size")
+    order = W.partitionBy("sidx", "_p").orderBy("_h", "doc_id", "size", *carry)
     laid = rows.withColumn("_n", F.row_number().over(order)).withColumn("_in", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
-    laid = keep(laid.join(before, ["sidx", "_p"]).withColumn("_at", F.col("_base") + F.col("_in")).select("doc_id", "source", "size", "sidx", "source_size", "target", "_p", "_n", "_at"), "mix-tape")
+    laid = keep(laid.hint("merge").join(before.hint("merge"), ["sidx", "_p"]).withColumn("_at", F.col("_base") + F.col("_in")).select("doc_id", "source", "size", "sidx", "source_size", "target", "_p", "_n", "_at", *carry), "mix-tape")
     # block j of n of a source of w words is [j * w div n, (j + 1) * w div n)
     # so word x lies in block ((x + 1) * n - 1) div w
     holding = lambda x: F.expr(f"((({x}) + 1) * ceil(source_size / {block}) - 1) div source_size")
@@ -97,10 +98,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     edge = lambda j: F.expr(f"(({j}) * source_size) div ceil(source_size / {block})")
     pieces = pieces.withColumn("_words", F.least(edge("block + 1"), F.col("_at") + F.col("size")) - F.greatest(edge("block"), F.col("_at")))
     turns = schedule(sources.select("sidx", "size", "target"), block, most).groupBy("sidx", "block").agg(F.count("*").alias("_turns"))
-    taken = pieces.join(turns, ["sidx", "block"]).groupBy("sidx", "_p", "_n").agg(F.sum(F.col("_words") * F.col("_turns")).alias("taken"))
+    taken = pieces.hint("merge").join(turns.hint("merge"), ["sidx", "block"]).groupBy("sidx", "_p", "_n").agg(F.sum(F.col("_words") * F.col("_turns")).alias("taken"))
     out = laid.join(taken, ["sidx", "_p", "_n"], "left")
     took = F.coalesce("taken", F.lit(0)).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", took.alias("taken"), "source", F.when(F.col("size") > 0, took / F.col("size")).otherwise(0.0).alias("shares"))
+    return out.select("doc_id", "size", "source_size", "target", took.alias("taken"), "source", F.when(F.col("size") > 0, took / F.col("size")).otherwise(0.0).alias("shares"), *carry)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -365,8 +365,8 @@ ORACLE = {
     "i5_enqueue": oracle("SELECT DISTINCT filename FROM sources WHERE filename NOT IN (SELECT filename FROM sources WHERE status = 'pending' OR width = 640)", "sources"),
     "i7_usage_history": oracle("""SELECT s.shot_id, count(u.project) AS uses, coalesce(string_agg(project, ',' ORDER BY used_at DESC, project) FILTER (r <= 5), '') AS recent FROM shots s
         LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY shot_id ORDER BY used_at DESC, project) AS r FROM usage) u USING (shot_id) WHERE shot_index = 0 GROUP BY ALL""", "shots", "usage"),
-    "i8_best_frames": oracle("""SELECT shot_id, round(t, 4) AS t FROM (SELECT *, max(t BETWEEN lo AND hi) OVER (PARTITION BY shot_id) AS some FROM (
-        SELECT shot_id, start_s + i * (end_s - start_s) / 4 AS t, start_s + 5 AS lo, start_s + 9 AS hi FROM shots, range(4) r(i) WHERE shot_index < 2)) WHERE t BETWEEN lo AND hi OR NOT some""", "shots"),
+    "i8_best_frames": oracle("""SELECT shot_id, round(t, 4) AS t FROM (SELECT *, max(t BETWEEN lo AND hi) OVER (PARTITION BY shot_id) AS hit_any FROM (
+        SELECT shot_id, start_s + i * (end_s - start_s) / 4 AS t, start_s + 5 AS lo, start_s + 9 AS hi FROM shots, range(4) r(i) WHERE shot_index < 2)) WHERE t BETWEEN lo AND hi OR NOT hit_any""", "shots"),
     "i11_find_library": "SELECT s_suppkey, 'id' || s_nationkey AS id FROM supplier",
     "m1_record_usage": oracle("""SELECT 'p1' AS project, CASE WHEN w.shot_id IS NULL THEN 'released' WHEN s.shot_id IS NULL THEN 'unknown' WHEN h.shot_id IS NULL THEN 'added' ELSE 'kept' END AS action, count(*) AS n
         FROM (SELECT shot_id FROM usage WHERE project = 'p1') h FULL JOIN (SELECT DISTINCT shot_id FROM usage WHERE project IN ('p1', 'p2')) w USING (shot_id) LEFT JOIN shots s USING (shot_id) GROUP BY ALL""", "shots", "usage"),

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ["search", "catalogue"]
+NAMES = ["search", "catalogue", "facets"]
 
 
 def modules() -> list:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from shotlake.llm.common import attach, keep, number, table, text_or_empty
 
 BLOCK_BYTES = 8192
+#: Blocks that are sorted together, 32 MB at most.
+NAMED_AT_ONCE = 4000
 
 
 def _hash64(c):
@@ -35,7 +37,7 @@ def identities(docs: DataFrame, text: str = "text", block: int = BLOCK_BYTES) ->
         rows = keep(docs.select(*(c for c in docs.columns if c != text), F.monotonically_increasing_id().alias("_rk"), F.sha2(whole, 256).alias("_sha"), F.transform(cuts, to_hash).alias("_hs")).withColumn("_nb", F.size("_hs")), "dd-rows")
         blocks = docs.select(F.explode(cuts).alias("_b")).groupBy(to_hash("_b").alias("_h"), "_b").agg(F.count("*").alias("n"))
         most, total = rows.agg(F.max("_nb"), F.sum("_nb")).first()
-        names = keep(blocks.withColumn("_name", number(blocks, ["_h", "_b"], by=F.xxhash64("_h"), rows=total or 0)).select("_h", "n", "_name"), "dd-names")
+        names = keep(blocks.withColumn("_name", number(blocks, ["_h", "_b"], per=NAMED_AT_ONCE, by=F.xxhash64("_h"), rows=total or 0)).select("_h", "n", "_name"), "dd-names")
         if names.groupBy("_h").count().filter("count > 1").isEmpty():
             break
     rest = [c for c in rows.columns if c != "_hs"]

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ["search", "catalogue", "facets"]
+NAMES = ["search", "catalogue", "facets", "scripts"]
 
 
 def modules() -> list:

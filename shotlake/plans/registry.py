@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ["search", "catalogue", "facets", "scripts"]
+NAMES = ["search", "catalogue", "facets", "scripts", "more"]
 
 
 def modules() -> list:

@@ -71,12 +71,13 @@ def crossing_stream(calls: DataFrame, cap: float) -> DataFrame:
             if not done and round(spent, 6) >= cap:
                 hit, done = (*key, int(r.call_id), round(spent, 4)), True
         state.update((spent, done))
-        state.setTimeoutDuration(86_400_000)
+        day = pd.Timestamp(key[1])
+        state.setTimeoutTimestamp(max(int(day.timestamp() * 1000) + 2 * 86_400_000, state.getCurrentWatermarkMs() + 1))
         if hit:
             yield pd.DataFrame([hit], columns=["workspace_id", "day", "call_id", "spent"])
 
     keyed = calls.withColumn("day", F.to_date("at"))
-    return keyed.groupBy("workspace_id", "day").applyInPandasWithState(step, "workspace_id string, day date, call_id long, spent double", "spent double, done boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return keyed.groupBy("workspace_id", "day").applyInPandasWithState(step, "workspace_id string, day date, call_id long, spent double", "spent double, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def refusals_in_a_row(calls: DataFrame, key: str = "job_id") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotlake.llm.common import keep, table
-from shotlake.llm.tokens import WordIds, tokenizer_path
+from shotlake.llm.tokens import tokenizer_path, word_ids
 
 WINDOW = 2048
 END_ID = 1
@@ -76,7 +76,7 @@ def pieces(docs: DataFrame, doc_id: str, text: str, window: int, path: str | Non
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens. Each document's ids end with END_ID."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordIds(tokenizer_path(path))
+        words = word_ids(tokenizer_path(path))
         end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
             out = []

@@ -49,7 +49,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     full = F.coalesce(F.col(html), F.lit("")).cast("binary")
     slim = keep(pages.select(F.monotonically_increasing_id().alias("_rk"), F.col(page_id).alias("_id"), base32_sha1(full).alias("_digest"), F.octet_length(full).alias("_bytes")), "warc-digests")
     groups = keep(slim.filter(F.col("_bytes") >= least).groupBy("_digest", "_bytes").agg(F.count("*").alias("n"), F.min(F.struct(F.col("_id").isNull().alias("none"), "_id")).alias("_first")).filter("n > 1"), "warc-equal")
-    revisits = keep(attach(slim, groups, ["_digest", "_bytes"], ["_rk"]).filter("not (_first._id <=> _id)").groupBy("_id", "_digest", "_bytes").agg(F.count("*").alias("n"), F.first(F.col("_first._id")).alias("_to")), "warc-revisits")
+    revisits = keep(attach(slim, groups, ["_digest", "_bytes"], ["_rk"]).filter("_first is not null and not (_first._id <=> _id)").groupBy("_id", "_digest", "_bytes").agg(F.count("*").alias("n"), F.first(F.col("_first._id")).alias("_to")), "warc-revisits")
     # whole payloads move only if there are many revisits: Spark broadcasts their list while it is small
     rows = pages.select(F.col(page_id).alias("_id"), F.col(url).alias("_url"), F.coalesce(F.col(html), F.lit("")).alias("_html"), base32_sha1(full).alias("_digest"), F.octet_length(full).alias("_bytes"))
     rows = rows.join(revisits.select(F.col("_id").alias("_r"), F.col("_digest").alias("_d"), "_to"), F.col("_id").eqNullSafe(F.col("_r")) & (F.col("_digest") == F.col("_d")), "left")

@@ -162,7 +162,13 @@ def links(prints: DataFrame, most: int = MAX_BITS) -> DataFrame:
     cells = spread.join(F.broadcast(large), "key", "left").fillna(1, ["ms", "hs"])
     mine = F.pmod(F.xxhash64("fp"), F.col("ms")), F.pmod(F.xxhash64("fp", F.lit(1)), F.col("hs"))
     span = lambda n: F.sequence(F.lit(0), (n - 1).cast("int"))
-    cells = cells.filter(~F.col("home") | (F.col("ms") * F.col("hs") == 1)).withColumn("h", F.explode(span(F.col("hs")))).withColumn("m", mine[0]).unionByName(cells.filter(F.col("home") & (F.col("ms") * F.col("hs") > 1)).withColumn("m", F.explode(span(F.col("ms")))).withColumn("h", mine[1]))
+    grid = F.col("ms") * F.col("hs") > 1
+    whole = cells.filter(~grid).withColumn("h", F.lit(0)).withColumn("m", F.lit(0))
+    # in a grid every fingerprint is a member of a column for each row of homes, and those at home are homes of a row for each column
+    members = cells.filter(grid).withColumn("home", F.lit(False)).withColumn("h", F.explode(span(F.col("hs")))).withColumn("m", mine[0])
+    homes = cells.filter(grid & F.col("home")).withColumn("h", mine[1]).withColumn("m", F.explode(span(F.col("ms"))))
+    cols = ["key", "h", "m", "home", "fp"]
+    cells = whole.select(cols).unionByName(members.select(F.col("key"), "h", F.col("m").cast("int").alias("m"), "home", "fp")).unionByName(homes.select("key", F.col("h").cast("int").alias("h"), "m", "home", "fp"))
     cells = cells.select(F.xxhash64("key", "h", "m").alias("cell"), "home", "fp")
     edges = cells.repartition("cell").sortWithinPartitions("cell", F.desc("home")).mapInPandas(run, "u long, v long")
     return keep(edges, "sh-links")

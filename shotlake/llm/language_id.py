@@ -31,7 +31,7 @@ POSITIONS, HASHES, PLANE = 1 << 20, 4, 60
 RARER, LEAST = 0.1, 2e-8
 UNKNOWN = "und"
 #: A task forgets the words it knows beyond so many; so many n-grams are counted before they are handed on.
-KEPT_WORDS, HELD_WORDS = 1_000_000, 400_000
+KEPT_WORDS, HELD_WORDS = 400_000, 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
 
@@ -143,11 +143,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", n: int = NGRA
 
     rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("text is not null and lang is not null")
     grams = keep(rows.mapInPandas(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "li-grams")
-    names = sorted(r[0] for r in grams.select("lang").distinct().collect())
-    index = grams.sparkSession.createDataFrame([(x, i) for i, x in enumerate(names)] or [("", 0)], "lang string, bit int")
-    totals = grams.groupBy("lang").agg(F.sum("n").alias("total"))
+    # one row per language, of which there are few: no key of theirs may gather the n-grams of a language in one task
+    totals = sorted(map(tuple, grams.groupBy("lang").agg(F.sum("n")).collect()))
+    names = [x for x, _ in totals]
+    index = grams.sparkSession.createDataFrame([(x, i, n) for i, (x, n) in enumerate(totals)] or [("", 0, 1)], "lang string, bit int, total long")
     share = F.col("n") / F.col("total")
-    kept = grams.join(totals, "lang").join(index, "lang").filter(share >= least).withColumn("_most", F.max(share).over(W.partitionBy("code"))).filter(share >= F.col("_most") * rarer)
+    kept = grams.join(F.broadcast(index), "lang").filter(share >= least).withColumn("_most", F.max(share).over(W.partitionBy("code"))).filter(share >= F.col("_most") * rarer)
     masks = kept.groupBy("code", F.floor(F.col("bit") / PLANE).cast("int").alias("plane")).agg(F.bit_or(F.expr(f"shiftleft(1L, bit % {PLANE})")).alias("mask"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,7 +174,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text", columns: tuple[s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = shared.value.predict([letters(t) if t else [] for t in b.column(text).to_pylist()])
+            texts, got = b.column(text), []
+            for at in range(0, len(texts), 128):  # the words of a whole batch would take several times its size
+                got += shared.value.predict([letters(t) if t else [] for t in texts.slice(at, 128).to_pylist()])
             columns_ = [b.column(f.name) for f in rest] + [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns_, names=[*(f.name for f in rest), *columns])
 

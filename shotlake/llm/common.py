@@ -11,9 +11,11 @@ HOT_SHARE = 0.001
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where a session has none."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session without one gets its own; on a cluster it must be set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -60,6 +62,28 @@ def number(df: DataFrame, order: list[str], per: int = 100_000, by: Column | Non
     return F.shiftleft(bucket, 40) + F.row_number().over(Window.partitionBy(bucket).orderBy(*order))
 
 
+def sums_before(df: DataFrame, keys: list[str], order: str, value: str, name: str, block: int = 4096) -> DataFrame:
+    """df (one row per keys and order, a long from 0) with `name`: the sum of value over smaller orders. Two levels, so a key's rows spread over tasks."""
+    from pyspark.sql import Window
+
+    rows = df.withColumn("_block", F.floor(F.col(order) / block))
+    tops = rows.groupBy(*keys, "_block").agg(F.sum(value).alias("_sum"))
+    tops = tops.select(*keys, "_block", (F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_block")) - F.col("_sum")).alias("_top"))
+    inside = F.sum(value).over(Window.partitionBy(*keys, "_block").orderBy(order)) - F.col(value)
+    return rows.withColumn("_inside", inside).hint("merge").join(tops.hint("merge"), [*keys, "_block"]).withColumn(name, F.col("_top") + F.col("_inside")).select(*df.columns, name)
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores in front until none is taken (in any case)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -1,7 +1,7 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 Sizes are words. A source's documents, in shuffled order, lie end to end on a tape that is cut into equal blocks of
-tokens. A schedule of 2^m slots takes the van der Corput points t -> bit-reversed t / 2^m through the cumulative
+tokens (the last one is what is left). A schedule of 2^m slots takes the van der Corput points t -> bit-reversed t / 2^m through the cumulative
 weights to a source; slots are ranked per source, and the k-th slot of a source takes block k of its tape, starting
 over after the last. Because 2^m points of that sequence are evenly spaced, each source gets its share of slots within
 one slot, and any stretch of the schedule is close to the weights as well.
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shotlake.llm.common import keep, table
+from shotlake.llm.common import HOT_SHARE, keep, sums_before, table, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 64
@@ -69,8 +69,7 @@ def schedule(sources: DataFrame, block: int = BLOCK_WORDS, most: int = MOST_REPE
     # as many chunks of the schedule as there are chunks of points
     part = max(0, bits - int(math.log2(CHUNK)))
     slots = slots.select("sidx", "blocks", _bit_reversed(F.col("point").cast("long"), bits).alias("slot")).withColumn("part", F.shiftrightunsigned("slot", bits - part))
-    ahead = slots.groupBy("sidx", "part").agg(F.count("*").alias("k"))
-    ahead = ahead.withColumn("ahead", F.sum("k").over(W.partitionBy("sidx").orderBy("part")) - F.col("k")).drop("k")
+    ahead = sums_before(slots.groupBy("sidx", "part").agg(F.count("*").alias("k")), ["sidx"], "part", "k", "ahead").drop("k")
     ranked = slots.withColumn("_r", F.row_number().over(W.partitionBy("sidx", "part").orderBy("slot")) - 1).hint("merge").join(ahead.hint("merge"), ["sidx", "part"]).withColumn("rank", F.col("_r") + F.col("ahead"))
     return ranked.withColumn("round", F.floor(F.col("rank") / F.col("blocks"))).filter(F.col("round") < most).select("slot", "sidx", "rank", "round", (F.col("rank") % F.col("blocks")).alias("block"))
 
@@ -79,24 +78,27 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """One row per document: doc_id, size, source_size, target, taken (words the mix takes, repeats counted), source, shares (taken / size), and the columns `carry`.
 
     A null or empty text has size 0 and nothing is taken of it; a null source is a source, the last; repeated rows are
-    rows of their own; an empty table gives an empty result. Reruns agree: the shuffle is a hash of (seed, doc_id).
+    rows of their own; an empty table gives an empty result. Reruns agree: the shuffle is a hash of (seed, doc_id, text).
+    Only if over 0.1% of all rows are equal in both, so that one chunk can't hold them, are these dealt by place in the input.
     """
-    sized = keep(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *carry), "mix-sizes")
+    hashed = F.xxhash64(F.lit(seed), F.col(doc_id), text_or_empty(text))
+    sized = keep(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), hashed.alias("_h"), F.monotonically_increasing_id().alias("_rk"), *carry), "mix-sizes")
+    same = sized.groupBy("_h").agg(F.count("*").alias("_many"))
+    hot = same.filter(F.col("_many") > F.greatest(F.lit(CHUNK), F.lit(int(sized.count() * HOT_SHARE)))).select("_h", F.lit(True).alias("_hot"))
+    sized = sized.join(F.broadcast(hot), "_h", "left").withColumn("_h", F.when(F.col("_hot"), F.xxhash64("_h", "_rk")).otherwise(F.col("_h"))).drop("_hot", "_rk")
     sources = keep(targets(sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")), weights, most), "mix-sources")
     # one row per source: Spark broadcasts it while it is small
     rows = sized.join(sources.select(F.col("source").alias("_s"), "sidx", F.col("size").alias("source_size"), "target", F.ceil(F.col("rows") / CHUNK).alias("_k")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("_p", F.floor(F.pmod(F.shiftrightunsigned("_h", 1), F.lit(1 << 40)) * F.col("_k") / (1 << 40)))
+    rows = rows.withColumn("_p", F.floor(F.pmod("_h", F.lit(1 << 40)).cast("double") / (1 << 40) * F.col("_k")))
     before = rows.groupBy("sidx", "_p").agg(F.sum("size").alias("_w"))
-    before = before.withColumn("_base", F.sum("_w").over(W.partitionBy("sidx").orderBy("_p")) - F.col("_w")).drop("_w")
+    before = sums_before(before, ["sidx"], "_p", "_w", "_base").drop("_w")
     order = W.partitionBy("sidx", "_p").orderBy("_h", "doc_id", "size", *carry)
     laid = rows.withColumn("_n", F.row_number().over(order)).withColumn("_in", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     laid = keep(laid.hint("merge").join(before.hint("merge"), ["sidx", "_p"]).withColumn("_at", F.col("_base") + F.col("_in")).select("doc_id", "source", "size", "sidx", "source_size", "target", "_p", "_n", "_at", *carry), "mix-tape")
-    # block j of n of a source of w words is [j * w div n, (j + 1) * w div n)
-    # so word x lies in block ((x + 1) * n - 1) div w
-    holding = lambda x: F.expr(f"((({x}) + 1) * ceil(source_size / {block}) - 1) div source_size")
+    # no product of positions is taken: a source may hold any number of words
+    holding = lambda x: F.expr(f"({x}) div {block}")
     pieces = laid.filter("size > 0").select("sidx", "_p", "_n", "size", "_at", "source_size", F.explode(F.sequence(holding("_at"), holding("_at + size - 1"))).alias("block"))
-    edge = lambda j: F.expr(f"(({j}) * source_size) div ceil(source_size / {block})")
-    pieces = pieces.withColumn("_words", F.least(edge("block + 1"), F.col("_at") + F.col("size")) - F.greatest(edge("block"), F.col("_at")))
+    pieces = pieces.withColumn("_words", F.least((F.col("block") + 1) * block, F.col("_at") + F.col("size")) - F.greatest(F.col("block") * block, F.col("_at")))
     turns = schedule(sources.select("sidx", "size", "target"), block, most).groupBy("sidx", "block").agg(F.count("*").alias("_turns"))
     taken = pieces.hint("merge").join(turns.hint("merge"), ["sidx", "block"]).groupBy("sidx", "_p", "_n").agg(F.sum(F.col("_words") * F.col("_turns")).alias("taken"))
     out = laid.join(taken, ["sidx", "_p", "_n"], "left")

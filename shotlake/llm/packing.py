@@ -96,21 +96,22 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: in
     A null or empty text is its end id alone. Repeated rows, and rows with a null id, are packed as rows of their own;
     ties in length go by id, then start. Sequence ids are unique, not consecutive. An empty table gives an empty result.
     """
-    cut = keep(pieces(docs, doc_id, text, window, path), "pack-pieces")
+    cut = keep(pieces(docs, doc_id, text, window, path).withColumn("_row", F.monotonically_increasing_id()), "pack-pieces")
     full = cut.filter(F.col("length") == window)
     rest = cut.filter(F.col("length") < window)
     groups = max(1, math.ceil(rest.count() / group_rows))
     kind = cut.schema["doc_id"].dataType.simpleString()
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], ignore_index=True)
+        g = g.sort_values(["length", "doc_id", "start", "ids_crc32", "_row"], ascending=[False, True, True, True, True], ignore_index=True)
         where, offset = best_fit_decreasing(g["length"].tolist(), window)
         return g.assign(sequence_id=np.array(where, np.int64) * groups + int(key[0]), offset=np.array(offset, np.int64))[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    packed = rest.groupBy(F.pmod(F.xxhash64("doc_id", "ids_crc32"), F.lit(groups)).alias("_g")).applyInPandas(run, schema)
+    # the row number deals equal rows (say, null ids without text) to all groups
+    packed = rest.groupBy(F.pmod(F.xxhash64("doc_id", "ids_crc32", "_row"), F.lit(groups)).alias("_g")).applyInPandas(run, schema)
     # windows that one piece fills have negative ids, distinct by row
-    alone = full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    alone = full.withColumn("sequence_id", -1 - F.col("_row")).withColumn("offset", F.lit(0).cast("long")).drop("_row")
     return packed.unionByName(alone)
 
 

@@ -45,6 +45,9 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        normalizer = self.tokenizer.normalizer
+        #: A letter may become letter and mark, which the tokenizer joins with the marks behind: such words are no run of letters.
+        self.normal = normalizer.normalize_str if normalizer else str
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -54,11 +57,11 @@ class WordIds:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[bytes]) -> None:
-        known = self.known
+        known, normal = self.known, self.normal
         if len(known) + len(words) > self.kept:
             known.clear()
         plain, other, marked = [], [], []
-        letters = lambda w: _PLAIN.match(w) or _LETTERS.match(w.decode())
+        letters = lambda w: _PLAIN.match(w) or (_LETTERS.match(t := w.decode()) and _LETTERS.match(normal(t)))
         for w in words:
             if letters(w):
                 plain.append(w)

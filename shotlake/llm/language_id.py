@@ -24,11 +24,15 @@ from pyspark.sql import types as T
 from shotlake.llm.common import crc_of_id, keep, table
 
 NGRAM = 4
-#: Positions of the filter (a power of two), hashes per n-gram, and languages per plane of 64-bit masks.
-POSITIONS, HASHES, PLANE = 1 << 20, 4, 60
+#: Hashes per n-gram, and languages per plane of 64-bit masks.
+HASHES, PLANE = 4, 60
+#: The filter has the power of two of positions, between these, that gives the largest language's n-grams ROOM each.
+LEAST_POSITIONS, MOST_POSITIONS, ROOM = 1 << 20, 1 << 24, 8
 #: An n-gram is dropped from languages where its share is below this part of its largest share, or below LEAST: so a
-#: language holds at most 1 / LEAST n-grams.
-RARER, LEAST = 0.1, 2e-8
+#: language holds at most 1 / LEAST n-grams, which set under 2/5 of MOST_POSITIONS: false positives stay below 1 in 40.
+RARER, LEAST = 0.1, 5e-7
+#: Positions that travel to the driver as one block of bytes.
+BLOCK = 1 << 16
 UNKNOWN = "und"
 #: A task forgets the words it knows beyond so many; so many n-grams are counted before they are handed on.
 KEPT_WORDS, HELD_WORDS = 400_000, 200_000
@@ -62,7 +66,7 @@ def ngrams(words: list[str], n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
     return codes, owners
 
 
-def positions(codes: np.ndarray, size: int = POSITIONS, hashes: int = HASHES) -> np.ndarray:
+def positions(codes: np.ndarray, size: int = LEAST_POSITIONS, hashes: int = HASHES) -> np.ndarray:
     """(hashes, len(codes)) positions in the filter."""
     out = np.empty((hashes, len(codes)), np.int64)
     for k in range(hashes):
@@ -108,7 +112,7 @@ class Model:
             self.rows = np.concatenate((self.rows, self.counts(new)))
         out = []
         for t in texts:
-            if not t or not self.languages or not any(w.isalpha() for w in t):
+            if not t or not self.languages or not any(c.isalpha() for w in t for c in w):
                 out.append((UNKNOWN, 0.0))
                 continue
             total = self.rows[[known[w] for w in t]].sum(axis=0, dtype=np.int64)
@@ -119,8 +123,8 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", n: int = NGRAM, size: int = POSITIONS, hashes: int = HASHES, rarer: float = RARER, least: float = LEAST) -> Model:
-    """Learn the filter from all rows of docs with a text and a language. What reaches the driver has at most `size` rows a plane."""
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", n: int = NGRAM, size: int | None = None, hashes: int = HASHES, rarer: float = RARER, least: float = LEAST) -> Model:
+    """Learn the filter from all rows of docs with a text and a language. What reaches the driver has at most `size` positions a plane, MOST_POSITIONS if not given."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, Counter] = {}
@@ -149,6 +153,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", n: int = NGRA
     index = grams.sparkSession.createDataFrame([(x, i, n) for i, (x, n) in enumerate(totals)] or [("", 0, 1)], "lang string, bit int, total long")
     share = F.col("n") / F.col("total")
     kept = grams.join(F.broadcast(index), "lang").filter(share >= least).withColumn("_most", F.max(share).over(W.partitionBy("code"))).filter(share >= F.col("_most") * rarer)
+    kept = keep(kept.select("code", "bit"), "li-kept")
+    if size is None:
+        largest = kept.groupBy("bit").count().agg(F.max("count")).first()[0] or 0
+        size = min(MOST_POSITIONS, max(LEAST_POSITIONS, 1 << (ROOM * largest - 1).bit_length() if largest else 0))
     masks = kept.groupBy("code", F.floor(F.col("bit") / PLANE).cast("int").alias("plane")).agg(F.bit_or(F.expr(f"shiftleft(1L, bit % {PLANE})")).alias("mask"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,9 +165,16 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", n: int = NGRA
             yield pd.DataFrame({"plane": np.tile(b["plane"], hashes), "position": at.ravel(), "mask": np.tile(b["mask"], hashes)})
 
     placed = masks.mapInPandas(place, "plane int, position long, mask long").groupBy("plane", "position").agg(F.bit_or("mask").alias("mask"))
+    width = min(BLOCK, size)
+
+    def block(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(width, np.int64)
+        out[g["position"].to_numpy() % width] = g["mask"].to_numpy()
+        return pd.DataFrame({"plane": [key[0]], "block": [key[1]], "bits": [out.tobytes()]})
+
     bits = np.zeros((-(-max(1, len(names)) // PLANE), size), np.uint64)
-    got = placed.toPandas()
-    bits[got["plane"].to_numpy(), got["position"].to_numpy()] = got["mask"].to_numpy().view(np.uint64)
+    for row in placed.groupBy("plane", F.floor(F.col("position") / width).alias("block")).applyInPandas(block, "plane int, block long, bits binary").toLocalIterator():
+        bits[row["plane"], row["block"] * width : (row["block"] + 1) * width] = np.frombuffer(row["bits"], np.uint64)
     return Model(names, bits, hashes, n)
 
 
@@ -167,10 +182,12 @@ def identify(docs: DataFrame, model: Model, text: str = "text", columns: tuple[s
     """docs, less the columns `without`, with the predicted language and its score: the part of the text's n-grams, corrected, that the language contains.
 
     A null text, one without a letter, and any text when nothing was learned, are `und` with score 0; ties go to the
-    first language by name. Empty tables stay empty; other columns pass through, and must not be named as `columns` are.
+    first language by name. Empty tables stay empty; other columns pass through, but for those named as `columns` are,
+    whose place the results take.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rest = [f for f in docs.schema.fields if f.name not in without]
+    gone = {c.lower() for c in columns}
+    rest = [f for f in docs.schema.fields if f.name not in without and f.name.lower() not in gone]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,12 +1,14 @@
 """WARC archives and their capture index.
 
 Pages become WARC records, written by Spark's text writer (a record per row), so that files land in shared storage by
-the usual commit protocol. Reading parses the archives by Content-Length, file by file; each file's captures, sorted by
-URL key and time, form a run. The runs are merged by key range: each range takes its stretch of every run and merges
-the stretches through a loser tree, which gives capture histories in global order (range after range).
+the usual commit protocol; files are bounded in bytes. Reading parses the archives by Content-Length, file by file; each
+file's captures, sorted by URL key and time, form a run. Every SPLIT_ROWS-th key of the runs becomes a candidate for a
+cut; between the cuts lie key ranges. A run leaves its task as stretches, one row for each range it touches and sorted
+as it was, and each range merges its stretches through a loser tree: capture histories in global order, range after range.
 """
 
 import base64
+import bisect
 import hashlib
 from collections.abc import Iterator
 from urllib.parse import unquote, urlsplit
@@ -17,10 +19,12 @@ from pyspark.sql import functions as F
 
 from shotlake.llm.common import attach, keep, shared_dir, table
 
-#: Rows of an archive file at most, and captures of a range at about most.
-FILE_ROWS, RANGE_ROWS = 1000, 50_000
-#: Without a column of capture times, a page is captured so many seconds after this moment as its id says.
-FIRST_CAPTURE = 1_704_067_200
+#: (payload bytes up to, records of an archive file): files have 32 MB and headers at most, or one record.
+FILES = ((1 << 15, 1000), (1 << 19, 64), (1 << 23, 4), (1 << 62, 1))
+#: Captures of a range at about most, and captures of a run for each key of it that may become a cut.
+RANGE_ROWS, SPLIT_ROWS = 50_000, 500
+#: Without a column of capture times, a page is captured so many seconds after this moment as its id, modulo 2^31, says.
+FIRST_CAPTURE, CAPTURES = 1_704_067_200, 1 << 31
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -44,19 +48,20 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     """Write one record per row. Among payloads of at least `least` bytes that are equal, the smallest id's is the response, others are revisits of it.
 
     A null html is an empty payload; a null url leaves the target out; null ids are larger than others here; rows that
-    repeat the smallest id with its payload are responses like the first.
+    repeat the smallest id with its payload are responses like the first. Payloads count as equal by SHA-256 and length:
+    there are known pairs of one SHA-1.
     """
     full = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    slim = keep(pages.select(F.monotonically_increasing_id().alias("_rk"), F.col(page_id).alias("_id"), base32_sha1(full).alias("_digest"), F.octet_length(full).alias("_bytes")), "warc-digests")
-    groups = keep(slim.filter(F.col("_bytes") >= least).groupBy("_digest", "_bytes").agg(F.count("*").alias("n"), F.min(F.struct(F.col("_id").isNull().alias("none"), "_id")).alias("_first")).filter("n > 1"), "warc-equal")
-    revisits = keep(attach(slim, groups, ["_digest", "_bytes"], ["_rk"]).filter("_first is not null and not (_first._id <=> _id)").groupBy("_id", "_digest", "_bytes").agg(F.count("*").alias("n"), F.first(F.col("_first._id")).alias("_to")), "warc-revisits")
+    slim = keep(pages.select(F.monotonically_increasing_id().alias("_rk"), F.col(page_id).alias("_id"), F.sha2(full, 256).alias("_sha"), F.octet_length(full).alias("_bytes")), "warc-digests")
+    groups = keep(slim.filter(F.col("_bytes") >= least).groupBy("_sha", "_bytes").agg(F.count("*").alias("n"), F.min(F.struct(F.col("_id").isNull().alias("none"), "_id")).alias("_first")).filter("n > 1"), "warc-equal")
+    revisits = keep(attach(slim, groups, ["_sha", "_bytes"], ["_rk"]).filter("_first is not null and not (_first._id <=> _id)").groupBy("_id", "_sha", "_bytes").agg(F.count("*").alias("n"), F.first(F.col("_first._id")).alias("_to")), "warc-revisits")
     # whole payloads move only if there are many revisits: Spark broadcasts their list while it is small
-    rows = pages.select(F.col(page_id).alias("_id"), F.col(url).alias("_url"), F.coalesce(F.col(html), F.lit("")).alias("_html"), base32_sha1(full).alias("_digest"), F.octet_length(full).alias("_bytes"))
-    rows = rows.join(revisits.select(F.col("_id").alias("_r"), F.col("_digest").alias("_d"), "_to"), F.col("_id").eqNullSafe(F.col("_r")) & (F.col("_digest") == F.col("_d")), "left")
+    rows = pages.select(F.col(page_id).alias("_id"), F.col(url).alias("_url"), F.coalesce(F.col(html), F.lit("")).alias("_html"), base32_sha1(full).alias("_digest"), F.sha2(full, 256).alias("_sha"), F.octet_length(full).alias("_bytes"))
+    rows = rows.join(revisits.select(F.col("_id").alias("_r"), F.col("_sha").alias("_d"), "_to"), F.col("_id").eqNullSafe(F.col("_r")) & (F.col("_sha") == F.col("_d")), "left")
     revisit = F.col("_d").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("_bytes"), F.lit("\r\n\r\n"))
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("_html")))
-    when = F.date_format(F.timestamp_seconds(F.coalesce(F.col("_id"), F.lit(0)).cast("long") + F.lit(FIRST_CAPTURE)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    when = F.date_format(F.timestamp_seconds(F.pmod(F.coalesce(F.col("_id").try_cast("long"), F.lit(0)), F.lit(CAPTURES)) + F.lit(FIRST_CAPTURE)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")),
         F.lit("\r\nWARC-Record-ID: "), _uri(F.col("_id")), F.lit("\r\nWARC-Date: "), when,
@@ -66,7 +71,11 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block), F.lit("\r\n\r\n"),
     )
     # a record ends with two line ends: the second is the writer's
-    rows.select(F.concat(head, block, F.lit("\r\n")).alias("value")).write.option("lineSep", "\r\n").option("compression", "none").option("maxRecordsPerFile", FILE_ROWS).text(path)
+    record, largest, above = F.concat(head, block, F.lit("\r\n")).alias("value"), slim.agg(F.max("_bytes")).first()[0] or 0, -1
+    for upto, per_file in FILES:
+        if above < max(largest, FILES[0][0]):
+            rows.filter(F.col("_bytes").between(above + 1, upto)).select(record).write.mode("append").option("lineSep", "\r\n").option("compression", "none").option("maxRecordsPerFile", per_file).text(path)
+        above = upto
 
 
 def url_key(url: str | None) -> str:
@@ -101,6 +110,8 @@ def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 RUN_SCHEMA = "run string, url_key string, captured string, page_id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string, at long"
+ORDER = ["url_key", "captured", "run", "at"]
+_NAMES = [n.split()[0] for n in RUN_SCHEMA.split(", ")]
 
 
 def _page(uri: str | None) -> str | None:
@@ -114,7 +125,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name, content in zip(b["path"], b["content"], strict=True):
-                out, names = [], RUN_SCHEMA.split(", ")
+                out = []
                 for i, (h, block) in enumerate(records(content)):
                     digest, size = h["WARC-Payload-Digest"].removeprefix("sha1:"), int(h["X-Payload-Bytes"])
                     if h["WARC-Type"] == "response":
@@ -124,10 +135,10 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
                     url = h.get("WARC-Target-URI")
                     out.append((name, url_key(url), h["WARC-Date"], _page(h["WARC-Record-ID"]), url, h["WARC-Type"], size, digest, _page(h.get("WARC-Refers-To")), i))
                 out.sort(key=lambda r: (r[1], r[2], r[9]))
-                yield pd.DataFrame(out, columns=[n.split()[0] for n in names])
+                yield pd.DataFrame(out, columns=_NAMES).assign(nth=range(len(out)))
 
     files = spark.read.format("binaryFile").load(path).filter(F.col("length") > 0).select("path", "content")
-    return files.mapInPandas(run, RUN_SCHEMA)
+    return files.mapInPandas(run, f"{RUN_SCHEMA}, nth long")
 
 
 class LoserTree:
@@ -164,35 +175,58 @@ class LoserTree:
             self._play(winner)
 
 
-def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """All captures by (url_key, captured, run, at): `range` numbers the key ranges in order, `position` the captures in a range, `capture` those of a URL in it.
+def range_cuts(runs: DataFrame, range_rows: int = RANGE_ROWS, split_rows: int = SPLIT_ROWS) -> list[tuple]:
+    """Sort keys that cut all captures into ranges of about range_rows: one key for each range but the first reaches the driver.
 
-    Ranges are cut on the whole sort key, so one URL with many captures spans several.
+    Every split_rows-th capture of a run stands for the split_rows before it; the last one of a run, for the rest.
+    """
+    per = max(1, range_rows // split_rows)
+    marks = runs.filter(F.col("nth") % split_rows == split_rows - 1).select(*ORDER)
+    n = marks.count()
+    if n < per:
+        return []
+    ranges = -(-n // per)
+    # marks are few; they are sorted by ranges of their own, and every per-th of one is a cut
+    some = marks.repartitionByRange(max(1, ranges // 64), *ORDER).sortWithinPartitions(*ORDER).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    return sorted(map(tuple, some.filter(F.col("_i") % per == per - 1).drop("_i").collect()))
+
+
+def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """All captures of sorted runs by (url_key, captured, run, at): `range` numbers the key ranges in order, `position` the captures in a range, `capture` those of a URL in it.
+
+    Ranges are cut on the whole sort key, so one URL with many captures spans several. runs has a run's rows in order, each
+    with its number `nth`.
     """
-    order = ["url_key", "captured", "run", "at"]
-    parts = max(1, -(-runs.count() // range_rows))
+    cuts = range_cuts(runs, range_rows, split_rows)
+    shared = runs.sparkSession.sparkContext.broadcast(cuts)
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stretches: dict[str, list] = {}
-        names = None
+    def stretch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            names = list(b.columns)
-            for name, part in b.groupby("run", sort=False):
-                stretches.setdefault(name, []).extend(zip(part["url_key"], part["captured"], part["run"], part["at"], part.itertuples(index=False, name=None), strict=True))
-        if not stretches:
-            return
-        merged, last, k, out = LoserTree([iter(r) for r in stretches.values()]), None, 0, []
-        for i, (key, *_, row) in enumerate(merged):
-            k = k + 1 if key == last else 0
-            last = key
-            out.append((*row, i, k))
-            if len(out) == 10_000:
-                yield pd.DataFrame(out, columns=[*names, "position", "capture"])
-                out = []
-        yield pd.DataFrame(out, columns=[*names, "position", "capture"])
-
-    dealt = runs.repartitionByRange(parts, *order).sortWithinPartitions("run", "url_key", "captured", "at")
-    return dealt.withColumn("range", F.spark_partition_id()).mapInPandas(merge, f"{RUN_SCHEMA}, range int, position long, capture long")
+            keys = list(zip(*(b[c] for c in ORDER), strict=True))
+            at = 0
+            while at < len(keys):
+                run, where = keys[at][2], bisect.bisect_right(shared.value, keys[at])
+                stop = at + 1
+                end = shared.value[where] if where < len(shared.value) else None
+                while stop < len(keys) and keys[stop][2] == run and keys[stop] > keys[at] and (end is None or keys[stop] < end):
+                    stop += 1
+                yield pd.DataFrame({"range": [where], "first": [int(b["nth"].iloc[at])], "run": [run], "rows": [b[_NAMES].iloc[at:stop].to_dict("records")]})
+                at = stop
+
+    def merge(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["run", "first"], kind="stable")
+        # a run that a batch of rows cut in two goes on where it stopped
+        tree = LoserTree([((*(r[c] for c in ORDER), tuple(r[c] for c in _NAMES)) for rows in part["rows"] for r in rows) for _, part in g.groupby("run", sort=False)])
+        out, last, k = [], None, 0
+        for i, (url, *_, row) in enumerate(tree):
+            k = k + 1 if url == last else 0
+            last = url
+            out.append((*row, int(key[0]), i, k))
+        return pd.DataFrame(out, columns=[*_NAMES, "range", "position", "capture"])
+
+    rows = ", ".join(n.replace(" ", ":") for n in RUN_SCHEMA.split(", "))
+    stretches = runs.mapInPandas(stretch, f"range int, first long, run string, rows array<struct<{rows}>>")
+    return stretches.groupBy("range").applyInPandas(merge, f"{RUN_SCHEMA}, range int, position long, capture long")
 
 
 def archive_and_index(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 0, path: str | None = None) -> DataFrame:

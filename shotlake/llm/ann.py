@@ -3,7 +3,8 @@
 On a bounded sample, the graph of nearest neighbours is cut into parts of equal size that split few edges, and a small
 classifier learns from it which parts hold a vector's neighbours. Every row is indexed under its most probable part;
 a query goes to its most probable parts and is reranked there by exact inner products. How many parts a query needs is
-measured: a few sampled vectors are compared with every row, and the fewest parts that give the wanted recall are taken.
+measured: a few vectors outside that sample are compared with every row, and the fewest parts that give the wanted
+recall are taken.
 """
 
 from collections.abc import Iterator
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 from shotlake.llm.common import keep, table
 
 TOP = 20
-#: At most so many rows are sampled to fit the partition and the classifier, and so many to measure recall.
+#: At most so many rows are sampled to fit the partition and the classifier, and so many others to measure recall.
 SAMPLE, PROBES = 8192, 256
+#: Pairs that are scored exactly at a time.
+PAIRS = 1 << 16
 #: The recall that the measured number of parts must reach on the probes; queries then come close to it.
 WANTED_RECALL = 0.95
 #: Rows of a part that the number of parts aims at, within these limits.
@@ -118,17 +121,21 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def _top(q: np.ndarray, qid: np.ndarray, v: np.ndarray, vid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query index, row index, score) of each query's k best rows, ties with the last one included; scores summed the same way wherever a pair is met."""
+    """(query index, row index, score) of each query's k best rows, ties to the smaller id; scores summed the same way wherever a pair is met."""
     s = q @ v.T
     s[qid[:, None] == vid[None, :]] = -np.inf
     last = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
     slack = 1e-9 * (np.abs(last) + 1)
     i, j = np.nonzero((s >= np.where(np.isfinite(last), last - slack, -np.inf)[:, None]) & (s > -np.inf))
-    return i, j, (q[i] * v[j]).sum(axis=1)
+    exact = np.concatenate([(q[i[at : at + PAIRS]] * v[j[at : at + PAIRS]]).sum(axis=1) for at in range(0, len(i), PAIRS)]) if len(i) else np.zeros(0)
+    best = np.lexsort((vid[j], -exact, i))
+    i, j, exact = i[best], j[best], exact[best]
+    few = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[few], j[few], exact[few]
 
 
 def valid(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, v) of the rows that take part: finite, not zero, of the commonest length, one for each non-null id."""
+    """(vec_id, v) of the rows that take part: finite, not zero, of the commonest length, one for each non-null id (of several vectors, the smallest)."""
     e = F.col("v")
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
     rows = rows.filter(F.col("vec_id").isNotNull() & e.isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0))
@@ -146,11 +153,13 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = TOP, sample: int
     spark = vectors.sparkSession
     n = vectors.count()
     by_hash = vectors.orderBy(F.xxhash64("vec_id", F.lit(7)), "vec_id")
-    some = by_hash.limit(sample).toPandas()
+    some = by_hash.limit(sample + PROBES).toPandas()
     result = "query_id long, rank int, vec_id long, score double"
     if not len(some):
         return spark.createDataFrame([], result)
-    x = _matrix(some["v"])
+    # the last ones of the sample only measure recall; a fifth of a small table
+    tried = some.iloc[-max(1, min(PROBES, len(some) // 5)) :]
+    x, asked_of = _matrix(some["v"].iloc[: max(1, len(some) - len(tried))]), _matrix(tried["v"])
     parts = 1 << int(np.ceil(np.log2(np.clip(n / part_rows, LEAST_PARTS, MOST_PARTS))))
     graph = neighbour_graph(x)
     label = balanced_partition(x, graph, parts)
@@ -166,7 +175,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = TOP, sample: int
     index = keep(vectors.mapInPandas(place, "vec_id long, v array<double>, part int"), "ann-index")
     sizes = dict(index.groupBy("part").count().collect())
 
-    probes = spark.sparkContext.broadcast((x[:PROBES], some["vec_id"].to_numpy()[:PROBES]))
+    probes = spark.sparkContext.broadcast((asked_of, tried["vec_id"].to_numpy()))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -175,7 +184,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = TOP, sample: int
 
     best = W.partitionBy("probe").orderBy(F.desc("score"), "vec_id")
     truth = index.mapInPandas(scan, "probe long, part int, vec_id long, score double").withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).select("probe", "part").toPandas()
-    place_of = np.argsort(router.value.ranked(x[:PROBES]), axis=1)
+    place_of = np.argsort(router.value.ranked(asked_of), axis=1)
     depth = np.sort(place_of[truth["probe"], truth["part"]]) if len(truth) else np.array([0])
     need = int(depth[min(len(depth) - 1, int(np.ceil(recall * len(depth))) - 1)]) + 1
 

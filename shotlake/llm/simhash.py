@@ -156,10 +156,9 @@ def links(prints: DataFrame, most: int = MAX_BITS) -> DataFrame:
 
     spread = prints.select("fp", F.explode(F.concat(*(_anchors(F.col("fp"), k) for k in range(len(BANDS))))).alias("a")).select("fp", F.col("a.key").alias("key"), F.col("a.home").alias("home"))
     sizes = keep(spread.groupBy("key").agg(F.count("*").alias("members"), F.count_if("home").alias("homes")), "sh-anchors")
-    large = sizes.filter((F.col("members") > MEMBERS) & (F.col("members") > (sizes.agg(F.sum("members")).first()[0] or 0) * 0.001))
-    large = large.select("key", F.ceil(F.col("members") / MEMBERS).cast("int").alias("ms"), F.ceil(F.greatest(F.col("homes"), F.lit(1)) / HOMES).cast("int").alias("hs"))
-    # fewer than 1,000 anchors hold over 0.1% of the rows each: these are compared as a grid of cells
-    cells = spread.join(F.broadcast(large), "key", "left").fillna(1, ["ms", "hs"])
+    # every anchor of more than MEMBERS rows is compared as a grid of cells, however many anchors that are
+    large = sizes.filter(F.col("members") > MEMBERS).select("key", F.col("members").alias("n"), F.ceil(F.col("members") / MEMBERS).cast("int").alias("ms"), F.ceil(F.greatest(F.col("homes"), F.lit(1)) / HOMES).cast("int").alias("hs"))
+    cells = attach(spread, large, ["key"], ["fp"]).fillna(1, ["ms", "hs"]) if not large.isEmpty() else spread.withColumn("ms", F.lit(1)).withColumn("hs", F.lit(1))
     mine = F.pmod(F.xxhash64("fp"), F.col("ms")), F.pmod(F.xxhash64("fp", F.lit(1)), F.col("hs"))
     span = lambda n: F.sequence(F.lit(0), (n - 1).cast("int"))
     grid = F.col("ms") * F.col("hs") > 1

@@ -204,12 +204,19 @@ def test_packing(odd, docs):
     assert packing.pack(odd.filter("doc_id = 99")).count() == 0
 
 
-@pytest.mark.parametrize("text", ["it's a DON'T we'll '", "a b", "é Áb", "İ ſ KK", "<|endoftext|> x <|ENDOFTEXT|>", "½ ² x²", "中文 ok", "नमस्", "a\U0001f600b", "", "  ", "a\x1cb", "x​b", "1234 a1b2", "a\x00b", "the, the! the?"])
+@pytest.mark.parametrize("text", ["it's a DON'T we'll '", "a b", "é Áb", "İ ſ KK", "<|endoftext|> x <|ENDOFTEXT|>", "½ ² x²", "İ. क़! b়?", "中文 ok", "नमस्", "a\U0001f600b", "", "  ", "a\x1cb", "x​b", "1234 a1b2", "a\x00b", "the, the! the?"])
 def test_word_ids_are_the_tokenizers(text):
     w = tokens.WordIds(tokens.tokenizer_path())
     assert w.encode(text) == w._whole(text)
 
 
+def test_letters_with_marks_behind_are_the_tokenizers():
+    w = tokens.WordIds(tokens.tokenizer_path())
+    every = [chr(c) + "." for c in range(0x10000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]
+    whole = w.tokenizer.encode_batch_fast(every, add_special_tokens=False)
+    assert [t for t, e in zip(every, whole, strict=True) if w.encode(t) != np.array(e.ids, "<u4").tobytes()] == []
+
+
 def test_word_ids_forget():
     w = tokens.WordIds(tokens.tokenizer_path(), kept=5)
     for t in ("a b c d", "e f g h a", "one two three four five six seven eight"):
@@ -233,6 +240,17 @@ def test_archives_round_trip(spark):
     assert warc.archive_and_index(pages.filter("n = 2")).count() == 0
 
 
+def test_archives_of_large_ids_and_pages(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILES", ((100, 3), (1000, 2), (1 << 62, 1)))
+    rows = [(2**62 + i, "u", "p" * (i * 40)) for i in range(60)] + [(-(2**62), "u", "q" * 300_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = f"{common.shared_dir(spark)}/large-archives"
+    got = warc.archive_and_index(pages, path=path).toPandas()
+    assert sorted(zip(got["page_id"], got["payload_bytes"])) == sorted((p, len(h)) for p, _, h in rows)
+    sizes = sorted(r[0] for r in spark.read.format("binaryFile").load(path).select("length").collect())
+    assert sizes[-2] < 4000 < sizes[-1]
+
+
 def test_loser_tree_merges():
     rng = np.random.default_rng(3)
     for k in range(9):
@@ -241,17 +259,20 @@ def test_loser_tree_merges():
 
 
 def test_ranges_split_one_url(spark):
-    runs = spark.createDataFrame([(f"r{i % 3}", "k", f"{i:04d}", str(i), "u", "response", 1, "d", None, i) for i in range(300)], warc.RUN_SCHEMA)
-    got = warc.merge_runs(runs, 50).toPandas().sort_values(["range", "position"])
+    runs = spark.createDataFrame([(f"r{k}", "k", f"{i:04d}", str(i), "u", "response", 1, "d", None, i, i // 3) for k in range(3) for i in range(k, 300, 3)], f"{warc.RUN_SCHEMA}, nth long").coalesce(1)
+    got = warc.merge_runs(runs, 50, 5).toPandas().sort_values(["range", "position"])
     assert got["captured"].tolist() == sorted(got["captured"]) and got["range"].nunique() > 1
+    assert got["capture"].tolist() == got["position"].tolist() and got.groupby("range").size().max() < 120
 
 
-def test_languages(odd, docs):
+def test_languages(spark, odd, docs):
     model = language_id.train(docs.filter(~language_id.held_out()))
     got = language_id.identify(docs.withColumn("held", language_id.held_out()), model).filter("held").toPandas()
     assert (got["lang_pred"] == got["lang"]).mean() >= 0.95 and got["score"].between(0, 1).all()
     rows = {(r["doc_id"], r["text"]): r for r in language_id.identify(odd, model).collect()}
     assert rows[(4, None)]["lang_pred"] == rows[(5, "")]["lang_pred"] == rows[(9, "123 !!")]["lang_pred"] == "und"
+    mixed = spark.createDataFrame([(1, "m² x²", "own"), (2, "½a", "own"), (3, "½ ²", "own")], "doc_id long, text string, lang_pred string")
+    assert [r["lang_pred"] == "und" for r in language_id.identify(mixed, model).orderBy("doc_id").collect()] == [False, False, True]
     none = language_id.train(docs.filter("doc_id < 0"))
     assert none.languages == [] and language_id.identify(odd, none).filter("lang_pred <> 'und'").count() == 0
     assert language_id.identify(odd.filter("doc_id = 99"), model).count() == 0
@@ -406,6 +427,9 @@ def test_neighbours(spark):
         g = g.sort_values("rank")
         assert g["rank"].tolist() == list(range(1, 21)) and list(zip(-g["score"], g["vec_id"])) == sorted(zip(-g["score"], g["vec_id"]))
     assert hit >= 0.9 * 20 * got["query_id"].nunique()
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(1500)] + [(i, [float(i % 7), 1.0]) for i in range(1500, 2000)], "vec_id long, v array<double>")
+    tied = ann.neighbours(same, same.filter("vec_id % 20 = 0")).toPandas()
+    assert len(tied) == 100 * 20 and len(ann._top(np.ones((3, 2)), np.arange(3), np.ones((500, 2)), np.arange(500), 20)[0]) == 60
     few = v.filter("vec_id < 5")
     assert ann.neighbours(few, few.filter("vec_id = 0")).count() == 4
     assert ann.neighbours(v.filter("vec_id < 0"), v.filter("vec_id < 0")).count() == 0
@@ -416,3 +440,27 @@ def test_attach_keeps_every_row_of_hot_keys(spark):
     groups = common.keep(df.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top")), "test")
     got = common.attach(df, groups, ["k"], ["id"])
     assert got.count() == 5000 and got.filter("k = 7").select("top").distinct().collect()[0][0] == 4998 and got.filter("top is null").count() == 0
+
+
+def test_mix_of_huge_and_equal_rows(spark, monkeypatch):
+    """Positions beyond 2^53 words stay exact, and rows that are equal in id and text are dealt to several chunks."""
+    at = spark.range(1).select(F.lit(30_000_000_000_000).alias("_at"), F.lit(100).alias("size"), F.lit(1 << 46).alias("source_size"))
+    assert at.select(F.expr("_at div 64")).first()[0] == 30_000_000_000_000 // 64
+    monkeypatch.setattr(mixing, "CHUNK", 64)
+    df = spark.createDataFrame([(None, "a b c d e", "s")] * 3000 + [(i, prose(i, 30), "t") for i in range(200)], "doc_id long, text string, source string")
+    got = mixing.mix(df).toPandas()
+    per = got.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+    assert len(got) == 3200 and (abs(per["taken"] - per["target"]) <= 3 * mixing.BLOCK_WORDS).all() and (got["taken"] <= 3 * got["size"]).all()
+
+
+def test_sums_before(spark):
+    df = spark.range(20_000).select((F.col("id") % 2).alias("k"), F.floor(F.col("id") / 2).alias("o"), (F.col("id") % 5 + 1).alias("v"))
+    got = common.sums_before(df, ["k"], "o", "v", "b").toPandas().sort_values(["k", "o"])
+    for _, g in got.groupby("k"):
+        assert (g["b"].to_numpy() == np.cumsum(g["v"]) - g["v"]).all()
+
+
+def test_packing_deals_equal_rows(spark):
+    df = spark.createDataFrame([(None, None)] * 3000, "doc_id long, text string")
+    got = packing.pack(df, group_rows=500).toPandas()
+    assert len(got) == 3000 and got["sequence_id"].nunique() == 6 and got["length"].sum() == 3000

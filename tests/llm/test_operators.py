@@ -323,12 +323,45 @@ def test_personal_data(odd, docs):
     assert pii.find(odd.filter("doc_id = 99")).count() == 0
 
 
+def test_proposals_are_decided(spark):
+    """Planted truth among decoys: proposals are accepted and turned down, with precision and recall."""
+    rng, rows, truth, decoys = np.random.default_rng(8), [], {}, {}
+
+    def digits(n, check=None):
+        while True:
+            d = "4" + "".join(map(str, rng.integers(0, 10, n - 1)))
+            if check is None or pii.luhn(d) == check:
+                return d
+
+    for i in range(600):
+        fill, hexa = prose(i, 8), "".join(rng.choice(list("0123456789abcdef"), 40))
+        said = {
+            0: (f'api token = "{hexa}"', "secret", hexa), 1: (f"card {digits(16, True)} and mail me.{i}@mail1.example.com", None, None), 2: (f"write to ann.{i} [at] mail1.example [dot] com", "email", None),
+            3: (f"phone (212) 555-{i:04d} today, tel +1 (212) 555-{i:04d}", "phone", f"(212) 555-{i:04d}"), 4: (f"order {digits(16, False)} sent", False, None), 5: (f"commit {hexa} fixed", False, hexa),
+            6: (f"server 10.1.{i % 250}.7 and 10[.]1[.]{i % 250}[.]9 up", "ip", None), 7: (f"version 1.20.{300 + i}.4 out", False, None), 8: (f"see user{i}@host now", False, None), 9: (fill, False, None),
+        }[i % 10]
+        text = f"{fill} {said[0]} {fill}"
+        rows.append((i, text))
+        (truth if said[1] else decoys if said[1] is False else {})[i] = said[1]
+    got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit = sum(f"{kind}:" in got[i]["spans"] and got[i]["n_added"] > 0 for i, kind in truth.items())
+    wrong = sum(got[i]["n_added"] > 0 for i in decoys)
+    assert hit >= 0.9 * len(truth) and wrong <= 0.05 * hit
+
+
+def test_secrets_of_the_documents_are_found(docs):
+    token = re.compile(r'token = "([0-9a-f]{40})"')
+    for r in pii.find(docs).join(docs, "doc_id").collect():
+        assert {f"secret:{m.start(1)}:{m.end(1)}" for m in token.finditer(r["text"])} <= set(r["spans"].split(","))
+        assert r["n_spans"] - r["n_added"] == sum(r[f"n_{k}"] for k in pii.KINDS) and r["n_added"] >= len(token.findall(r["text"]))
+
+
 def test_reliabilities_rank_labelers():
     rng = np.random.default_rng(5)
     truth = rng.random(4000) < 0.4
     votes = np.stack([np.where(rng.random(4000) < acc, np.where(truth, 1, 2), np.where(truth, 2, 1)) for acc in (0.95, 0.9, 0.6)], axis=1)
     patterns, n = np.unique(votes, axis=0, return_counts=True)
-    prior, given, _ = pii.reliabilities(patterns, n.astype(float))
+    prior, given, _ = pii.reliabilities(patterns, n.astype(float), np.ones((2, 3, 3)))
     assert abs(prior - 0.4) < 0.06 and given[1, 0, 1] > given[1, 1, 1] > given[1, 2, 1]
 
 

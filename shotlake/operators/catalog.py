@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shotlake.sources.stages import keep
+
 #: File name endings by kind.
-VIDEO = (".mp4", ".mov", ".mxf", ".avi", ".mkv", ".webm", ".m4v", ".mts")
-IMAGE = (".jpg", ".jpeg", ".png", ".heic", ".tif", ".tiff", ".webp", ".dng", ".cr2", ".arw", ".nef")
+VIDEO = (".mp4", ".mov", ".m4v", ".avi", ".mkv", ".webm", ".mts", ".m2ts", ".mxf", ".wmv")
+IMAGE = (".jpg", ".jpeg", ".png", ".heic", ".heif", ".webp", ".tif", ".tiff", ".avif", ".bmp")
+RAW = (".nef", ".nrw", ".arw", ".srf", ".sr2", ".cr2", ".cr3", ".crw", ".dng", ".raf", ".orf", ".rw2", ".pef", ".srw", ".x3f", ".3fr", ".erf", ".mef", ".mrw", ".kdc", ".dcr")
 
 
 def newest(rows: DataFrame, at: str, key: str, limit: int | None = None, status: str | None = None) -> DataFrame:
@@ -26,19 +29,22 @@ def lookup(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 def media_kind(name: Column) -> Column:
     """video, image or null by file name; names that start with `._` are stubs."""
     ext = F.regexp_extract(F.lower(name), r"(\.[^.]+)$", 1)
-    return F.when(name.startswith("._"), None).when(ext.isin(*VIDEO), "video").when(ext.isin(*IMAGE), "image")
+    return F.when(name.startswith("._"), None).when(ext.isin(*VIDEO), "video").when(ext.isin(*IMAGE, *RAW), "image")
+
 
+def with_paths(listing: DataFrame) -> DataFrame:
+    """listing (id, parent, name): full path of each entry under a root, by joining parents level by level until none is left.
 
-def with_paths(listing: DataFrame, most_depth: int = 32) -> DataFrame:
-    """listing (id, parent, name): full path of each entry, by joining parents level by level until none is left."""
-    done = listing.filter(F.col("parent").isNull()).select("id", "name", F.col("name").alias("path"))
-    level = done.select("id", "path")
-    for _ in range(most_depth):
-        nxt = listing.alias("l").join(level.select(F.col("id").alias("parent"), F.col("path").alias("above")), "parent").select("id", "name", F.concat_ws("/", "above", "name").alias("path")).cache()
-        if nxt.isEmpty():
-            break
-        done, level = done.unionByName(nxt), nxt.select("id", "path")
-    return done
+    Levels are written stages. Entries that stand in a circle have no root and no path; an id is placed once.
+    """
+    level = keep(listing.filter(F.col("parent").isNull()).select("id", "name", F.col("name").alias("path")), "paths")
+    done = level
+    while True:
+        above = level.select(F.col("id").alias("parent"), F.col("path").alias("above"))
+        level = keep(listing.join(above, "parent").select("id", "name", F.concat_ws("/", "above", "name").alias("path")).join(done.select("id"), "id", "left_anti"), "paths")
+        if level.isEmpty():
+            return done
+        done = done.unionByName(level)
 
 
 def upsert(base: DataFrame, updates: DataFrame, key: str) -> DataFrame:
@@ -88,16 +94,20 @@ def primary_shots(shots: DataFrame) -> DataFrame:
 def spread_sample(rows: DataFrame, key: str, n: int, total: int) -> DataFrame:
     """n rows evenly spread over the order of key: a sampling operator. Rows are numbered inside ranges, ranges by their counts."""
     step = max(1, -(-total // n))
-    parts = rows.select(key).repartitionByRange(key).withColumn("_p", F.spark_partition_id()).persist()
+    parts = keep(rows.select(key).repartitionByRange(key).withColumn("_p", F.spark_partition_id()), "spread")
     before = parts.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).drop("_n")
     inside = parts.withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy(key)) - 1)
-    return inside.join(F.broadcast(before), "_p").filter((F.col("_before") + F.col("_i")) % step == 0).select(key).limit(n)
+    return inside.join(before, "_p").filter((F.col("_before") + F.col("_i")) % step == 0).select(key).limit(n)
 
 
 def pilot(files: DataFrame, count: int, video_share: float = 0.6, seed: int = 42) -> DataFrame:
-    """A stratified sample: about video_share videos, the rest photos, each stratum in hash order, short strata backfilled."""
-    w = W.partitionBy("media_kind").orderBy(F.xxhash64("source_id", F.lit(seed)), "source_id")
-    rows = files.filter(F.col("media_kind").isNotNull()).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= count)
+    """A stratified sample: about video_share videos, the rest photos, each stratum in hash order, short strata backfilled.
+
+    Each stratum's first `count` come from a sort that keeps only so many rows a task; all that follows is as small.
+    """
+    order = [F.xxhash64("source_id", F.lit(seed)), "source_id"]
+    first = [files.filter(F.col("media_kind") == k).orderBy(*order).limit(count) for k in ("video", "image")]
+    rows = first[0].unionByName(first[1]).withColumn("r", F.row_number().over(W.partitionBy("media_kind").orderBy(*order)))
     quota = F.when(F.col("media_kind") == "video", round(count * video_share)).otherwise(count - round(count * video_share))
     return rows.orderBy((F.col("r") > quota).cast("int"), "r", "media_kind").limit(count).select("source_id", "media_kind")
 

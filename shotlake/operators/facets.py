@@ -75,25 +75,30 @@ def price(kind: Column, tokens: Column, cached: Column, rates: dict[str, tuple[f
     return out
 
 
-def merge_proposals(proposals: DataFrame, least: int) -> DataFrame:
-    """proposals (parent, name, source_id): names of a parent that differ by case, marks or a plural are one, named as the biggest.
+def merge_proposals(proposals: DataFrame, least: int, tree: DataFrame | None = None) -> DataFrame:
+    """proposals (parent, name, source_id): names of a parent that are one folder but for spelling are one, named as a folder of the tree (parent, name) or the biggest.
 
-    Greedy from the biggest down, so a parent's names are folded together; there is one row per name, not per clip.
+    Greedy from the biggest down, then by name, so a parent's names are folded together; there is one row per name, not per clip.
     """
     import pandas as pd
 
+    from shotlake.operators.folders import same_folder
+
     def fold(g: pd.DataFrame) -> pd.DataFrame:
         kept: list[tuple[str, str]] = []
+        real = g.loc[g["n"] < 0, "name"].sort_values().tolist()
         out = []
-        for r in g.sort_values(["n", "name"], ascending=[False, True]).itertuples():
-            key = "".join(c for c in r.name.lower() if c.isalnum()).rstrip("s")
-            name = next((n for k, n in kept if k == key), None)
+        for r in g[g["n"] >= 0].sort_values(["n", "name"], ascending=[False, True]).itertuples():
+            name = next((to for first, to in kept if same_folder(first, r.name)), None)
             if name is None:
-                kept.append((key, r.name))
-            out.append((r.parent, r.name, name or r.name))
-        return pd.DataFrame(out, columns=["parent", "name", "merged"])
+                name = next((x for x in real if same_folder(x, r.name)), r.name)
+                kept.append((name, name))
+            out.append((r.parent, r.name, name, name in real))
+        return pd.DataFrame(out, columns=["parent", "name", "merged", "existing"])
 
     sizes = proposals.groupBy("parent", "name").agg(F.count_distinct("source_id").alias("n"))
-    names = sizes.groupBy("parent").applyInPandas(fold, "parent string, name string, merged string")
-    per = proposals.join(names, ["parent", "name"]).groupBy("parent", F.col("merged").alias("name")).agg(F.count_distinct("source_id").alias("files"))
-    return per.withColumn("enough", F.col("files") >= least)
+    if tree is not None:
+        sizes = sizes.unionByName(tree.select("parent", "name", F.lit(-1).cast("long").alias("n")))
+    names = sizes.groupBy("parent").applyInPandas(fold, "parent string, name string, merged string, existing boolean")
+    per = proposals.join(names, ["parent", "name"]).groupBy("parent", F.col("merged").alias("name")).agg(F.count_distinct("source_id").alias("files"), F.max("existing").alias("existing"))
+    return per.select("parent", "name", "files", (F.col("files") >= least).alias("enough"), "existing")

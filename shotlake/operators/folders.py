@@ -18,11 +18,51 @@ def match(written: DataFrame, leaves: DataFrame, key: str) -> DataFrame:
     return out.join(spelt, "_k", "left").join(last, "_k", "left").select(key, F.coalesce("a", "b", "c").alias("path"))
 
 
+#: Names shorter than this are in no other name.
+LEAST_PART = 4
+
+
+def same_folder(a: str, b: str) -> bool:
+    """One folder but for spelling: equal letters and digits, a plural, or one inside the other."""
+    a, b = ("".join(c for c in x.lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789") for x in (a, b))
+    return bool(a and b) and (a == b or a.rstrip("s") == b.rstrip("s") or (min(len(a), len(b)) >= LEAST_PART and (a in b or b in a)))
+
+
 def near(names: DataFrame) -> DataFrame:
-    """names (parent, name): pairs under one parent that differ by case, marks or a plural. The key is equal, so no pair is tried in vain."""
-    keyed = names.withColumn("_k", F.rtrim(squashed(F.col("name")), F.lit("s")))
-    other = keyed.select("parent", "_k", F.col("name").alias("near"))
-    return keyed.join(other, ["parent", "_k"]).filter("name < near").select("parent", "name", "near")
+    """names (parent, name): pairs under one parent that are one folder but for spelling, see same_folder().
+
+    A name meets those it equals without its plural, and those whose letters are a stretch of its own: keys are equal
+    in both joins, so no pair is tried in vain.
+    """
+    s = squashed(F.col("name"))
+    keyed = names.select("parent", "name", s.alias("_s")).filter("_s <> ''").distinct()
+    plural = keyed.withColumn("_k", F.rtrim("_s", F.lit("s")))
+    pairs = plural.join(plural.select("parent", "_k", F.col("name").alias("near")), ["parent", "_k"]).select("parent", "name", "near")
+    n = F.length("_s")
+    starts = F.filter(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(LEAST_PART), F.greatest(F.lit(LEAST_PART), n - i + 1)), lambda k: F.substr(F.col("_s"), i, k))), lambda x: F.length(x[0]) >= LEAST_PART)
+    parts = keyed.filter(n >= LEAST_PART).select("parent", F.col("name").alias("long"), F.explode(F.array_distinct(F.flatten(starts))).alias("_s"))
+    inside = keyed.filter(n >= LEAST_PART).join(parts, ["parent", "_s"]).select("parent", F.least("name", "long").alias("name"), F.greatest("name", "long").alias("near"))
+    return pairs.unionByName(inside).filter("name < near").distinct()
+
+
+def resolve(proposed: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """proposed (key, proposal) -> existing (a sibling that is the same folder) or created (a new path); neither if its parent is unknown.
+
+    nodes (path) are the folders there are. The parent is matched as match() does; the name is cleaned: words with a capital, 40 letters.
+    """
+    path = F.btrim(F.col("proposal"), F.lit("/ "))
+    raw = F.element_at(F.split(path, "/"), -1)
+    name = F.btrim(F.substring(F.array_join(F.transform(F.split(F.regexp_replace(F.trim(raw), r"[\s_]+", " "), " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 100))), " "), 1, 40))
+    rows = proposed.select(key, F.regexp_extract(path, "^(.*)/", 1).alias("written"), name.alias("name"))
+    rows = rows.join(match(rows.select(key, "written").filter("written <> ''"), nodes, key), key).filter("path IS NOT NULL AND name <> ''").withColumnRenamed("path", "parent")
+    children = nodes.select(F.regexp_extract("path", "^(.*)/", 1).alias("parent"), F.element_at(F.split("path", "/"), -1).alias("name")).filter("parent <> ''")
+    both = near(rows.select("parent", "name").unionByName(children).distinct())
+    either = both.unionByName(both.select("parent", F.col("near").alias("name"), F.col("name").alias("near")))
+    same = children.select("parent", "name", F.col("name").alias("near")).unionByName(either)
+    sibling = rows.join(same, ["parent", "name"]).join(children.select("parent", F.col("name").alias("near")), ["parent", "near"], "left_semi").groupBy(key).agg(F.min("near").alias("sibling"))
+    found = rows.join(sibling, key, "left")
+    at = lambda c: F.concat_ws("/", "parent", c)
+    return proposed.select(key).join(found.select(key, F.when(F.col("sibling").isNotNull(), at("sibling")).alias("existing"), F.when(F.col("sibling").isNull(), at("name")).alias("created")), key, "left")
 
 
 def distinct_any_case(v: Column) -> Column:

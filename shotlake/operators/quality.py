@@ -58,13 +58,13 @@ def candidates(terms: DataFrame, at: str, least: int) -> DataFrame:
 
 
 def _stems(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.substring(w, 1, 5))
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9']+"), F.lit(0)), lambda w: F.substring(w, 1, 5))
 
 
 def mentioned(term: Column, text: Column) -> Column:
-    """Whether every word of the term, by its first five letters, begins a word of the text."""
-    have = _stems(text)
-    return F.forall(F.transform(F.regexp_extract_all(F.lower(term), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.rtrim(F.substring(w, 1, 4))), lambda s: F.exists(have, lambda h: h.startswith(s)))
+    """Whether the term has words, and each, cut to five letters, is a word of the text cut so."""
+    words, have = _stems(term), _stems(text)
+    return (F.size(words) > 0) & F.forall(words, lambda w: F.array_contains(have, w))
 
 
 def supported(tags: Column, text: Column, stop: tuple) -> Column:

@@ -17,7 +17,7 @@ def a2_shots_by_status(spark, d):
 
 def a3_lookup_by_hash(spark, d):
     s = adapter.sources(spark, d)
-    return catalog.lookup(s, s.filter("cast(source_id as long) % 37 = 0"), "content_hash").select("source_id", "content_hash")
+    return catalog.lookup(s, s.filter("status = 'needs_review'"), "content_hash").select("source_id", "content_hash")
 
 
 def a5_media_kind(spark, d):
@@ -122,7 +122,7 @@ def b17_snap_fps(spark, d):
 
 
 def b18_fingerprint(spark, d):
-    return read(spark, d, "documents").select("doc_id", quality.fingerprint(F.coalesce("text", F.lit("")).cast("binary"), 1024).alias("hash"))
+    return read(spark, d, "documents").select("doc_id", quality.fingerprint(F.coalesce("text", F.lit("")).cast("binary")).alias("hash"))
 
 
 def b19_duplicates(spark, d):
@@ -224,7 +224,7 @@ def i1_shots_sources(spark, d):
 
 def i2_match_files(spark, d):
     s = adapter.sources(spark, d)
-    local = s.filter("cast(source_id as long) % 3 = 0").select(F.col("filename").alias("name"), F.col("content_hash").alias("md5"), F.col("source_id").alias("id"))
+    local = s.select(F.col("filename").alias("name"), F.col("content_hash").alias("md5"), F.col("source_id").alias("id"))
     return usage.match_files(local, s.select(F.col("source_id").alias("orig_id"), F.col("filename").alias("orig_name"), F.col("content_hash").alias("md5")))
 
 
@@ -302,10 +302,11 @@ def o3_intersection(spark, d):
     return adapter.usage(spark, d).select("shot_id").intersect(adapter.shots(spark, d).filter("status = 'indexed'").select("shot_id"))
 
 
+_STEMS = "list_transform(regexp_extract_all(lower({}), '[a-z0-9'']+'), lambda w: w[1:5])"
 ORACLE = {
     "a1_sources_newest": oracle("SELECT source_id, created_at FROM sources WHERE status = 'indexed' ORDER BY created_at DESC, source_id LIMIT 50", "sources"),
     "a2_shots_by_status": oracle("SELECT shot_id, caption FROM shots WHERE status = 'indexed'", "shots"),
-    "a3_lookup_by_hash": oracle("SELECT source_id, content_hash FROM sources WHERE content_hash IN (SELECT content_hash FROM sources WHERE CAST(source_id AS BIGINT) % 37 = 0)", "sources"),
+    "a3_lookup_by_hash": oracle("SELECT source_id, content_hash FROM sources WHERE content_hash IN (SELECT content_hash FROM sources WHERE status = 'needs_review')", "sources"),
     "a5_media_kind": oracle("SELECT media_kind AS kind, count(*) AS n FROM sources GROUP BY ALL", "sources"),
     "a6_listing_paths": """SELECT 'r' || r_regionkey AS id, r_name AS path FROM region UNION ALL SELECT 'n' || n_nationkey, r_name || '/' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey
         UNION ALL SELECT 's' || s_suppkey, r_name || '/' || n_name || '/' || s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
@@ -324,8 +325,8 @@ ORACLE = {
     "b6_out_of_vocabulary": oracle("""SELECT field, term, count(*) AS n FROM (SELECT 'action' AS field, action AS term FROM shots UNION ALL SELECT 'setting', setting FROM shots)
         WHERE (field, term) NOT IN (SELECT 'action', lower(p_type) FROM part WHERE p_size <= 10 UNION SELECT 'setting', p_brand FROM part WHERE p_size <= 3) GROUP BY ALL""", "shots"),
     "b7_candidates": oracle("""SELECT 'kind' AS field, kind || '_' || (tokens % 10) AS term, count(*) AS n, min("at") AS first_seen, max("at") AS last_seen FROM ledger GROUP BY ALL HAVING count(*) >= 5""", "ledger"),
-    "b11_mentioned": oracle("SELECT contains(' ' || caption, ' gear') AS m, count(*) AS n FROM shots GROUP BY ALL", "shots"),
-    "b12_evidence": oracle("SELECT shot_id, array_to_string(list_filter(list_distinct_o, lambda t: t NOT IN ('red', 'blue')), ',') AS tags FROM (SELECT shot_id, CASE WHEN list_contains(tags, action) THEN tags ELSE list_append(tags, action) END AS list_distinct_o FROM shots)", "shots"),
+    "b11_mentioned": oracle(f"SELECT list_has_all({_STEMS.format('caption')}, {_STEMS.format("tags[1] || ' gears'")}) AS m, count(*) AS n FROM shots GROUP BY ALL", "shots"),
+    "b12_evidence": oracle(f"SELECT shot_id, array_to_string(list_filter(list_distinct_o, lambda t: t NOT IN ('red', 'blue') AND list_has_all({_STEMS.format('caption')}, {_STEMS.format('t')})), ',') AS tags FROM (SELECT shot_id, caption, CASE WHEN list_contains(tags, action) THEN tags ELSE list_append(tags, action) END AS list_distinct_o FROM shots)", "shots"),
     "b13_review_reasons": oracle("""SELECT shot_id, array_to_string(list_filter([CASE WHEN confidence < 0.6 THEN 'low_confidence' WHEN confidence < 0.7 THEN 'unsure' END,
         CASE WHEN list_has_any(quality_flags, ['shaky', 'dark']) THEN 'defect' END], lambda x: x IS NOT NULL), ',') AS reasons FROM shots""", "shots"),
     "b15_intake": oracle("""SELECT source_id, CASE WHEN media_kind <> 'image' AND duration_s > 300 THEN 'too_long' WHEN filesize_bytes > 250000000 THEN 'too_big' ELSE 'ok' END AS verdict,
@@ -334,7 +335,7 @@ ORACLE = {
     "b16_failures": oracle("SELECT CASE tokens % 3 WHEN 0 THEN 'quota' WHEN 1 THEN 'transient' ELSE 'missing' END AS failure, count(*) AS n FROM ledger GROUP BY ALL", "ledger"),
     "b17_snap_fps": """SELECT p_partkey, coalesce((SELECT r FROM (VALUES (23.976), (24.0), (25.0), (29.97), (30.0), (48.0), (50.0), (59.94), (60.0)) v(r) WHERE abs(f - r) / r <= 0.015 ORDER BY abs(f - r), r LIMIT 1)::DOUBLE, round(f, 3)) AS fps
         FROM (SELECT p_partkey, 23.5 + p_partkey % 400 / 10 AS f FROM part)""",
-    "b18_fingerprint": """SELECT doc_id, sha256(CAST(octet_length(b) AS VARCHAR)::BLOB || b[1:1024] || CASE WHEN octet_length(b) > 2048 THEN b[octet_length(b) - 1023:octet_length(b)] ELSE ''::BLOB END) AS hash FROM (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents)""",
+    "b18_fingerprint": """SELECT doc_id, sha256(CAST(octet_length(b) AS VARCHAR)::BLOB || b[1:1048576] || CASE WHEN octet_length(b) > 2097152 THEN b[octet_length(b) - 1048575:octet_length(b)] ELSE ''::BLOB END) AS hash FROM (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents)""",
     "b19_duplicates": oracle("""SELECT source_id, kept_id, workspace_id, content_hash FROM (SELECT *, row_number() OVER w AS r, first_value(source_id) OVER w AS kept_id FROM sources
         WINDOW w AS (PARTITION BY workspace_id, content_hash ORDER BY created_at, source_id)) WHERE r > 1""", "sources"),
     "b20_tags": oracle("SELECT shot_id, array_to_string(list_sort(list_distinct(tags)), ',') AS tags FROM shots", "shots"),
@@ -346,7 +347,7 @@ ORACLE = {
         SELECT source_id, count(*) AS n, count_if(status = 'needs_review') AS review, count_if(status = 'failed') AS failed, arg_min(analysis_version, CAST(split_part(analysis_version, '.', 2) AS INT)) AS version FROM shots GROUP BY ALL) USING (source_id)""", "sources", "shots"),
     "b27_missing_shots": oracle("SELECT source_id, max(shot_index) + 1 AS shot_index FROM shots GROUP BY ALL", "shots"),
     "b28_primary": oracle("SELECT source_id, shot_id, duration_s FROM shots QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY duration_s DESC, shot_index) = 1", "shots"),
-    "b29_reanalyse": oracle("SELECT count(*) AS n, round(count(*) * 0.0039, 4) AS usd FROM shots JOIN sources USING (source_id) WHERE CAST(split_part(analysis_version, '.', 2) AS INT) < 6 AND category LIKE 'ASIA/%'", "sources", "shots"),
+    "b29_reanalyse": oracle("SELECT count(*) AS n, round((count(*) * 0.0039)::DOUBLE, 4) AS usd FROM shots JOIN sources USING (source_id) WHERE CAST(split_part(analysis_version, '.', 2) AS INT) < 6 AND category LIKE 'ASIA/%'", "sources", "shots"),
     "b32_dry_run": oracle("SELECT CASE WHEN media_kind <> 'image' AND duration_s > 300 THEN 'too_long' WHEN filesize_bytes > 250000000 THEN 'too_big' ELSE 'ok' END AS verdict, media_kind, count(*) AS n, round(sum(filesize_bytes) / 1e9, 3) AS gb FROM sources GROUP BY ALL", "sources"),
     "c1_in_lists": oracle("SELECT shot_id FROM shots WHERE shot_type IN ('wide', 'close_up') AND action = 'promo' AND status IN ('indexed', 'needs_review')", "shots"),
     "c2_any_of": oracle("SELECT shot_id FROM shots WHERE list_contains(mood, 'calm') AND list_has_any(tags, ['red', 'blue']) AND status IN ('indexed', 'needs_review')", "shots"),
@@ -360,7 +361,7 @@ ORACLE = {
     "c9_added": oracle("SELECT source_id FROM sources WHERE created_at BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-01-01' AND status IN ('indexed', 'needs_review')", "sources"),
     "c10_exclude": oracle("SELECT status, count(*) AS n FROM shots WHERE shot_id NOT IN (SELECT shot_id FROM usage) GROUP BY ALL", "shots", "usage"),
     "i1_shots_sources": oracle("SELECT category, count(*) AS n, count(DISTINCT source_id) AS files FROM shots JOIN sources USING (source_id) GROUP BY ALL", "sources", "shots"),
-    "i2_match_files": oracle("""SELECT l.source_id AS id, o.source_id AS orig_id, l.filename <> o.filename AS renamed FROM sources l JOIN sources o USING (content_hash) WHERE CAST(l.source_id AS BIGINT) % 3 = 0
+    "i2_match_files": oracle("""SELECT l.source_id AS id, o.source_id AS orig_id, l.filename <> o.filename AS renamed FROM sources l JOIN sources o USING (content_hash)
         QUALIFY row_number() OVER (PARTITION BY l.source_id ORDER BY l.filename <> o.filename, o.source_id) = 1""", "sources"),
     "i5_enqueue": oracle("SELECT DISTINCT filename FROM sources WHERE filename NOT IN (SELECT filename FROM sources WHERE status = 'pending' OR width = 640)", "sources"),
     "i7_usage_history": oracle("""SELECT s.shot_id, count(u.project) AS uses, coalesce(string_agg(project, ',' ORDER BY used_at DESC, project) FILTER (r <= 5), '') AS recent FROM shots s

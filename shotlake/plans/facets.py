@@ -91,7 +91,8 @@ def g19_overview(spark, d):
 
 def g20_proposals(spark, d):
     c = read(spark, d, "customer").select(F.col("c_mktsegment").alias("parent"), F.concat(F.lit("Place"), F.col("c_nationkey") % 5, F.when(F.col("c_custkey") % 3 == 0, "s").otherwise("")).alias("name"), F.col("c_custkey").alias("source_id"))
-    return facets.merge_proposals(c, 50)
+    tree = read(spark, d, "customer").select(F.col("c_mktsegment").alias("parent"), F.lit("place-2").alias("name")).distinct()
+    return facets.merge_proposals(c, 50, tree)
 
 
 def g21_refile_matrix(spark, d):
@@ -290,7 +291,7 @@ ORACLE = {
     "g18_waits": oracle("SELECT workspace_id, count_if(NOT ok) AS waiting, bool_or(NOT ok AND tokens > 98) AS daily FROM ledger GROUP BY ALL", "ledger"),
     "g19_overview": oracle("""SELECT workspace_id, clips, queued, shots, review FROM (SELECT workspace_id, count(*) AS clips, count_if(status = 'pending') AS queued FROM sources GROUP BY ALL)
         FULL JOIN (SELECT workspace_id, count(*) AS shots, count_if(s.status = 'needs_review') AS review FROM shots s JOIN sources USING (source_id) GROUP BY ALL) USING (workspace_id)""", "sources", "shots"),
-    "g20_proposals": """SELECT parent, arg_max(name, (n, name)) AS name, sum(n)::BIGINT AS files, sum(n) >= 50 AS enough FROM (
+    "g20_proposals": """SELECT parent, CASE WHEN p = 2 THEN 'place-2' ELSE arg_min(name, {'a': -n, 'b': name}) END AS name, sum(n)::BIGINT AS files, sum(n) >= 50 AS enough, p = 2 AS existing FROM (
         SELECT c_mktsegment AS parent, c_nationkey % 5 AS p, 'Place' || (c_nationkey % 5) || CASE WHEN c_custkey % 3 = 0 THEN 's' ELSE '' END AS name, count(DISTINCT c_custkey) AS n FROM customer GROUP BY ALL) GROUP BY parent, p""",
     "g22_job_totals": oracle("SELECT job_id, count(*) AS calls, sum(tokens)::BIGINT AS tokens, round(sum(cost_usd), 4) AS usd FROM ledger GROUP BY ALL", "ledger"),
     "h1_number": oracle("SELECT shot_id, row_number() OVER (PARTITION BY source_id ORDER BY start_s) - 1 AS k FROM shots WHERE status <> 'failed'", "shots"),

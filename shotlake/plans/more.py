@@ -26,7 +26,7 @@ def b8_match_folder(spark, d):
 
 
 def b9_near_names(spark, d):
-    s = read(spark, d, "supplier").select(F.col("s_nationkey").alias("parent"), F.concat(F.lit("Place "), F.col("s_suppkey") % 9, F.when(F.col("s_suppkey") % 2 == 0, "s").otherwise("")).alias("name")).distinct()
+    s = read(spark, d, "supplier").select(F.col("s_nationkey").alias("parent"), F.concat(F.lit("Place "), F.col("s_suppkey") % 9, F.when(F.col("s_suppkey") % 2 == 0, "s").when(F.col("s_suppkey") % 5 == 0, " North").otherwise("")).alias("name")).distinct()
     return folders.near(s)
 
 
@@ -153,8 +153,9 @@ def o4_ordered_distinct(spark, d):
 
 ORACLE = {
     "b8_match_folder": oracle("""SELECT source_id, CASE WHEN CAST(source_id AS BIGINT) % 4 < 2 THEN category WHEN CAST(source_id AS BIGINT) % 4 = 2 AND (SELECT count(DISTINCT category) FROM sources x WHERE split_part(x.category, '/', 3) = split_part(s.category, '/', 3)) = 1 THEN category END AS path FROM sources s""", "sources"),
-    "b9_near_names": """WITH s AS (SELECT DISTINCT s_nationkey AS parent, 'Place ' || (s_suppkey % 9) || CASE WHEN s_suppkey % 2 = 0 THEN 's' ELSE '' END AS name FROM supplier)
-        SELECT a.parent, a.name, b.name AS near FROM s a JOIN s b ON a.parent = b.parent AND a.name < b.name AND rtrim(a.name, 's') = rtrim(b.name, 's')""",
+    "b9_near_names": """WITH s AS (SELECT DISTINCT s_nationkey AS parent, 'Place ' || (s_suppkey % 9) || CASE WHEN s_suppkey % 2 = 0 THEN 's' WHEN s_suppkey % 5 = 0 THEN ' North' ELSE '' END AS name FROM supplier),
+        q AS (SELECT *, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS k FROM s)
+        SELECT a.parent, a.name, b.name AS near FROM q a JOIN q b ON a.parent = b.parent AND a.name < b.name AND (rtrim(a.k, 's') = rtrim(b.k, 's') OR contains(a.k, b.k) OR contains(b.k, a.k))""",
     "b14_photo_override": oracle("SELECT shot_id, CASE WHEN media_kind = 'image' THEN 'static' ELSE camera_movement END AS camera_movement FROM shots JOIN sources USING (source_id)", "sources", "shots"),
     "b22_embedding_text": oracle("""SELECT shot_id, caption || ', ' || upper(action) || list_reduce(list_prepend('', list_filter(list_distinct_o, lambda t: t <> action)), lambda a, b: a || ', ' || b) AS text FROM (SELECT *, list_concat(tags, mood) AS list_distinct_o FROM shots)""", "shots"),
     "c5_unfiled": oracle("SELECT source_id FROM sources WHERE width = 640 AND status IN ('indexed', 'needs_review')", "sources"),

@@ -79,7 +79,7 @@ def ledger(spark: SparkSession, d: str) -> DataFrame:
 def usage(spark: SparkSession, d: str) -> DataFrame:
     """Which shot was used in which project: the last purchase or click of a user stands for its project's use."""
     e = read(spark, d, "events").filter(F.col("event_type").isin("purchase", "click"))
-    rows = e.select((F.col("event_id") % 1000).cast("string").alias("source_id"), F.concat(F.lit("p"), (F.col("user_id") % 20).cast("string")).alias("project"), F.when(F.col("event_type") == "click", F.concat(F.lit("b"), (F.col("event_id") % 5).cast("string"))).alias("beat"), F.col("ts").alias("used_at"))
+    rows = e.select((F.floor(F.col("event_id") / 4)).cast("string").alias("source_id"), F.concat(F.lit("p"), (F.col("user_id") % 20).cast("string")).alias("project"), F.when(F.col("event_type") == "click", F.concat(F.lit("b"), (F.col("event_id") % 5).cast("string"))).alias("beat"), F.col("ts").alias("used_at"))
     rows = rows.withColumn("shot_id", F.concat(F.col("source_id"), F.lit("-0")))
     return rows.groupBy("shot_id", "project").agg(F.max_by(F.struct("beat", "used_at"), "used_at").alias("x")).select("shot_id", "project", "x.beat", "x.used_at")
 
@@ -115,7 +115,7 @@ CTE = {
         SELECT event_id AS call_id, 'lib' || (user_id % 4) AS workspace_id, ts AS at, event_type AS kind, value AS cost_usd,
                CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens, event_type <> 'error' AS ok, 'job' || user_id AS job_id FROM events)""",
     "usage": """usage AS (
-        SELECT (event_id % 1000) || '-0' AS shot_id, 'p' || (user_id % 20) AS project,
+        SELECT (event_id // 4) || '-0' AS shot_id, 'p' || (user_id % 20) AS project,
                arg_max({'b': CASE WHEN event_type = 'click' THEN 'b' || (event_id % 5) END}, ts).b AS beat, max(ts) AS used_at
         FROM events WHERE event_type IN ('purchase', 'click') GROUP BY 1, 2)""",
 }

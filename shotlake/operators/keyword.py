@@ -7,11 +7,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shotlake.operators.stem import stems
+from shotlake.sources.stages import keep
+
 TOKEN = r"[\p{L}\p{N}_']+"
 INDEX_TOKEN = r"[\p{L}\p{N}]+"
 K1, B = 1.2, 0.75
-#: Words that say nothing about a picture.
-STOPWORDS = ("a an and are as at be but by for from has have he her his i in into is it its of on or our she that the their them then there they this to was we were what when where which who will with you your").split()
+#: Words that make a query a request rather than a description.
+STOPWORDS = list(
+    """a an the and or but nor so of to in on at by for from with without into onto
+    about over under off out up as than then there here this that these those
+    i me my mine we us our you your he him his she her they them their it its
+    is are was were be been being am do does did have has had can could would
+    should will shall may might must need needs needed want wants wanted like
+    looking look find show give get got please just some any something anything
+    shot shots clip clips footage video videos broll b roll b-roll one ones
+    which what who whom where when while how""".split()
+)
 _FOLD = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 
 
@@ -26,21 +38,24 @@ def index_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.lower(F.coalesce(text, F.lit(""))), *_FOLD), F.lit(INDEX_TOKEN), F.lit(0))
 
 
-def postings(docs: DataFrame, doc: str, columns: dict[str, float]) -> DataFrame:
-    """(term, doc, tf, in_first): tf is the sum over columns of weight x occurrences; in_first, whether the first column has the term."""
+def tokenised(docs: DataFrame, doc: str, columns: dict[str, float], stemmed: bool = False) -> DataFrame:
+    """A written stage (doc, len, terms): each document's terms with their column's weight and whether it is the first; each text is cut once."""
     first = next(iter(columns))
 
     def column(c: str, weight: float) -> Column:
-        return F.transform(index_tokens(F.col(c)), lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w"), F.lit(c == first).alias("f")))
+        tokens = stems(index_tokens(F.col(c))) if stemmed else index_tokens(F.col(c))
+        return F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w"), F.lit(c == first).alias("f")))
 
-    parts = [column(c, w) for c, w in columns.items()]
-    words = docs.select(F.col(doc).alias("doc"), F.explode(F.concat(*parts)).alias("t"))
-    return words.groupBy(F.col("t.term").alias("term"), "doc").agg(F.sum("t.w").alias("tf"), F.max("t.f").alias("in_first"))
+    terms = F.concat(*(column(c, w) for c, w in columns.items()))
+    return keep(docs.select(F.col(doc).alias("doc"), terms.alias("terms")).select("doc", F.size("terms").alias("len"), "terms"), "tokens")
 
 
-def lengths(docs: DataFrame, doc: str, columns: list[str]) -> DataFrame:
-    """(doc, len): tokens over all columns."""
-    return docs.select(F.col(doc).alias("doc"), sum((F.size(index_tokens(F.col(c))) for c in columns), F.lit(0)).alias("len"))
+def postings(tokens: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """tokenised() -> (term, doc, tf, in_first): tf is the sum over columns of weight x occurrences. With `wanted` (term), only those terms leave a document."""
+    words = tokens.select("doc", F.explode("terms").alias("t")).select("doc", F.col("t.term").alias("term"), F.col("t.w").alias("w"), F.col("t.f").alias("f"))
+    if wanted is not None:
+        words = words.join(wanted.select("term").distinct(), "term", "left_semi")
+    return words.groupBy("term", "doc").agg(F.sum("w").alias("tf"), F.max("f").alias("in_first"))
 
 
 def frequencies(posts: DataFrame) -> DataFrame:
@@ -51,15 +66,15 @@ def frequencies(posts: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, posts: DataFrame, lens: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
     """The k best documents for each query (query_id, term rows): query_id, rank, doc, score.
 
-    Statistics are over all documents; `allowed` (doc) limits results only. Ties go to the smaller doc.
+    posts holds the postings of the queries' terms at least, lens (doc, len) all documents: statistics are over all,
+    `allowed` (doc) limits results only. Ties go to the smaller doc.
     """
     stats = lens.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    # postings of query terms only: the list of terms is small beside the postings, and Spark broadcasts it while it is
-    hits = posts.join(queries.select("term").distinct(), "term")
+    hits = posts.join(queries.select("term").distinct(), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     if allowed is not None:
         hits = hits.join(allowed, "doc", "left_semi")
-    hits = hits.join(lens, "doc").join(df, "term").join(F.broadcast(stats))  # one row
+    hits = hits.join(lens.select("doc", "len"), "doc").join(df, "term").join(F.broadcast(stats))  # one row
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     scored = queries.join(hits.select("term", "doc", part.alias("part")), "term").groupBy("query_id", "doc").agg(F.sum("part").alias("score"))
@@ -111,8 +126,25 @@ def _deletions(word: Column, most: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), F.when(most >= 1, once).otherwise(F.array().cast("array<string>")), F.when(most >= 2, twice).otherwise(F.array().cast("array<string>"))))
 
 
+def distances(pairs: DataFrame, limit: int) -> DataFrame:
+    """pairs (a, b) with edits: optimal string alignment, limit + 1 if there are more. Only pairs that a swap may bring closer leave the JVM."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(edits=[osa_distance(x, y, limit) for x, y in zip(b["a"], b["b"], strict=True)])
+
+    rows = pairs.withColumn("edits", F.levenshtein("a", "b"))
+    far = (F.col("edits") > 1) & (F.col("edits") <= 2 * limit)
+    near = rows.filter(~far).withColumn("edits", F.least("edits", F.lit(limit + 1)))
+    return near.unionByName(rows.filter(far).drop("edits").mapInPandas(run, "a string, b string, edits int"))
+
+
 def corrections(words: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(word, fixed, edits): for words not in the vocabulary (word, n), the nearest entry: fewest edits, most used, first by name."""
+    """(word, fixed, edits): for words not in the vocabulary (word, n), the nearest entry: fewest edits, most used, first by name.
+
+    Candidates share a word with letters left out. Spark's levenshtein counts a swap as two edits, so it settles all
+    pairs but those it puts one or two over the limit; only these are looked at one by one.
+    """
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -121,7 +153,55 @@ def corrections(words: DataFrame, vocab: DataFrame) -> DataFrame:
     unknown = words.select("word").distinct().join(vocab.select("word"), "word", "left_anti").withColumn("most", max_edits(F.col("word"))).filter("most > 0")
     left = unknown.select("word", "most", F.explode(_deletions(F.col("word"), F.col("most"))).alias("key"))
     right = vocab.select(F.col("word").alias("fixed"), F.col("n"), F.explode(_deletions(F.col("word"), max_edits(F.col("word")))).alias("key"))
-    pairs = left.join(right, "key").select("word", "most", "fixed", "n").distinct()
-    near = pairs.mapInPandas(verify, "word string, most int, fixed string, n long, edits int").filter("edits <= most")
+    pairs = left.join(right, "key").select("word", "most", "fixed", "n").distinct().withColumn("plain", F.levenshtein("word", "fixed"))
+    swapped = (F.col("plain") > 1) & (F.col("plain") <= 2 * F.col("most"))
+    near = pairs.filter(~swapped & (F.col("plain") <= F.col("most"))).select("word", "fixed", "n", F.col("plain").alias("edits"))
+    near = near.unionByName(pairs.filter(swapped).drop("plain").mapInPandas(verify, "word string, most int, fixed string, n long, edits int").filter("edits <= most").select("word", "fixed", "n", "edits"))
     best = W.partitionBy("word").orderBy("edits", F.desc("n"), "fixed")
     return near.withColumn("r", F.row_number().over(best)).filter("r = 1").select("word", "fixed", "edits")
+
+
+#: Words a search is likely to use that a list of ordinary words lacks.
+EXTRA_WORDS = tuple(
+    """handheld aerial drone drones macro pov timelapse gimbal tripod bokeh vlog
+    broll firefighter firefighters sauna meditating meditate meditation mindfulness
+    breathwork journaling workout workouts sandboarding snowboarding skateboarding
+    kayaking kayak skydiving surfing paddleboard podcast podcasts livestream""".split()
+)
+
+
+def inflections(words: DataFrame) -> DataFrame:
+    """words (word) -> the forms (word) that each may take; words that are known so are never put right."""
+    w = F.col("word")
+    but_last = F.expr("substring(word, 1, length(word) - 1)")
+    forms = [w, *(F.concat(w, F.lit(e)) for e in ("s", "es", "ed", "ing", "er", "ers", "ly", "d", "y"))]
+    after_e = [F.concat(but_last, F.lit("ing")), F.concat(w, F.lit("r")), F.concat(w, F.lit("rs"))]
+    after_y = [F.concat(but_last, F.lit(e)) for e in ("ies", "ied", "ier")]
+    doubled = [F.concat(w, F.substring(w, -1, 1), F.lit(e)) for e in ("ing", "ed", "er")]
+    none = F.array().cast("array<string>")
+    # ends consonant, vowel, consonant
+    short = w.rlike("[^aeiou][aeiou][^aeiouwy]$")
+    every = F.concat(F.array(*forms), F.when(w.endswith("e"), F.array(*after_e)).otherwise(none), F.when(w.endswith("y"), F.array(*after_y)).otherwise(none), F.when(short, F.array(*doubled)).otherwise(none))
+    return words.filter("word is not null").select(F.explode(every).alias("word")).distinct()
+
+
+def corrected(queries: DataFrame, vocab: DataFrame, known: DataFrame, stemmed: DataFrame) -> DataFrame:
+    """queries (query_id, text) -> (query_id, text, typed, fixed): words put right in place, and what was typed for what.
+
+    A word stays if it is a stop word, in the vocabulary (word, n), among known words (word), or if its stem is in the
+    index (stemmed: term). Else the nearest word of the vocabulary takes its place; an 's at the end stays.
+    """
+    # every second piece is a word: the text is cut where words begin and end
+    cut = F.split(F.regexp_replace("text", r"([\p{L}\p{N}_']+)", "\u0001$1\u0001"), "\u0001")
+    pieces = queries.select("query_id", F.posexplode(cut).alias("pos", "piece"))
+    lower = F.lower("piece")
+    possessive = lower.endswith("'s")
+    pieces = pieces.withColumn("word", F.when(F.col("pos") % 2 == 1, F.when(possessive, F.expr("substring(lower(piece), 1, length(piece) - 2)")).otherwise(lower))).withColumn("end", F.when(possessive, "'s").otherwise(""))
+    typed = pieces.filter(F.col("word").isNotNull() & (F.col("word") != "") & ~F.col("word").isin(*STOPWORDS)).select("word").distinct()
+    typed = typed.join(known.select("word").distinct(), "word", "left_anti").withColumn("term", stems(index_tokens(F.col("word")))[0]).join(stemmed.select("term").distinct(), "term", "left_anti").select("word")
+    fixes = corrections(typed, vocab).select("word", "fixed")
+    done = pieces.join(fixes, "word", "left")
+    out = F.struct("pos", F.when(F.col("fixed").isNotNull(), F.concat("fixed", "end")).otherwise(F.col("piece")).alias("x"), F.when(F.col("fixed").isNotNull(), F.col("word")).alias("t"), F.col("fixed").alias("f"))
+    per = done.groupBy("query_id").agg(F.array_sort(F.collect_list(out)).alias("p"))
+    list_of = lambda c: F.array_compact(F.transform("p", lambda x: x[c]))
+    return per.select("query_id", F.array_join(F.transform("p", lambda x: x["x"]), "").alias("text"), list_of("t").alias("typed"), list_of("f").alias("fixed"))

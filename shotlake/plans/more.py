@@ -52,7 +52,7 @@ def c11_filter_table(spark, d):
 
 
 def d4_document_frequency(spark, d):
-    return keyword.frequencies(keyword.postings(search.docs(spark, d), "doc_id", {"text": 1.0}))
+    return keyword.frequencies(keyword.postings(keyword.tokenised(search.docs(spark, d), "doc_id", {"text": 1.0})))
 
 
 def e6_latest_vectors(spark, d):
@@ -63,8 +63,8 @@ def e6_latest_vectors(spark, d):
 
 
 def f2_gate(spark, d):
-    c = adapter.ledger(spark, d).select(F.col("workspace_id").alias("query_id"), F.col("call_id").alias("doc"), (F.col("tokens") % 10 / 10).alias("coverage"), (F.col("tokens") % 4).alias("found"), F.lit(3).alias("words"), F.when(F.col("kind") != "error", F.col("tokens") / 100).alias("similarity"), F.lit(0.6).alias("floor"), (F.col("kind") == "view").alias("adaptive"))
-    return hybrid.gate(c, 0.13).groupBy("query_id", "label").agg(F.count("*").alias("n"))
+    c = adapter.ledger(spark, d).select(F.col("workspace_id").alias("query_id"), F.col("call_id").alias("doc"), (F.col("tokens") % 10 / 10).alias("coverage"), (F.col("tokens") % 4).alias("found"), F.lit(3).alias("words"), F.when(F.col("kind") != "error", F.col("tokens") / 100).alias("similarity"), F.lit(0.6).alias("floor"), F.lit(0.13).alias("gap"), F.lit(0.55).alias("near_floor"), F.lit(0.19).alias("near_gap"), (F.col("kind") == "view").alias("adaptive"))
+    return hybrid.gate(c).groupBy("query_id", "label").agg(F.count("*").alias("n"))
 
 
 def f5_browse(spark, d):
@@ -162,8 +162,8 @@ ORACLE = {
     "c11_filter_table": oracle("SELECT n_nationkey AS spec, count(*) AS n FROM nation JOIN shots ON shot_type = ['wide', 'medium', 'close_up'][n_nationkey % 3 + 1] AND duration_s >= n_nationkey * 2 GROUP BY ALL", "shots"),
     "d4_document_frequency": "SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\p{L}\\p{N}]+')) AS term FROM documents) GROUP BY ALL",
     "e6_latest_vectors": "SELECT vec_id, CASE WHEN vec_id % 3 = 0 AND vec_id % 2 = 1 THEN 2 ELSE 1 END AS at_, round((CASE WHEN vec_id % 3 = 0 AND vec_id % 2 = 1 THEN embedding[64] ELSE embedding[1] END)::DOUBLE, 6) AS first FROM embeddings".replace("at_", '"at"'),
-    "f2_gate": oracle("""SELECT query_id, label, count(*) AS n FROM (SELECT query_id, CASE WHEN sim IS NULL THEN CASE WHEN lit THEN 'match' WHEN cov > 0 THEN 'near' ELSE 'weak' END WHEN lit THEN 'match' WHEN cov > 0 AND sim >= 0.6 THEN 'match'
-        WHEN sim >= 0.6 AND (ad OR sim >= best - 0.13) THEN 'match' WHEN sim >= 0.6 OR cov > 0 THEN 'near' ELSE 'weak' END AS label FROM (
+    "f2_gate": oracle("""SELECT query_id, label, count(*) AS n FROM (SELECT query_id, CASE WHEN sim IS NULL THEN CASE WHEN lit THEN 'match' WHEN cov > 0 THEN 'near' ELSE 'weak' END WHEN lit THEN 'match' WHEN cov >= 0.25 AND sim >= 0.6 THEN 'match'
+        WHEN sim >= 0.6 AND (ad OR sim >= best - 0.13) THEN 'match' WHEN cov >= 0.25 OR (sim >= 0.55 AND sim >= best - 0.19) THEN 'near' ELSE 'weak' END AS label FROM (
         SELECT workspace_id AS query_id, tokens % 10 / 10 AS cov, tokens % 10 >= 5 AND tokens % 4 >= 2 AS lit, CASE WHEN kind <> 'error' THEN tokens / 100 END AS sim, kind = 'view' AS ad, max(CASE WHEN kind <> 'error' THEN tokens / 100 END) OVER (PARTITION BY workspace_id) AS best FROM ledger)) GROUP BY ALL""", "ledger"),
     "f5_browse": oracle("SELECT shot_id, created_at FROM shots JOIN sources USING (source_id) ORDER BY created_at DESC, shot_index, shot_id LIMIT 30 OFFSET 20", "sources", "shots"),
     "f9_sure_then_near": oracle("SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY cost_usd > 100 DESC, cost_usd DESC, call_id) AS place, call_id, cost_usd > 100 AS sure FROM ledger QUALIFY place <= 5", "ledger"),

@@ -41,13 +41,6 @@ def third_level(pairs: DataFrame, least: int) -> DataFrame:
     return pairs.filter(F.col("n") >= least).withColumn("_r", F.row_number().over(order)).filter("_r = 1").select("a", "b", "n")
 
 
-def plan_paths(shots: DataFrame, folders: DataFrame, facets: list[str]) -> DataFrame:
-    """(source_id, path): facet/folder of every shot, by the folders (facet, value, folder) that values earn."""
-    pairs = F.array(*(F.struct(F.lit(f).alias("facet"), F.col(f).alias("value")) for f in facets))
-    rows = shots.select("source_id", F.explode(pairs).alias("x")).select("source_id", "x.*").filter("value is not null").distinct()
-    return rows.join(folders, ["facet", "value"]).select("source_id", F.concat_ws("/", label(F.col("facet")), label(F.col("folder"))).alias("path")).distinct()
-
-
 def distinct_names(placed: DataFrame) -> DataFrame:
     """placed (folder, name, source_id): later files of one folder and name get _dup2, _dup3 before the ending."""
     k = F.row_number().over(W.partitionBy("folder", "name").orderBy("source_id"))

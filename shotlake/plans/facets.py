@@ -155,11 +155,6 @@ def j5_third_level(spark, d):
     return placement.third_level(facets.pair_counts(adapter.shots(spark, d), "tags", "mood"), 5)
 
 
-def j6_paths(spark, d):
-    s = adapter.shots(spark, d)
-    return placement.plan_paths(s, placement.top_values(facets.facet_counts(s, FACETS, []), 8), FACETS)
-
-
 def _desired(spark, d):
     s = adapter.sources(spark, d)
     return placement.distinct_names(s.select(F.col("category").alias("folder"), F.concat(F.date_format("created_at", "yyyy-MM"), F.lit(".mp4")).alias("name"), "source_id"))

@@ -1,13 +1,12 @@
 """Queries of transcripts and timelines over conversations, and of the streaming jobs over events."""
 
-import tempfile
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shotlake.operators import transcript
 from shotlake.sources import adapter
 from shotlake.sources.adapter import oracle, read
+from shotlake.sources.stages import shared_dir
 from shotlake.streaming import jobs
 
 
@@ -103,7 +102,7 @@ def _calls(events):
 
 
 def _folder(spark):
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return shared_dir(spark)
 
 
 def p2_rolling_spend(spark, d):

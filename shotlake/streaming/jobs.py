@@ -93,6 +93,29 @@ def closed(rows: DataFrame, calls: DataFrame, stop: str = "stop", delay: Column
     return rows.join(F.broadcast(last), F.col(stop) <= F.col("_last")).drop("_last")
 
 
+def sync(rows: DataFrame, key: str, at: str, folder: str) -> DataFrame:
+    """Run a stream of rows over all that is there now: every micro-batch is compared with what was sent, and what is new or changed is sent.
+
+    A row stands for its key's state until a later one by `at`. What was sent is a written table for each batch; the
+    next one reads the last. Returns (batch, key, change) of all batches. A batch that is run again writes the same.
+    """
+    from shotlake.operators.usage import changes, fingerprints
+
+    spark: SparkSession = rows.sparkSession
+    out = f"{folder}/sync-{uuid.uuid4().hex}"
+    schema = f"{key} {dict(rows.dtypes)[key]}, fingerprint string"
+
+    def batch(df: DataFrame, n: int) -> None:
+        sent = spark.read.schema(schema).parquet(f"{out}/sent/{n - 1}") if n else spark.createDataFrame([], schema)
+        last = df.groupBy(key).agg(F.max_by(F.struct(*(c for c in df.columns if c != key)), at).alias("x")).select(key, "x.*")
+        now = fingerprints(last, key)
+        changes(now, sent, key).withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/changes/batch={n}")
+        now.unionByName(sent.join(now, key, "left_anti")).write.mode("overwrite").parquet(f"{out}/sent/{n}")
+
+    rows.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{out}/checkpoint").foreachBatch(batch).start().awaitTermination()
+    return spark.read.schema(f"{key} {dict(rows.dtypes)[key]}, change string, batch int").parquet(f"{out}/changes")
+
+
 def run_once(stream: DataFrame, mode: str, folder: str) -> DataFrame:
     """Run a stream over all that is there now, each micro-batch to its own folder; the rows of append mode, or the last state."""
     spark: SparkSession = stream.sparkSession

@@ -5,9 +5,9 @@ hash of any GRAM bytes inside), so the text is cut into stretches of windows tha
 windows. Stretches meet by minimiser. Where a minimiser stands once, nothing repeats; where all its stretches are the
 same bytes, every window of them repeats. Only minimisers with different stretches need a look at the bytes: each
 distinct stretch is fetched once, and the windows of a minimiser are sorted to depth LENGTH, ties by place in the
-corpus. In that order the longest previous factor of a window reaches LENGTH exactly if the neighbour before it has the
-same bytes: it is the previous smaller position; the neighbour after it is the next copy. Minimisers with more windows
-than a task should sort are counted by the hash of each window instead.
+corpus. Previous and next smaller positions in that order give each window's longest previous factor, which tells the
+copies that have an earlier one. Minimisers with more windows than a task should sort are counted by the 128-bit hash of
+each window instead. Stretches of one minimiser are taken for equal by a further 64-bit hash.
 """
 
 import hashlib
@@ -95,23 +95,48 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
 
 
+def longest_previous_factors(place: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For suffixes in suffix order, with their places in the corpus and the letters each has in common with the one before it: the longest factor that starts at an earlier place.
+
+    Of all suffixes at earlier places, the previous and the next smaller position in suffix order share most with a
+    suffix. Both are found by jumping: who isn't smaller hands on where it looked, so the jumps double.
+    """
+    n, best = len(place), np.zeros(len(place), np.int64)
+    for step in (-1, 1):
+        to = np.arange(n) + step
+        shared = common.copy() if step < 0 else np.append(common[1:], 0)
+        open_ = np.flatnonzero((to >= 0) & (to < n))
+        while len(open_ := open_[place[to[open_]] > place[open_]]):
+            via = to[open_]
+            shared_via, to_via = shared[via], to[via]
+            shared[open_] = np.minimum(shared[open_], shared_via)
+            to[open_] = to_via
+            open_ = open_[(to_via >= 0) & (to_via < n)]
+        found = (to >= 0) & (to < n)
+        best[found] = np.maximum(best[found], shared[found])
+    return best
+
+
 def previous_factors(strings: list[bytes], counts: list[int], order: list[tuple], length: int = LENGTH) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For the windows of each string: whether it repeats at all, and whether a copy stands before it.
 
     counts says how often each string stands in the corpus; order, where it stands first. Windows are sorted by bytes,
-    ties by place, so the copy before a window, if any, is its neighbour.
+    ties by place; a window has an earlier copy if its longest previous factor is as long as itself.
     """
     sizes = np.array([len(s) - length + 1 for s in strings])
     rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(np.frombuffer(s, np.uint8), length) for s in strings])
     owner, at = np.repeat(np.arange(len(strings)), sizes), np.concatenate([np.arange(n) for n in sizes])
     key = np.array([o[:-1] for o in order], np.int64)
-    place = np.array([o[-1] for o in order], np.int64)[owner] + at
-    by_place = np.lexsort((place, *key[owner].T[::-1]))
+    by_place = np.lexsort((np.array([o[-1] for o in order], np.int64)[owner] + at, *key[owner].T[::-1]))
+    place = np.empty(len(owner), np.int64)
+    place[by_place] = np.arange(len(owner))
     suffix = by_place[np.argsort(np.ascontiguousarray(rows[by_place]).view(f"S{length}").ravel(), kind="stable")]
-    sorted_ = np.ascontiguousarray(rows[suffix]).view(f"S{length}").ravel()
-    same = sorted_[1:] == sorted_[:-1]
-    earlier, later = np.zeros(len(owner), bool), np.zeros(len(owner), bool)
-    earlier[suffix[1:]], later[suffix[:-1]] = same, same
+    differs = rows[suffix[1:]] != rows[suffix[:-1]]
+    common = np.append(0, np.where(differs.any(axis=1), differs.argmax(axis=1), length))
+    factor = np.empty(len(owner), np.int64)
+    factor[suffix] = longest_previous_factors(place[suffix], common)
+    earlier, later = factor >= length, np.zeros(len(owner), bool)
+    later[suffix[:-1]] = common[1:] == length
     repeats = earlier | later | (np.array(counts)[owner] > 1)
     ends = np.cumsum(sizes)[:-1]
     return np.split(repeats, ends), np.split(earlier, ends)
@@ -155,11 +180,11 @@ def _window_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"w1": w[:, 0], "w2": w[:, 1], "a": row.a, "h": row.h, "n": row.n, "k1": row.k1, "k2": row.k2, "s": row.s, "i": np.arange(row.c, dtype=np.int32)})
 
 
-def _runs_of(flag: Column) -> Column:
-    """Runs of the sorted window numbers i where flag holds, of one stretch."""
-    i = F.array_sort(F.collect_list(F.when(flag, F.col("i"))))
-    step = F.aggregate(i, F.expr("cast(array() as array<struct<x:int,y:int>>)"), lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["y"] == x - 1), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["x"].alias("x"), x.alias("y"))))).otherwise(F.concat(acc, F.array(F.struct(x.alias("x"), x.alias("y"))))))
-    return step
+def _runs_of(windows: DataFrame, name: str) -> DataFrame:
+    """(a, h, name): runs of window numbers i that follow each other, of each stretch."""
+    order = W.partitionBy("a", "h").orderBy("i")
+    runs = windows.withColumn("_g", F.col("i") - F.row_number().over(order)).groupBy("a", "h", "_g").agg(F.min("i").alias("x"), F.max("i").alias("y"))
+    return runs.groupBy("a", "h").agg(F.collect_list(F.struct("x", "y")).alias(name))
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -191,9 +216,11 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", first:
 
     keyed = _keyed(docs, doc_id, text)
     all_ = keep(keyed.select("k1", "k2", "_t").filter(F.octet_length("_t") >= LENGTH).mapInPandas(cut, "k1 long, k2 long, s array<int>, c array<int>, a array<long>, h array<long>, m array<boolean>"), "ss-stretches")
-    one = all_.select("k1", "k2", F.explode(F.arrays_zip("s", "c", "a", "h", "m")).alias("r")).select("k1", "k2", "r.*")
-    # minimisers that many texts share, known from a sixteenth of the texts, are counted before they move; the others move once
-    some = one.filter(F.pmod("k2", F.lit(16)) == 0)
+    all_ = all_.withColumn("_row", F.monotonically_increasing_id())
+    one = all_.select("k1", "k2", "_row", F.explode(F.arrays_zip("s", "c", "a", "h", "m")).alias("r")).select("k1", "k2", "_row", "r.*")
+    # minimisers that stand often, known from a sixteenth of all stretches (drawn one by one, so copies of a text don't go together), are counted before they move; the others move once
+    some = one.filter(F.pmod(F.xxhash64("_row", "s"), F.lit(16)) == 0)
+    one = one.drop("_row")
     total = some.count()
     hot = keep(some.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > max(8.0, total * HOT_SHARE / 2)).select("a"), "ss-hot")
     facts = [F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("m").alias("any"), F.min(F.struct("k1", "k2", "s")).alias("at")]
@@ -227,7 +254,9 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", first:
     hashed = bytes_.filter("many").mapInPandas(_window_hashes, "w1 long, w2 long, a long, h long, n long, k1 long, k2 long, s int, i int")
     groups = keep(hashed.groupBy("w1", "w2").agg(F.count("*").alias("rows"), F.sum("n").alias("copies"), F.min(F.struct("k1", "k2", F.col("s") + F.col("i"))).alias("at")), "ss-windows")
     marked = attach(hashed, groups, ["w1", "w2"], ["a", "h", "i"], count="rows")
-    many = marked.groupBy("a", "h").agg(_runs_of(F.col("copies") > 1).alias("runs"), _runs_of((F.col("copies") > 1) & (F.struct("k1", "k2", F.col("s") + F.col("i")) != F.col("at"))).alias("later"))
+    marked = keep(marked.filter("copies > 1"), "ss-marked")
+    many = _runs_of(marked, "runs").join(_runs_of(marked.filter(F.struct("k1", "k2", F.col("s") + F.col("i")) != F.col("at")), "later"), ["a", "h"], "left")
+    many = many.withColumn("later", F.coalesce("later", F.expr("cast(array() as array<struct<x:int,y:int>>)")))
     runs = keep(few.unionByName(many), "ss-runs")
     runs = keep(kinds.select("a", "h", "n", F.struct("k1", "k2", "s").alias("at")).join(runs, ["a", "h"]), "ss-runs-at")
 
@@ -294,8 +323,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     kind = docs.schema[doc_id].dataType
-    texts = _squeezed(keyed.withColumn("doc_id", F.col("doc_id").cast("string")), ["doc_id"])
-    out = texts.join(spans, ["k1", "k2"], "left").mapInPandas(run, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
+    texts = _squeezed(keyed.withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("row", F.monotonically_increasing_id()), ["doc_id", "row"])
+    # rows that are equal in id and text are as many as they like: their spans are broadcast where they are hot
+    rows = keyed.groupBy("k1", "k2").agg(F.count("*").alias("n"))
+    spans = keep(spans.join(rows, ["k1", "k2"]), "ss-spans")
+    out = attach(texts, spans, ["k1", "k2"], ["row"]).mapInPandas(run, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 

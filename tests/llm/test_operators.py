@@ -393,6 +393,27 @@ def test_repeated_substrings(spark, monkeypatch, many):
         assert plain(substrings.remove_repeats(spark.createDataFrame(unique, "doc_id long, text string"), first=True), *cols) == brute_repeats(unique, True)
 
 
+def test_longest_previous_factors():
+    rng = np.random.default_rng(10)
+    for letters, n in ((2, 60), (3, 80), (1, 20)):
+        text = "".join(rng.choice(list("abc"[:letters]), n))
+        order = np.array(sorted(range(n), key=lambda i: text[i:]))
+        same = lambda x, y: next((k for k in range(n - max(x, y)) if text[x + k] != text[y + k]), n - max(x, y))
+        common = np.array([0, *(same(x, y) for x, y in zip(order[1:], order[:-1]))])
+        want = [max((same(i, j) for j in range(i)), default=0) for i in order]
+        assert substrings.longest_previous_factors(order, common).tolist() == want
+
+
+def test_many_copies_of_one_text(spark, monkeypatch):
+    """A third of all rows is one text: its stretches are hot, and nothing is lost."""
+    base = prose(11, 300)
+    rows = [(i if i % 2 else None, base) for i in range(400)] + [(1000 + i, prose(100 + i, 60)) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substrings.remove_repeats(df).toPandas()
+    same = got[got["n_bytes"] == len(base.encode())]
+    assert len(got) == 1200 and len(same) == 400 and (same["n_removed"] == same["n_bytes"]).all() and got["n_removed"].sum() == same["n_bytes"].sum()
+
+
 def test_language_model(odd, docs):
     train = docs.filter(~lm.held_out())
     got = lm.score(docs.select("doc_id", lm.held_out().alias("held_out"), "text"), train).toPandas().set_index("doc_id")

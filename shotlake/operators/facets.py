@@ -61,9 +61,16 @@ def ledger_totals(calls: DataFrame) -> DataFrame:
 
 
 def trailing_spend(calls: DataFrame, by: str, seconds: int = 86_400) -> DataFrame:
-    """Each call with what its library spent in the trailing window, both ends included."""
-    w = W.partitionBy(by).orderBy(F.unix_micros(F.col("at").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return calls.withColumn("spent", F.round(F.sum("cost_usd").over(w), 4))
+    """Each call with what its library spent in the trailing window, both ends included.
+
+    A library's calls are cut into stretches as long as the window; each stretch sees the one before it, so a library of
+    any size spreads over tasks.
+    """
+    t = F.unix_micros(F.col("at").cast("timestamp"))
+    mine = F.floor(t / (seconds * 1_000_000))
+    rows = calls.withColumn("_t", t).withColumn("_k", F.explode(F.array(mine, mine + 1))).withColumn("_own", F.col("_k") == mine)
+    w = W.partitionBy(by, "_k").orderBy("_t").rangeBetween(-seconds * 1_000_000, 0)
+    return rows.withColumn("spent", F.round(F.sum("cost_usd").over(w), 4)).filter("_own").drop("_t", "_k", "_own")
 
 
 def price(kind: Column, tokens: Column, cached: Column, rates: dict[str, tuple[float, float]]) -> Column:

@@ -318,6 +318,17 @@ ORACLE = {
         FROM (SELECT *, CAST(source_id AS BIGINT) AS k FROM sources) GROUP BY ALL""", "sources"),
     "j17_attention": oracle("""SELECT CASE WHEN NOT stored THEN 'open' WHEN status = 'pending' THEN 'dismissed' WHEN flag THEN 'open' WHEN status = 'indexed' THEN 'resolved' ELSE 'open' END AS status, count(*) AS n, sum(CASE WHEN stored THEN filesize_bytes END)::BIGINT AS bytes
         FROM (SELECT *, width < 1920 AS stored, CAST(source_id AS BIGINT) % 2 = 0 AS flag FROM sources) WHERE stored OR flag GROUP BY ALL""", "sources"),
+    "g21_refile_matrix": oracle("""SELECT workspace_id AS before, CASE WHEN k % 5 > 0 THEN 'lib' || (k % 6) END AS after, CASE WHEN k % 5 = 0 OR k % 6 = 5 THEN 'unmatched' WHEN 'lib' || (k % 6) = workspace_id THEN 'unchanged' WHEN k % 10 / 10 < 0.6 THEN 'tie' ELSE 'move' END AS action, count(*) AS n
+        FROM (SELECT *, CAST(source_id AS BIGINT) AS k FROM sources) GROUP BY ALL""", "sources"),
+    "j9_tree": oracle("""SELECT path, CAST(len(string_split(path, '/')) AS INT) AS depth, len(string_split(path, '/')) = 3 AS leaf, array_to_string(list_filter(['all of ' || string_split(path, '/')[1], CASE WHEN len(string_split(path, '/')) > 1 AND contains(array_to_string(string_split(path, '/')[1:2], '/'), 'NATION_1') THEN 'one' END,
+        CASE WHEN len(string_split(path, '/')) = 3 AND contains(path, 'NATION_1') THEN 'one' END], lambda x: x IS NOT NULL), '; ') AS notes FROM (SELECT DISTINCT array_to_string(string_split(category, '/')[1:i], '/') AS path FROM sources, range(1, 4) t(i))""", "sources"),
+    "k1_windows": oracle("""SELECT id, k, round(k * step, 6) AS x, round(CASE WHEN k = n - 1 THEN stop ELSE (k + 1) * step END, 6) AS y FROM (SELECT *, CASE WHEN n0 > 1 AND stop - (n0 - 1) * step < 10 THEN n0 - 1 ELSE n0 END AS n FROM (
+        SELECT *, CAST(greatest(1, ceil(round(stop / step, 9))) AS INT) AS n0 FROM (SELECT source_id AS id, floor(duration_s) AS stop, greatest(60.0::DOUBLE, floor(duration_s) / 20) AS step FROM sources) WHERE stop > 0)), LATERAL (SELECT unnest(range(n)) AS k)""", "sources"),
+    "k6_merge_cuts": oracle("""SELECT id, round(min(x), 4) AS x, round(max(y), 4) AS y FROM (SELECT *, CASE WHEN avg(y - x) OVER (PARTITION BY id) < 2 THEN 0 ELSE i END AS g FROM (
+        SELECT id, i, min(x) AS x, max(y) AS y FROM (SELECT *, greatest(1, sum(CASE WHEN y - x >= 1.5 THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY x)) AS i FROM (SELECT source_id AS id, start_s / 10 AS x, end_s / 10 AS y FROM shots)) GROUP BY id, i)) GROUP BY id, g""", "shots"),
+    "k8_best_frames": """WITH f AS (SELECT l_orderkey AS id, l_linenumber AS position, l_partkey AS attempt, max(l_quantity) * 6 AS mean, round((max(abs(l_tax)) * 300 + max(l_partkey % 7))::DOUBLE, 4) AS sd FROM lineitem GROUP BY ALL),
+        p AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY id, position ORDER BY NOT (mean BETWEEN 18 AND 240 AND sd >= 8), CASE WHEN mean BETWEEN 18 AND 240 AND sd >= 8 THEN attempt ELSE -sd END, attempt) = 1)
+        SELECT id, arg_max(position, {'s': sd, 'p': -position}) AS position, max(sd) AS sd FROM p GROUP BY id""",
     "k2_tile": oracle("""SELECT id, round(x, 6) AS x, round(y, 6) AS y FROM (SELECT id, y, coalesce(lag(y) OVER w2, f) AS x FROM (
         SELECT *, least(max(mid) OVER (w ROWS UNBOUNDED PRECEDING), u) AS y FROM (SELECT *, coalesce((e + lead(s) OVER w) / 2, u) AS mid FROM (
             SELECT source_id AS id, greatest(start_s + shot_index % 3 - 1, 0) AS s, least(end_s + shot_index % 2, max(end_s) OVER (PARTITION BY source_id)) AS e, 0.0::DOUBLE AS f, max(end_s) OVER (PARTITION BY source_id) AS u FROM shots)

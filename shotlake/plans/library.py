@@ -11,16 +11,6 @@ from shotlake.sources.stages import keep, shared_dir
 from shotlake.streaming import jobs
 
 
-def a4_files(spark, d):
-    """Shots' captions written as a tree of files, half of them media by name, and listed."""
-    path = f"{shared_dir(spark)}/tree-{keep(spark.range(1), 'tree').inputFiles()[0].rsplit('-', 1)[-1][:8]}"
-    s = adapter.sources(spark, d).select(F.element_at(F.split("category", "/"), 1).alias("region"), F.col("filename").alias("value"))
-    s.repartition("region").write.partitionBy("region").text(path)
-    files = library.scan_files(spark, path).count()
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
-    return listed.select(F.regexp_extract("path", "region=([^/]*)/", 1).alias("region"), F.lit(files > 0).alias("any_media")).distinct()
-
-
 def _analyses(spark, d):
     """Shots as JSON, every seventh cut short."""
     s = adapter.shots(spark, d).select("shot_id", "shot_index", F.to_json(F.struct("caption", F.col("tags").alias("subjects"), "action", "setting", "shot_type", "camera_movement", "mood", "tags", "confidence")).alias("j"))
@@ -247,12 +237,10 @@ _TREE = """nodes AS (SELECT DISTINCT array_to_string(string_split(category, '/')
 _SQUASH = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
 _NEAR = f"(rtrim({_SQUASH.format('a')}, 's') = rtrim({_SQUASH.format('b')}, 's') OR (least(len({_SQUASH.format('a')}), len({_SQUASH.format('b')})) > 3 AND (contains({_SQUASH.format('a')}, {_SQUASH.format('b')}) OR contains({_SQUASH.format('b')}, {_SQUASH.format('a')}))))"
 _TC = "format('{{:02d}}:{{:02d}}:{{:02d}}:{{:02d}}', ({0}) // 25 // 3600, ({0}) // 25 // 60 % 60, ({0}) // 25 % 60, ({0}) % 25)"
-_CUES = f"{scripts._TIMED}, cues AS (SELECT script_id, k, end_s - d AS start_s, end_s, trim(CASE WHEN k % 3 = 2 THEN regexp_replace(text, '\\. ', '. | ', 'g') ELSE text END) AS text FROM timed)"
-_WORDS = "list_filter(string_split_regex({}, '\\s+'), lambda x: x <> '')"
+_CUES, _WORDS = scripts._CUES, scripts._WORDS
 _STEMS = "list_transform(regexp_extract_all(lower({}), '[a-z0-9'']+'), lambda w: w[1:5])"
 
 ORACLE = {
-    "a4_files": oracle("SELECT DISTINCT string_split(category, '/')[1] AS region, false AS any_media FROM sources", "sources"),
     "a7_contract": oracle("SELECT shot_id, CASE WHEN shot_index <> 6 THEN caption END AS caption, CASE WHEN shot_index <> 6 THEN CAST(len(tags) AS INT) END AS n_subjects, CASE WHEN shot_index <> 6 THEN confidence END AS confidence, shot_index = 6 AS corrupt FROM shots", "shots"),
     "a8_kinds": "SELECT conv_id AS script_id, CASE conv_id % 3 WHEN 0 THEN 'srt' WHEN 1 THEN 'vtt' ELSE 'plain' END AS kind FROM (SELECT DISTINCT conv_id FROM conversations)",
     "a11_edit_list": oracle(f"""SELECT script_id, row_number() OVER (PARTITION BY script_id ORDER BY beat) AS position, 'TAKE' || format('{{:04d}}', dense_rank() OVER (PARTITION BY script_id ORDER BY first) % 10000) AS reel,
@@ -305,6 +293,6 @@ _SHORT = """WITH h AS (SELECT user_id AS beat, event_id % 3 AS idea, row_number(
         b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY beat, source_id ORDER BY rank, idea, shot_id) <= 2),
         c AS (SELECT beat, row_number() OVER (PARTITION BY beat ORDER BY rank, idea, shot_id) AS place, shot_id, label FROM b QUALIFY place <= 8) """
 ORACLE["l13_shortlist"] = _SHORT + "SELECT * FROM c"
-ORACLE["l13_reasons"] = _SHORT + """SELECT beat, count_if(label = 'match') AS matches, CASE WHEN beat % 10 = 0 THEN 'the beat asks for nothing' WHEN count(label) = 0 THEN 'nothing passes the filters' WHEN count_if(label = 'match') = 0 THEN 'only the closest, no match' END AS reason
+ORACLE["l13_reasons"] = _SHORT + """SELECT beat, coalesce(count_if(label = 'match'), 0) AS matches, CASE WHEN beat % 10 = 0 THEN 'the beat asks for nothing' WHEN count(label) = 0 THEN 'nothing passes the filters' WHEN count_if(label = 'match') = 0 THEN 'only the closest, no match' END AS reason
     FROM (SELECT DISTINCT user_id AS beat FROM events) LEFT JOIN c USING (beat) GROUP BY beat"""
 QUERIES = {k: v for k, v in list(globals().items()) if len(k) > 2 and k[0] in "abghijklp" and k[1].isdigit()}

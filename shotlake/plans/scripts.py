@@ -60,11 +60,11 @@ def _hits(spark, d):
 
 
 def h3_candidates(spark, d):
-    return transcript.candidates(_hits(spark, d).filter("rank <= 20"), 2, 8)
+    return transcript.candidates(_hits(spark, d), 2, 8)
 
 
 def h6_variety(spark, d):
-    h = _hits(spark, d).filter("rank <= 5 and idea = 0").select((F.col("beat") % 10).alias("script_id"), "beat", "rank", "shot_id", F.col("value").alias("score"))
+    h = _hits(spark, d).select((F.col("beat") % 10).alias("script_id"), "beat", (F.col("rank") * 3 + F.col("idea")).alias("rank"), "shot_id", F.col("value").alias("score"))
     return transcript.vary(h)
 
 
@@ -141,13 +141,18 @@ _CALLS = """calls AS (SELECT event_id AS call_id, 'lib' || (user_id % 4) AS work
     last AS (SELECT max(ts) - INTERVAL 1 HOUR AS l FROM events)"""
 _TIMED = """timed AS (SELECT conv_id AS script_id, CAST(turn AS INT) AS k, regexp_replace(text, '\\s+', ' ', 'g') AS text, sum(d) OVER (PARTITION BY conv_id ORDER BY turn) AS end_s, d FROM (SELECT *, len(text) / 15 AS d FROM conversations))"""
 
+_RAW = f"{_TIMED}, raw AS (SELECT script_id, k, end_s - d AS start_s, end_s, CASE WHEN k % 3 = 2 THEN regexp_replace(text, '\\. ', '. | ', 'g') ELSE text END AS text FROM timed)"
+_CUES = f"{_TIMED}, cues AS (SELECT script_id, k, end_s - d AS start_s, end_s, trim(CASE WHEN k % 3 = 2 THEN regexp_replace(text, '\\. ', '. | ', 'g') ELSE text END) AS text FROM timed)"
+_WORDS = "list_filter(string_split_regex({}, '\\s+'), lambda x: x <> '')"
+_SENTENCES = "string_split(regexp_replace(regexp_replace({}, '([.!?])\\s+([A-Z0-9\"''(])', '\\1' || chr(1) || '\\2', 'g'), '([.!?])\\s+([A-Z0-9\"''(])', '\\1' || chr(1) || '\\2', 'g'), chr(1))"
+
 ORACLE = {
     "l12_gaps": oracle("""SELECT source_id AS script_id, shot_index AS beat, round(greatest(0, duration_s - CASE WHEN status = 'failed' THEN 0 ELSE duration_s * confidence * 1.5 END), 4) AS short_by
         FROM shots WHERE status = 'failed' OR duration_s * confidence * 1.5 < duration_s""", "shots"),
     "l15_timecode": oracle("""SELECT shot_id, format('{:02d}:{:02d}:{:02d}:{:02d}', f // 25 // 3600, f // 25 // 60 % 60, f // 25 % 60, f % 25) AS tc FROM (SELECT shot_id, CAST(round_even(end_s * 97 * 25, 0) AS INT) AS f FROM shots)""", "shots"),
     "a10_guarded_csv": "SELECT c_custkey, c_custkey % 3 <> 1 AS guarded FROM customer",
     "h3_candidates": """WITH h AS (SELECT user_id AS beat, event_id % 3 AS idea, row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY value DESC, event_id) AS rank, CAST(json_extract_string(props, '$.k') AS INT) AS shot_id FROM events),
-        a AS (SELECT *, shot_id % 10 AS source_id FROM h WHERE rank <= 20 QUALIFY row_number() OVER (PARTITION BY beat, shot_id ORDER BY rank, idea) = 1),
+        a AS (SELECT *, shot_id % 10 AS source_id FROM h QUALIFY row_number() OVER (PARTITION BY beat, shot_id ORDER BY rank, idea) = 1),
         b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY beat, source_id ORDER BY rank, idea, shot_id) <= 2)
         SELECT beat, row_number() OVER (PARTITION BY beat ORDER BY rank, idea, shot_id) AS place, shot_id, source_id FROM b QUALIFY place <= 8""",
     "p2_rolling_spend": f"""WITH {_CALLS} SELECT workspace_id, s AS start, s + INTERVAL 24 HOUR AS stop, round(sum(cost_usd), 4) AS usd, count(*) AS calls FROM (
@@ -164,9 +169,22 @@ ORACLE = {
     "p6_refusals": f"""WITH {_CALLS} SELECT keys, count(*) AS n FROM (SELECT count(DISTINCT job_id) AS keys FROM (SELECT *, sum(CAST(ok AS INT)) OVER (PARTITION BY workspace_id ORDER BY ts, call_id) AS stretch FROM calls) WHERE NOT ok GROUP BY workspace_id, stretch) GROUP BY ALL""",
     "p7_term_counts": f"WITH {_CALLS} SELECT kind || '_' || (tokens % 10) AS term, count(*) AS n, min(ts) AS first_seen, max(ts) AS last_seen FROM calls GROUP BY ALL",
     "p8_outcomes": f"""WITH {_CALLS} SELECT s AS start, s + INTERVAL 10 MINUTE AS stop, count_if(ok) AS passed, count_if(NOT ok) AS refused FROM (SELECT *, time_bucket(INTERVAL 10 MINUTE, ts, TIMESTAMP '1970-01-01') AS s FROM calls) GROUP BY ALL HAVING s + INTERVAL 10 MINUTE <= (SELECT l FROM last)""",
-    "l7_divide_long": f"""WITH {_TIMED}, t AS (SELECT script_id, k, end_s - d AS start_s, end_s, trim(CASE WHEN k % 3 = 2 THEN regexp_replace(text, '\\. ', '. | ', 'g') ELSE text END) AS text FROM timed),
-        w AS (SELECT *, list_filter(string_split(text, ' '), lambda x: x <> '') AS ws FROM t), n AS (SELECT *, len(ws) AS c, greatest(1, least(len(ws), CAST(ceil(round((end_s - start_s) / 15, 9)) AS INT))) AS n FROM w),
-        p AS (SELECT *, CAST(floor(i * c / n) AS INT) AS a, CAST(floor((i + 1) * c / n) AS INT) AS z FROM n, LATERAL (SELECT unnest(range(n)) AS i))
-        SELECT script_id, row_number() OVER (PARTITION BY script_id ORDER BY k, i) - 1 AS k, round(start_s + (end_s - start_s) * a / c, 3) AS start_s, round(start_s + (end_s - start_s) * z / c, 3) AS end_s, len(array_to_string(ws[a + 1:z], ' ')) AS n FROM p""",
+    "l7_divide_long": f"""WITH {_CUES}, w AS (SELECT *, {_WORDS.format('text')} AS ws, end_s - start_s AS span FROM cues), n AS (SELECT *, len(ws) AS c, CASE WHEN span <= 15 OR len(ws) = 0 THEN 1 ELSE CAST(floor(span / 15) AS INT) + 1 END AS n FROM w),
+        p AS (SELECT *, CASE WHEN n = 1 THEN 0 ELSE least(c, i * greatest(1, c // n)) END AS a, CASE WHEN n = 1 OR i = n - 1 THEN c ELSE least(c, (i + 1) * greatest(1, c // n)) END AS z FROM n, LATERAL (SELECT unnest(range(n)) AS i))
+        SELECT script_id, row_number() OVER (PARTITION BY script_id ORDER BY k, i) - 1 AS k, round(CASE WHEN n = 1 THEN start_s ELSE start_s + span * a / c END, 3) AS start_s, round(CASE WHEN n = 1 THEN start_s + span ELSE start_s + span * z / c END, 3) AS end_s, CASE WHEN n = 1 THEN len(text) ELSE len(array_to_string(ws[a + 1:z], ' ')) END AS n FROM p WHERE n = 1 OR z > a""",
+    "l2_plain_cues": f"""WITH s AS (SELECT conv_id AS script_id, string_agg(regexp_replace(text, '\\s+', ' ', 'g'), ' ' ORDER BY turn) AS text FROM conversations GROUP BY ALL),
+        p AS (SELECT script_id, unnest({_SENTENCES.format('trim(text)')}) AS text, unnest(range(len({_SENTENCES.format('trim(text)')}))) AS k FROM s), d AS (SELECT *, greatest(1.0, len({_WORDS.format('text')}) * 60.0 / 150) AS d FROM p WHERE text <> '')
+        SELECT script_id, k, round((sum(d) OVER w - d)::DOUBLE, 4) AS start_s, round((sum(d) OVER w)::DOUBLE, 4) AS end_s, len(text) AS n FROM d WINDOW w AS (PARTITION BY script_id ORDER BY k)""",
+    "l3_recut": f"""WITH {_RAW}, s0 AS (SELECT *, list_filter(list_transform({_SENTENCES.format('text')}, lambda x: trim(x)), lambda x: x <> '') AS ps FROM raw),
+        s1 AS (SELECT script_id, k, start_s, end_s, CASE WHEN len(ps) > 1 THEN ps ELSE [text] END AS ps FROM s0), s2 AS (SELECT *, list_transform(ps, lambda p: len({_WORDS.format('p')})) AS ns FROM s1),
+        s3 AS (SELECT script_id, k, unnest(range(len(ps))) AS i, unnest(ps) AS t, start_s + (end_s - start_s) * unnest(list_transform(range(len(ps)), lambda i: coalesce(list_sum(ns[1:i]), 0))) / greatest(1, coalesce(list_sum(ns), 0)) AS a, start_s + (end_s - start_s) * unnest(list_transform(range(len(ps)), lambda i: list_sum(ns[1:i + 1]))) / greatest(1, coalesce(list_sum(ns), 0)) AS z FROM s2),
+        m0 AS (SELECT script_id, k, i, a, z, trim(t) AS t, t AS whole, coalesce(lag(trim(t) LIKE '%|') OVER (PARTITION BY script_id ORDER BY k, i), false) AS before FROM s3), m1 AS (SELECT *, list_filter(list_transform(string_split(t, '|'), lambda x: trim(x)), lambda x: x <> '') AS ps FROM m0),
+        m2 AS (SELECT script_id, k, i, a, z, before OR t LIKE '|%' AS hard, CASE WHEN len(ps) > 0 THEN ps ELSE [whole] END AS ps FROM m1), m3 AS (SELECT *, list_transform(ps, lambda p: len({_WORDS.format('p')})) AS ns FROM m2),
+        m4 AS (SELECT script_id, k, i, hard, a, z, unnest(range(len(ps))) AS j, unnest(ps) AS text, unnest(list_transform(range(len(ps)), lambda i: coalesce(list_sum(ns[1:i]), 0))) AS x, unnest(list_transform(range(len(ps)), lambda i: list_sum(ns[1:i + 1]))) AS y, greatest(1, coalesce(list_sum(ns), 0)) AS n FROM m3)
+        SELECT script_id, row_number() OVER (PARTITION BY script_id ORDER BY k, i, j) - 1 AS k, round(a + (z - a) * x / n, 4) AS start_s, round(a + (z - a) * y / n, 4) AS end_s, text, hard OR j > 0 AS hard FROM m4""",
+    "l14_timeline": oracle("""SELECT source_id AS script_id, shot_index AS beat, s AS shot_id, x AS from_frame, x + want AS to_frame, have AS frames, want - have AS gap, CAST(round_even(start_s / 2 * rate, 0) AS INT) AS source_from,
+            array_to_string(list_filter([CASE WHEN s IS NULL THEN 'no match' END, CASE WHEN have > 0 AND have < want THEN 'short clip' END, CASE WHEN rate <> 25 THEN 'frame rates differ' END], lambda w: w IS NOT NULL), '; ') AS warnings FROM (
+        SELECT *, CASE WHEN s IS NULL THEN 0 WHEN shot_type = 'wide' THEN want ELSE least(want, greatest(1, CAST(round_even(duration_s * confidence * 1.5 * 25, 0) AS INT))) END AS have FROM (
+            SELECT *, CASE WHEN status <> 'failed' THEN shot_id END AS s, CAST(round_even(start_s * 25, 0) AS INT) AS x, greatest(1, CAST(round_even(end_s * 25, 0) AS INT) - CAST(round_even(start_s * 25, 0) AS INT)) AS want, CASE WHEN setting = 'Brand#1' THEN 29.97 ELSE 25 END::DOUBLE AS rate FROM shots))""", "shots"),
 }
 QUERIES = {k: v for k, v in list(globals().items()) if len(k) > 2 and k[0] in "ahlp" and k[1].isdigit()}

@@ -47,10 +47,18 @@ def pace(rates: DataFrame, slow: float = 0.15, fast: float = 0.30) -> DataFrame:
     return rates.withColumn("pace", F.coalesce(F.last(turn, ignorenulls=True).over(order), F.lit("fast")))
 
 
+def running(calls: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """calls with the sum of value up to each, in order of at and call_id: summed by minute first, so a library's calls spread over tasks."""
+    rows = calls.withColumn("_v", value).withColumn("_m", F.date_trunc("minute", "at"))
+    order = W.partitionBy(*keys).orderBy("_m")
+    before = rows.groupBy(*keys, "_m").agg(F.sum("_v").alias("_s")).withColumn("_b", F.sum("_s").over(order) - F.col("_s")).drop("_s")
+    inside = F.sum("_v").over(W.partitionBy(*keys, "_m").orderBy("at", "call_id").rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("_i", inside).join(before, [*keys, "_m"]).withColumn(name, F.col("_b") + F.col("_i")).drop("_v", "_m", "_b", "_i")
+
+
 def cap_crossings(calls: DataFrame, cap: float) -> DataFrame:
     """The first call of each library and day at which the day's spend reaches the cap."""
-    w = W.partitionBy("workspace_id", "day").orderBy("at", "call_id")
-    rows = calls.withColumn("day", F.to_date("at")).withColumn("spent", F.sum("cost_usd").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    rows = running(calls.withColumn("day", F.to_date("at")), ["workspace_id", "day"], F.col("cost_usd"), "spent")
     return rows.filter(F.round("spent", 6) >= cap).groupBy("workspace_id", "day").agg(F.min_by(F.struct("call_id", F.round("spent", 4).alias("spent")), F.struct("at", "call_id")).alias("x")).select("workspace_id", "day", "x.call_id", "x.spent")
 
 
@@ -82,8 +90,7 @@ def crossing_stream(calls: DataFrame, cap: float) -> DataFrame:
 
 def refusals_in_a_row(calls: DataFrame, key: str = "job_id") -> DataFrame:
     """Per library, each stretch without a success: how many different keys were refused in it."""
-    w = W.partitionBy("workspace_id").orderBy("at", "call_id").rowsBetween(W.unboundedPreceding, 0)
-    rows = calls.withColumn("stretch", F.sum(F.col("ok").cast("int")).over(w)).filter("not ok")
+    rows = running(calls, ["workspace_id"], F.col("ok").cast("int"), "stretch").filter("not ok")
     return rows.groupBy("workspace_id", "stretch").agg(F.count_distinct(key).alias("keys"), F.count("*").alias("refused"), F.min("at").alias("since"))
 
 

@@ -37,7 +37,7 @@ def l2_plain_cues(spark, d):
 
 
 def l3_recut(spark, d):
-    return transcript.recut(timed(spark, d)).select("script_id", "k", F.round("start_s", 4).alias("start_s"), F.round("end_s", 4).alias("end_s"), "text", "hard")
+    return transcript.recut(timed(spark, d)).select("script_id", "k", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"), "text", "hard")
 
 
 def l6_merge_short(spark, d):
@@ -181,7 +181,7 @@ ORACLE = {
         m0 AS (SELECT script_id, k, i, a, z, trim(t) AS t, t AS whole, coalesce(lag(trim(t) LIKE '%|') OVER (PARTITION BY script_id ORDER BY k, i), false) AS before FROM s3), m1 AS (SELECT *, list_filter(list_transform(string_split(t, '|'), lambda x: trim(x)), lambda x: x <> '') AS ps FROM m0),
         m2 AS (SELECT script_id, k, i, a, z, before OR t LIKE '|%' AS hard, CASE WHEN len(ps) > 0 THEN ps ELSE [whole] END AS ps FROM m1), m3 AS (SELECT *, list_transform(ps, lambda p: len({_WORDS.format('p')})) AS ns FROM m2),
         m4 AS (SELECT script_id, k, i, hard, a, z, unnest(range(len(ps))) AS j, unnest(ps) AS text, unnest(list_transform(range(len(ps)), lambda i: coalesce(list_sum(ns[1:i]), 0))) AS x, unnest(list_transform(range(len(ps)), lambda i: list_sum(ns[1:i + 1]))) AS y, greatest(1, coalesce(list_sum(ns), 0)) AS n FROM m3)
-        SELECT script_id, row_number() OVER (PARTITION BY script_id ORDER BY k, i, j) - 1 AS k, round(a + (z - a) * x / n, 4) AS start_s, round(a + (z - a) * y / n, 4) AS end_s, text, hard OR j > 0 AS hard FROM m4""",
+        SELECT script_id, row_number() OVER (PARTITION BY script_id ORDER BY k, i, j) - 1 AS k, round(a + (z - a) * x / n, 6) AS start_s, round(a + (z - a) * y / n, 6) AS end_s, text, hard OR j > 0 AS hard FROM m4""",
     "l14_timeline": oracle("""SELECT source_id AS script_id, shot_index AS beat, s AS shot_id, x AS from_frame, x + want AS to_frame, have AS frames, want - have AS gap, CAST(round_even(start_s / 2 * rate, 0) AS INT) AS source_from,
             array_to_string(list_filter([CASE WHEN s IS NULL THEN 'no match' END, CASE WHEN have > 0 AND have < want THEN 'short clip' END, CASE WHEN rate <> 25 THEN 'frame rates differ' END], lambda w: w IS NOT NULL), '; ') AS warnings FROM (
         SELECT *, CASE WHEN s IS NULL THEN 0 WHEN shot_type = 'wide' THEN want ELSE least(want, greatest(1, CAST(round_even(duration_s * confidence * 1.5 * 25, 0) AS INT))) END AS have FROM (

@@ -1,32 +1,14 @@
 """Helpers that the text operators share: written stages, and joins that no hot key can bend."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key counts as hot beyond this share of the rows; so fewer keys than 1 / HOT_SHARE are hot, whatever the size.
-HOT_SHARE = 0.001
-
+from shotlake.sources.stages import keep, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. A local session without one gets its own; on a cluster it must be set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+__all__ = ["attach", "components", "crc_of_id", "fresh", "keep", "number", "shared_dir", "sums_before", "table", "text_or_empty"]
 
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write a stage as Parquet into the shared folder and read it back: lineage ends here, and lost executors cost no rework."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A key counts as hot beyond this share of the rows; so fewer keys than 1 / HOT_SHARE are hot, whatever the size.
+HOT_SHARE = 0.001
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

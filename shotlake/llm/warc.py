@@ -15,6 +15,7 @@ from urllib.parse import unquote, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shotlake.llm.common import attach, keep, shared_dir, table
@@ -186,9 +187,12 @@ def range_cuts(runs: DataFrame, range_rows: int = RANGE_ROWS, split_rows: int =
     if n < per:
         return []
     ranges = -(-n // per)
-    # marks are few; they are sorted by ranges of their own, and every per-th of one is a cut
-    some = marks.repartitionByRange(max(1, ranges // 64), *ORDER).sortWithinPartitions(*ORDER).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    return sorted(map(tuple, some.filter(F.col("_i") % per == per - 1).drop("_i").collect()))
+    # marks are few; they are sorted by ranges of their own and numbered, and every per-th one is a cut
+    at = F.monotonically_increasing_id()
+    some = keep(marks.repartitionByRange(max(1, ranges // 64), *ORDER).sortWithinPartitions(*ORDER).withColumns({"_p": F.spark_partition_id(), "_i": at.bitwiseAND(F.lit((1 << 33) - 1))}), "warc-marks")
+    before = some.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_b", F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).select("_p", "_b")
+    cuts = some.join(before, "_p").filter((F.col("_b") + F.col("_i")) % per == per - 1)
+    return sorted(map(tuple, cuts.select(*ORDER).collect()))
 
 
 def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS, split_rows: int = SPLIT_ROWS) -> DataFrame:

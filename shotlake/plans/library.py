@@ -129,8 +129,8 @@ def _paths(spark, d):
 
 
 def j6_paths(spark, d):
-    """Every browse folder of each source."""
-    return _paths(spark, d).select("source_id", "path").distinct()
+    """Every browse folder, with how many sources belong in it and the first of them."""
+    return _paths(spark, d).select("source_id", "path").distinct().groupBy("path").agg(F.count("*").alias("sources"), F.min("source_id").alias("first"))
 
 
 def j7_shortcuts(spark, d):
@@ -266,6 +266,7 @@ ORACLE = {
         SELECT 'c' || c.source_id AS id, 'Copy of ' || c.filename AS name, (SELECT arg_min(o.source_id, {'n': o.filename <> c.filename, 'i': o.source_id}) FROM sources o WHERE o.content_hash = c.content_hash AND o.width = c.width AND c.width <> 640) AS original FROM sources c WHERE status <> 'pending')""", "sources"),
     "i9_near_siblings": f"""WITH s AS (SELECT DISTINCT s_nationkey AS parent, 'Area ' || (s_suppkey % 7) AS b FROM supplier), p AS (SELECT DISTINCT c_nationkey AS parent, 'area-' || (c_custkey % 9) || CASE WHEN c_custkey % 2 = 0 THEN 's' ELSE '' END AS a FROM customer)
         SELECT parent, a AS proposed, b AS sibling FROM p JOIN s USING (parent) WHERE a <> b AND {_NEAR}""",
+    "j6_paths": oracle(f"""SELECT DISTINCT source_id, path FROM paths""", "shots"),
     "j19_edit_tree": oracle("""SELECT outcome, count(*) AS n FROM outcomes GROUP BY ALL
         UNION ALL SELECT CASE WHEN accepts THEN 'accepting' ELSE 'closed' END, count(*) FROM (
             SELECT path, EXISTS (SELECT 1 FROM outcomes WHERE outcome = 'added' AND parent = nodes.path) AND NOT EXISTS (SELECT 1 FROM nodes c WHERE starts_with(c.path, nodes.path || '/')) AS accepts FROM nodes UNION ALL SELECT path, true FROM outcomes WHERE outcome = 'added') GROUP BY ALL""", "sources"),
@@ -286,6 +287,17 @@ _OUTCOMES = """outcomes AS (SELECT *, CASE WHEN name LIKE '%/%' THEN 'bad_name'
             FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)))"""
 for _name in ("b10_resolve", "j19_edit_tree"):
     ORACLE[_name] = ORACLE[_name].replace(f"WITH {adapter.CTE['sources']}", f"WITH {adapter.CTE['sources']}, {_TREE}, {_OUTCOMES}")
+_FACETS = "\n UNION ALL ".join(f"SELECT shot_id, source_id, '{f}' AS facet, '{top}' AS top, {str(f in ('subjects', 'mood', 'usable_for')).lower()} AS many, {f if f in ('subjects', 'mood', 'usable_for') else f'[{f}]'} AS vs, {s if s == 'mood' else f'[{s}]'} AS ss FROM base" for f, (top, s) in FOLDERS.items())
+_LABEL = "array_to_string(list_transform(string_split(regexp_replace({}, '[_-]+', ' ', 'g'), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+_GOOD = "list_filter({}, lambda v: v IS NOT NULL AND v NOT IN ('', 'unknown', 'none'))"
+_PATHS = f"""base AS (SELECT *, tags AS subjects, CASE shot_index % 3 WHEN 0 THEN 'day' WHEN 1 THEN 'night' ELSE 'unknown' END AS time_of_day, analysis_version AS colour_profile, quality_flags AS usable_for FROM shots),
+    faceted AS ({_FACETS}), valued AS (SELECT shot_id, source_id, facet, top, many, {_GOOD.format('ss')} AS ss, unnest(range(len({_GOOD.format('vs')}))) AS i, unnest({_GOOD.format('vs')}) AS value FROM faceted),
+    earned AS (SELECT facet, value, row_number() OVER (PARTITION BY facet ORDER BY count(DISTINCT shot_id) DESC, value) <= 8 AS earns FROM valued GROUP BY facet, value),
+    paired AS (SELECT *, unnest(range(len(ss))) AS j, unnest(ss) AS second FROM valued), pairs AS (SELECT facet, value, second, count(DISTINCT shot_id) AS pair FROM paired GROUP BY ALL HAVING count(DISTINCT shot_id) >= 40),
+    thirds AS (SELECT shot_id, facet, value, arg_max(second, {{'p': pair, 'j': -j}}) AS third FROM paired JOIN pairs USING (facet, value, second) GROUP BY ALL),
+    paths AS (SELECT DISTINCT source_id, top || '/' || CASE WHEN NOT earns THEN 'Other' ELSE {_LABEL.format('value')} || coalesce('/' || {_LABEL.format('third')}, '') END AS path
+        FROM valued JOIN earned USING (facet, value) LEFT JOIN thirds USING (shot_id, facet, value) WHERE NOT many OR i < 2)"""
+ORACLE["j6_paths"] = ORACLE["j6_paths"].replace(" SELECT DISTINCT source_id, path FROM paths", f", {_PATHS} SELECT path, count(*) AS sources, min(source_id) AS first FROM paths GROUP BY path")
 _SHORT = """WITH h AS (SELECT user_id AS beat, event_id % 3 AS idea, row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY value DESC, event_id) AS rank, CAST(json_extract_string(props, '$.k') AS INT) AS shot_id,
             CASE WHEN value > 800 THEN 'match' WHEN value > 400 THEN 'near' ELSE 'weak' END AS label FROM events),
         f AS (SELECT *, shot_id % 10 AS source_id FROM h WHERE beat % 10 <> 0 AND shot_id % 30 >= CASE WHEN beat % 4 = 0 THEN 28 ELSE 5 END AND shot_id % 11 <> 0 AND NOT (shot_id % 7 = 0 AND beat % 2 = 0)),

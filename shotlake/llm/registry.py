@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ["mixing", "warc", "language_id", "ann", "pii", "substrings", "lm", "exact_dedup", "simhash", "packing"]
+NAMES = ["mixing", "warc", "language_id", "ann", "pii", "substrings", "lm", "exact_dedup", "simhash", "packing", "toxicity", "prefix_trie", "metric_trees"]
 
 
 def modules() -> list:

@@ -45,10 +45,29 @@ def c5_unfiled(spark, d):
     return filters.where(s, {"unfiled": True}).select("source_id")
 
 
+def _filter_specs(spark, d):
+    """A specification per supplier, each of other parts."""
+    s = read(spark, d, "supplier").join(read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("s_suppkey")
+    words = lambda *v: F.array(*map(F.lit, v))
+    kinds = F.when(k % 4 == 1, F.create_map(F.lit("shot_type"), words("wide"))).when(k % 4 == 2, F.create_map(F.lit("mood"), words("calm"), F.lit("camera_movement"), words("pan", "tilt"))).when(k % 4 == 3, F.create_map(F.lit("tags"), words("red", "blue"), F.lit("shot_type"), words("wide", "medium")))
+    used = adapter.usage(spark, d).groupBy("project").agg(F.collect_set("shot_id").alias("exclude"))
+    rows = s.select(
+        k.alias("spec"), kinds.alias("any_of"),
+        F.when(k % 5 == 0, F.create_map(F.lit("duration_s"), (k % 30).cast("double"))).when(k % 7 == 0, F.create_map(F.lit("width"), F.lit(1280.0), F.lit("created_at"), F.lit("1995-01-01").cast("timestamp").cast("double"))).alias("at_least"),
+        F.when(k % 6 == 0, F.create_map(F.lit("duration_s"), F.lit(40.0))).when(k % 9 == 1, F.create_map(F.lit("created_at"), F.lit("1996-01-01").cast("timestamp").cast("double"))).alias("at_most"),
+        F.when(k % 9 == 0, F.create_map(F.lit("top_pick"), F.lit(True))).alias("is_flag"), F.when(k % 2 == 0, F.array(F.concat_ws("/", "r_name", "n_name"), F.lit("EUROPE/none"))).alias("folders"), (k % 10 == 0).alias("direct"), (k % 4 == 0).alias("primary_only"),
+        (k % 31 == 30).alias("unfiled"), F.when(k % 8 == 1, words("shaky")).alias("all_flags"), F.when(k % 8 == 2, words("dark", "blurred")).alias("no_flags"), (k % 13 == 3).alias("clean"), F.when(k % 12 == 5, words("failed")).when(k % 12 == 7, words()).alias("status"), F.concat(F.lit("p"), (k % 20).cast("string")).alias("project"),
+    )
+    return rows.join(used, "project", "left").withColumn("exclude", F.when(F.col("spec") % 4 == 3, F.col("exclude")))
+
+
 def c11_filter_table(spark, d):
-    """Specifications as a table: each names a shot type and a least duration, and meets the shots by the type."""
-    spec = read(spark, d, "nation").select(F.col("n_nationkey").alias("spec"), F.element_at(F.array(*map(F.lit, ("wide", "medium", "close_up"))), (F.col("n_nationkey") % 3 + 1).cast("int")).alias("shot_type"), (F.col("n_nationkey") * 2.0).alias("least"))
-    return adapter.shots(spark, d).join(spec, "shot_type").filter(F.col("duration_s") >= F.col("least")).groupBy("spec").agg(F.count("*").alias("n"))
+    """Every filter of C1 to C10, combined in a row per specification, against all shots at once."""
+    src = adapter.sources(spark, d).select("source_id", "media_kind", "width", F.col("created_at").cast("timestamp").cast("double").alias("created_at"), "category", F.array(F.regexp_replace("category", "^[^/]+", "ASIA")).alias("secondary"))
+    shots = adapter.shots(spark, d).join(src, "source_id")
+    rows = filters.shot_tokens(shots, ["shot_type", "camera_movement", "action", "setting", "status", "media_kind"], ["tags", "mood"], ["duration_s", "width", "created_at"], ["top_pick"])
+    return filters.matches(rows, _filter_specs(spark, d)).select("spec", F.col("doc").alias("shot_id"))
 
 
 def d4_document_frequency(spark, d):
@@ -159,7 +178,15 @@ ORACLE = {
     "b14_photo_override": oracle("SELECT shot_id, CASE WHEN media_kind = 'image' THEN 'static' ELSE camera_movement END AS camera_movement FROM shots JOIN sources USING (source_id)", "sources", "shots"),
     "b22_embedding_text": oracle("""SELECT shot_id, caption || ', ' || upper(action) || list_reduce(list_prepend('', list_filter(list_distinct_o, lambda t: t <> action)), lambda a, b: a || ', ' || b) AS text FROM (SELECT *, list_concat(tags, mood) AS list_distinct_o FROM shots)""", "shots"),
     "c5_unfiled": oracle("SELECT source_id FROM sources WHERE width = 640 AND status IN ('indexed', 'needs_review')", "sources"),
-    "c11_filter_table": oracle("SELECT n_nationkey AS spec, count(*) AS n FROM nation JOIN shots ON shot_type = ['wide', 'medium', 'close_up'][n_nationkey % 3 + 1] AND duration_s >= n_nationkey * 2 GROUP BY ALL", "shots"),
+    "c11_filter_table": oracle("""SELECT s_suppkey AS spec, shot_id FROM (SELECT sh.*, media_kind, width, created_at, category, [regexp_replace(category, '^[^/]+', 'ASIA')] AS sec FROM shots sh JOIN sources USING (source_id)) x,
+        (SELECT *, s_suppkey AS k, r_name || '/' || n_name AS f, s_suppkey % 4 = 0 AS prim, s_suppkey % 10 = 0 AS direct FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) y
+        WHERE CASE k % 12 WHEN 5 THEN status = 'failed' WHEN 7 THEN TRUE ELSE status IN ('indexed', 'needs_review') END
+        AND CASE k % 4 WHEN 1 THEN shot_type = 'wide' WHEN 2 THEN list_contains(mood, 'calm') AND camera_movement IN ('pan', 'tilt') WHEN 3 THEN list_has_any(tags, ['red', 'blue']) AND shot_type IN ('wide', 'medium') ELSE TRUE END
+        AND (k % 5 <> 0 OR duration_s >= k % 30 OR coalesce(media_kind = 'image', FALSE)) AND (k % 5 = 0 OR k % 7 <> 0 OR (width >= 1280 AND created_at >= TIMESTAMP '1995-01-01'))
+        AND (k % 6 <> 0 OR duration_s <= 40 OR coalesce(media_kind = 'image', FALSE)) AND (k % 6 = 0 OR k % 9 <> 1 OR created_at <= TIMESTAMP '1996-01-01')
+        AND (k % 9 <> 0 OR top_pick) AND (k % 2 <> 0 OR category = f OR (NOT direct AND starts_with(category, f || '/')) OR (NOT prim AND (sec[1] = f OR (NOT direct AND starts_with(sec[1], f || '/')))))
+        AND (k % 31 <> 30 OR category IS NULL) AND (k % 8 <> 1 OR list_contains(quality_flags, 'shaky')) AND (k % 8 <> 2 OR NOT list_has_any(quality_flags, ['dark', 'blurred'])) AND (k % 13 <> 3 OR len(quality_flags) = 0)
+        AND NOT (k % 4 = 3 AND EXISTS (SELECT 1 FROM usage u WHERE u.shot_id = x.shot_id AND u.project = 'p' || (k % 20)))""", "sources", "shots", "usage"),
     "d4_document_frequency": "SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\p{L}\\p{N}]+')) AS term FROM documents) GROUP BY ALL",
     "e6_latest_vectors": "SELECT vec_id, CASE WHEN vec_id % 3 = 0 AND vec_id % 2 = 1 THEN 2 ELSE 1 END AS at_, round((CASE WHEN vec_id % 3 = 0 AND vec_id % 2 = 1 THEN embedding[64] ELSE embedding[1] END)::DOUBLE, 6) AS first FROM embeddings".replace("at_", '"at"'),
     "f2_gate": oracle("""SELECT query_id, label, count(*) AS n FROM (SELECT query_id, CASE WHEN sim IS NULL THEN CASE WHEN lit THEN 'match' WHEN cov > 0 THEN 'near' ELSE 'weak' END WHEN lit THEN 'match' WHEN cov >= 0.25 AND sim >= 0.6 THEN 'match'

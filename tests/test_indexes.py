@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shotlake.operators import filters, quantised, vector
+from shotlake.operators import filters, keyword, quantised, segmented, vector, versions
 
 
 def unit(points):
@@ -95,3 +95,112 @@ def test_filter_index(spark):
     assert got == want
     assert filters.matches(tokens.filter("false"), specs).count() == 0
     assert filters.matches(tokens, specs.filter("false")).count() == 0
+
+
+def test_versions(spark, tmp_path):
+    table = versions.Versioned(spark, str(tmp_path / "t"), "id", 8)
+    base = spark.createDataFrame([(f"k{i}", i, "old") for i in range(50)], "id string, n long, s string")
+    rows = lambda v=None: sorted(map(tuple, table.read(v).collect()))
+    assert table.version() == -1
+    with pytest.raises(ValueError):
+        table.read()
+    assert table.write(base) == 0
+    first = {r["bucket"]: r["path"] for r in table.commits.get()[1]}
+    assert table.write(spark.createDataFrame([("k3", None, "new"), ("z", 7, None)], "id string, n long, s string"), spark.createDataFrame([("k4",), ("nobody",)], "id string")) == 1
+    want = sorted([(f"k{i}", i, "new" if i == 3 else "old") for i in range(50) if i != 4] + [("z", 7, None)])
+    assert rows() == want and rows(0) == sorted((f"k{i}", i, "old") for i in range(50))
+    second = {r["bucket"]: r["path"] for r in table.commits.get()[1]}
+    assert 0 < sum(first.get(b) != p for b, p in second.items()) <= 4 < len(second)  # only buckets with a changed key
+    table.write(deleted=base.select("id"))
+    table.write(deleted=spark.createDataFrame([("z",)], "id string"))
+    assert rows() == [] and table.read().columns == ["id", "n", "s"] and rows(1) == want
+    table.write(base.limit(1))
+    assert len(rows()) == 1
+
+
+def test_a_failed_write_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    table = versions.Versioned(spark, str(tmp_path / "t"), "id", 4)
+    table.write(spark.createDataFrame([("a", 1)], "id string, n long"))
+    more = spark.createDataFrame([("a", 2), ("b", 2)], "id string, n long")
+
+    def lost(*_):
+        raise OSError("the driver is lost before the commit")
+
+    with monkeypatch.context() as m:
+        m.setattr(table.commits, "put", lost)
+        with pytest.raises(OSError):
+            table.write(more)
+    assert table.version() == 0 and [tuple(r) for r in table.read().collect()] == [("a", 1)]
+    broken = more.select("id", F.when(F.col("id") == "b", F.raise_error(F.lit("a task fails"))).otherwise(F.col("n")).cast("long").alias("n"))
+    with pytest.raises(Exception, match="a task fails"):
+        table.write(broken)
+    assert [tuple(r) for r in table.read().collect()] == [("a", 1)]
+    assert table.write(more) == 1 and table.read().count() == 2
+
+
+def test_one_of_two_writers_wins(spark, tmp_path):
+    a, b = (versions.Commits(spark, str(tmp_path / "c"), "x int") for _ in range(2))
+    a.put(0, [(1,)])
+    lost = 0
+    for w in (a, b):
+        try:
+            w.put(1, [(2,)])
+        except versions.Conflict:
+            lost += 1
+    assert a.get()[0] == 1 and lost <= 1 and a.get(0)[1][0]["x"] == 1
+    assert len({n for n in a._all().values()}) == 2
+
+
+TEXTS = {"text": 1.0, "concept": 0.6}
+CHANGE = "doc_id long, text string, concept string, deleted boolean, at long"
+
+
+def change_batches(seed):
+    rng = np.random.default_rng(seed)
+    words = ["red", "Blue", "sea", "sand", "été", "x1", ""]
+    batches, n = [], 0
+    for _ in range(9):
+        batch = []
+        for _ in range(int(rng.integers(0, 12))):
+            n += 1
+            gone = bool(rng.random() < 0.3)
+            batch.append((int(rng.integers(0, 15)), None if gone and n % 2 else " ".join(rng.choice(words, 5)), str(rng.choice(words)), gone or (None if n % 5 == 0 else False), n))
+        batches.append(batch)
+    return batches
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_index_in_step(spark, tmp_path, seed):
+    """Adds, edits, deletes and documents that come back, with merges on the way: postings, lengths, D4 to D7 equal a rebuild."""
+    index = segmented.Segmented(spark, str(tmp_path / "i"), "doc_id", "long", TEXTS, fan=2, smallest=4)
+    state = {}
+    for k, batch in enumerate(change_batches(seed)):
+        df = spark.createDataFrame(batch, CHANGE)
+        assert index.apply(df, k) == k
+        for doc, text, concept, gone, _ in batch:
+            state.pop(doc, None)
+            if not gone:
+                state[doc] = (text, concept)
+    assert index.apply(df, 3) == 8  # handed over again: nothing changes
+    tokens = keyword.tokenised(spark.createDataFrame([(d, *t) for d, t in state.items()], "doc_id long, text string, concept string"), "doc_id", TEXTS)
+    posts = keyword.postings(tokens)
+    same = lambda a, b: sorted(map(str, a.select(sorted(a.columns)).collect())) == sorted(map(str, b.select(sorted(a.columns)).collect()))
+    assert same(index.postings(), posts) and same(index.lengths(), tokens.select("doc", "len"))
+    q = spark.createDataFrame([(1, "red"), (1, "ete"), (2, "sea"), (2, "none")], "query_id long, term string")
+    assert same(keyword.frequencies(index.postings()), keyword.frequencies(posts)) and same(keyword.vocabulary(index.postings()), keyword.vocabulary(posts))
+    found = keyword.bm25(q, posts, tokens, 5)
+    assert same(keyword.bm25(q, index.postings(), index.lengths(), 5), found)
+    assert same(keyword.coverage(q, found.select("query_id", "doc"), index.postings(), index.lengths().count()), keyword.coverage(q, found.select("query_id", "doc"), posts, tokens.count()))
+    assert len(index.segments()) < 9
+
+
+def test_index_follows_a_stream(spark, tmp_path):
+    for k, batch in enumerate(change_batches(3)[:3]):
+        spark.createDataFrame(batch + [(100 + k, "always here", "c", False, 1)], CHANGE).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(CHANGE).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    index = segmented.Segmented(spark, str(tmp_path / "i"), "doc_id", "long", TEXTS)
+    index.follow(stream, str(tmp_path / "cp"))
+    assert {r["doc"] for r in index.lengths().collect()} >= {100, 101, 102}
+    before = index.commits.get()[0]
+    index.follow(stream, str(tmp_path / "cp"))
+    assert index.commits.get()[0] == before

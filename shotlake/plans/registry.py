@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ["search", "catalogue", "facets", "scripts", "more", "library", "indexes"]
+NAMES = ["search", "catalogue", "facets", "scripts", "more", "library", "indexes", "streams"]
 
 
 def modules() -> list:

@@ -118,5 +118,28 @@ def intake_verdict(most_seconds: float, most_bytes: int) -> Column:
 
 
 def human_duration(s: Column) -> Column:
-    m, h = F.floor(s / 60), F.floor(s / 3600)
-    return F.when(s < 60, F.format_string("%d s", F.floor(s))).when(s < 3600, F.format_string("%d min", m)).otherwise(F.format_string("%d h %02d min", h, m % 60))
+    """Whole seconds, halves to the even number, as `3 h 04 min`, `3 min 04 s` or `4 s`."""
+    n = F.bround(s).cast("long")
+    h, m = F.floor(n / 3600), F.floor(n % 3600 / 60)
+    return F.when(n >= 3600, F.format_string("%d h %02d min", h, m)).when(n >= 60, F.format_string("%d min %02d s", m, n % 60)).otherwise(F.format_string("%d s", n))
+
+
+def intake(forced: Column, free_bytes: Column, most_seconds: float = 600.0, forced_seconds: float = 3600.0, most_gb: float = 5.0, headroom_gb: float = 5.0) -> tuple[Column, Column]:
+    """(verdict, detail): too_long (not for images), too_big, or null if a file may go ahead.
+
+    A forced file meets a longer limit of length, and of size only what is free but for the headroom. Unknown or zero lengths and sizes,
+    and limits of 0, turn nothing away; without a known free space no forced file is too big.
+    """
+    gb, size, forced = 1e9, F.col("filesize_bytes"), F.coalesce(forced, F.lit(False))
+    limit = F.when(forced, F.lit(forced_seconds)).otherwise(F.lit(most_seconds))
+    long = ~F.coalesce(F.col("media_kind") == "image", F.lit(False)) & (F.col("duration_s") > 0) & (limit > 0) & (F.col("duration_s") > limit)
+    room = F.greatest(F.lit(0.0), free_bytes / gb - headroom_gb)
+    full = (size > 0) & forced & (size > free_bytes - headroom_gb * gb)
+    big = (size > 0) & ~forced & F.lit(most_gb > 0) & (size > most_gb * gb)
+    verdict = F.when(long, "too_long").when(full | big, "too_big")
+    detail = (
+        F.when(long, F.concat(human_duration(F.col("duration_s")), F.lit(" long; the limit is "), human_duration(limit), F.lit(". Probably a recording rather than B-roll.")))
+        .when(full, F.format_string("%.1f GB is more than this server can hold at once (%.1f GB free to use).", size / gb, room))
+        .when(big, F.format_string(f"%.1f GB; the limit is {most_gb:g} GB.", size / gb))
+    )
+    return verdict, detail

@@ -38,11 +38,27 @@ def folder_rollup(rows: DataFrame, folders: DataFrame, key: str, path: str, at:
     return folders.join(top, "folder", "left").join(parents, "folder", "left").select("folder", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.array_join(F.transform("x", lambda s: s[key]), ","), F.lit("")).alias("newest"), F.coalesce("has_children", F.lit(False)).alias("has_children"))
 
 
+#: Words for who is in a shot, which may be common.
+PEOPLE = ("man", "men", "woman", "women", "person", "people", "group", "child", "children", "boy", "girl", "baby", "crowd")
+
+
 def tag_audit(tags: DataFrame, total: int, share: float = 0.12, least: int = 25) -> DataFrame:
-    """tags (shot_id, tag): per tag its shots, share, and whether it is too common or single."""
+    """tags (shot_id, tag) of a library of `total` shots: per tag its shots, share, and whether it is single or too common. Only libraries of `least` shots are judged, and words for people never are."""
     per = tags.dropDuplicates(["shot_id", "tag"]).groupBy("tag").agg(F.count("*").alias("n"))
     part = F.col("n") / F.lit(total)
-    return per.select("tag", "n", F.round(part, 6).alias("share"), ((part > share) & (F.col("n") >= least)).alias("too_common"), (F.col("n") == 1).alias("single"))
+    return per.select("tag", "n", F.round(part, 6).alias("share"), (F.lit(total >= least) & (part > share) & ~F.col("tag").isin(*PEOPLE)).alias("too_common"), (F.col("n") == 1).alias("single"))
+
+
+def audit_report(shots: DataFrame, top: int) -> DataFrame:
+    """(part, value, n) of shots (shot_id, tags, status): the `top` commonest tags, shots, tags a shot (to one place), distinct tags, tags used once, shots to be reviewed."""
+    per = shots.select("shot_id", F.explode("tags").alias("tag")).distinct().groupBy("tag").agg(F.count("*").cast("double").alias("n"))
+    most = per.orderBy(F.desc("n"), "tag").limit(top).select(F.lit("most").alias("part"), F.col("tag").alias("value"), "n")
+    rows = shots.agg(F.count("*").cast("double").alias("shots"), F.round(F.sum(F.size(F.coalesce("tags", F.array().cast("array<string>")))) / F.count("*"), 1).alias("tags_per_shot"), F.count_if(F.col("status") == "needs_review").cast("double").alias("needs_review"))
+    tags = per.agg(F.count("*").cast("double").alias("distinct_tags"), F.count_if(F.col("n") == 1).cast("double").alias("tags_used_once"))
+    figures = [d.select(F.lit(c).alias("part"), F.lit("").alias("value"), F.col(c).alias("n")) for d in (rows, tags) for c in d.columns]
+    for f in figures:
+        most = most.unionByName(f)
+    return most
 
 
 def histogram(rows: DataFrame, column: str, edges: list[float]) -> DataFrame:

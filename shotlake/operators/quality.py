@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 
 #: Standard frame rates, and marks of failures in messages.
 RATES = (23.976, 24.0, 25.0, 29.97, 30.0, 48.0, 50.0, 59.94, 60.0)
-QUOTA = r"429|quota|rate limit|resource_exhausted"
-TRANSIENT = r"timed? ?out|timeout|connection|unavailable|503|reset"
-MISSING = r"no such file|not found|permission denied|disk full"
-LOW, UNSURE = 0.6, 0.7
+TRANSIENT = ("503", "502", "504", "500", "429", "unavailable", "resource_exhausted", "overloaded", "high demand", "timeout", "timed out", "deadline", "connection", "temporarily")
+ENVIRONMENT = (
+    "invalid_grant", "expired or revoked", "reauthenticate", "api key not valid", "api_key_invalid", "unauthenticated", "invalid authentication credentials", "billing", "per day", "perday",
+    "permission_denied", "drive is not connected", "downloadquotaexceeded", "download quota",
+)
+DRIVE_QUOTA = ("downloadquotaexceeded", "download quota")
+DRIVE_REFUSED = r"googleapis\.com/drive/.*\b403\b"
+NO_ROOM, CUT_OFF = ("free disk",), ("stopped", "empty", "incomplete")
+UNREADABLE = ("ffprobe could not read", "contains no image or video", "could not decode", "could not read", "moov atom", "invalid data")
+LEAST_CONFIDENCE, LEAST_CATEGORY = 0.7, 0.6
 
 
 def normalise_term(v: Column) -> Column:
@@ -72,13 +78,55 @@ def supported(tags: Column, text: Column, stop: tuple) -> Column:
     return F.filter(F.array_distinct(tags), lambda t: ~t.isin(*stop) & mentioned(t, text))
 
 
-def review_reasons(confidence: Column, flags: Column, defects: tuple) -> Column:
-    return F.array_compact(F.array(F.when(confidence < LOW, "low_confidence").when(confidence < UNSURE, "unsure"), F.when(F.arrays_overlap(flags, F.array(*map(F.lit, defects))), "defect")))
+def evidence(tags: Column, themes: Column, text: Column, stop: tuple, names: tuple, concepts: tuple, allowed: tuple) -> tuple[Column, Column]:
+    """(tags, themes) held to what the text shows: no stop words, names of the featured person, or repeats.
+
+    Words for feelings, looks and ideas (`concepts`, allowed themes among them) stay tags only if the text mentions them; those that it
+    doesn't become themes if they are allowed ones. Other tags stay. At most four themes, given ones first. Null lists are empty.
+    """
+    none = F.array().cast("array<string>")
+    words = F.filter(F.array_distinct(F.coalesce(tags, none)), lambda t: ~t.isin(*stop, *names))
+    idea = lambda t: t.isin(*concepts, *allowed) & ~F.coalesce(mentioned(t, text), F.lit(False))
+    given = F.filter(F.array_distinct(F.coalesce(themes, none)), lambda t: t.isin(*allowed))
+    moved = F.filter(words, lambda t: idea(t) & t.isin(*allowed))
+    return F.filter(words, lambda t: ~idea(t)), F.slice(F.array_union(given, moved), 1, 4)
+
+
+def review_reasons(confidence: Column, category_confidence: Column, unmatched: Column, flags: Column, defects: tuple) -> Column:
+    """Why a person should look: an unsure description, an unsure or unknown folder, a defect of the picture. What is null gives no reason."""
+    return F.array_compact(
+        F.array(
+            F.when(confidence < LEAST_CONFIDENCE, "low_confidence"), F.when(category_confidence < LEAST_CATEGORY, "low_category_confidence"),
+            F.when(unmatched, "category_unmatched"), F.when(F.arrays_overlap(flags, F.array(*map(F.lit, defects))), "quality_defect"),
+        )
+    )
+
+
+def _has(message: Column, marks: tuple) -> Column:
+    m = F.lower(F.coalesce(message, F.lit("")))
+    return reduce(lambda a, b: a | b, [F.contains(m, F.lit(x)) for x in marks])
+
+
+def drive_quota(message: Column) -> Column:
+    """A read that the drive refused for its download quota, in words or as a 403 of its address."""
+    return _has(message, DRIVE_QUOTA) | F.lower(F.coalesce(message, F.lit(""))).rlike(DRIVE_REFUSED)
+
+
+def environment(message: Column) -> Column:
+    """Failures of the setup, which every file meets until someone mends it."""
+    return _has(message, ENVIRONMENT) | F.lower(F.coalesce(message, F.lit(""))).rlike(DRIVE_REFUSED)
+
+
+def transient(message: Column) -> Column:
+    """Failures that are worth another try."""
+    return _has(message, TRANSIENT) | environment(message)
 
 
 def failure_kind(message: Column) -> Column:
-    m = F.lower(message)
-    return F.when(m.rlike(QUOTA), "quota").when(m.rlike(TRANSIENT), "transient").when(m.rlike(MISSING), "missing").otherwise("other")
+    """Which list a file that has failed for good belongs on, from its last error."""
+    return (
+        F.when(_has(message, NO_ROOM), "too_big").when(_has(message, ("download",)) & _has(message, CUT_OFF), "download_incomplete").when(_has(message, UNREADABLE), "unreadable").otherwise("analysis_failed")
+    )
 
 
 def snap_fps(fps: Column, tolerance: float = 0.015) -> Column:

@@ -99,22 +99,28 @@ def b11_mentioned(spark, d):
 
 
 def b12_evidence(spark, d):
-    s = adapter.shots(spark, d).withColumn("tags", F.concat("tags", F.array("action", F.lit("ghost"))))
-    return s.select("shot_id", F.array_join(quality.supported(F.col("tags"), F.col("caption"), ("red", "blue")), ",").alias("tags"))
+    s = adapter.shots(spark, d).withColumn("tags", F.concat("tags", F.array("action", F.lit("ghost"), F.lit("hope"), F.lit("calm"), F.lit("hope")))).withColumn("themes", F.concat("mood", F.array(F.lit("nothing"), F.lit("rest"))))
+    tags, themes = quality.evidence(F.col("tags"), F.col("themes"), F.col("caption"), ("red",), ("blue",), ("calm", "tense", "green"), ("hope", "rest", "warm", "cool", "loss"))
+    return s.select("shot_id", F.array_join(tags, ",").alias("tags"), F.array_join(themes, ",").alias("themes"))
 
 
 def b13_review_reasons(spark, d):
     s = adapter.shots(spark, d)
-    return s.select("shot_id", F.array_join(quality.review_reasons(F.col("confidence"), F.col("quality_flags"), ("shaky", "dark")), ",").alias("reasons"))
+    reasons = quality.review_reasons(F.col("confidence"), F.when(F.col("shot_type") != "wide", F.col("duration_s") / 50), F.col("top_pick") & (F.col("shot_type") == "wide"), F.col("quality_flags"), ("shaky", "dark"))
+    return s.select("shot_id", F.array_join(reasons, ",").alias("reasons"))
 
 
 def b15_intake(spark, d):
-    return adapter.sources(spark, d).select("source_id", catalog.intake_verdict(300.0, 250_000_000).alias("verdict"), catalog.human_duration(F.col("duration_s") * 60).alias("long"))
+    s = adapter.sources(spark, d)
+    verdict, detail = catalog.intake(F.col("status") == "needs_review", F.when(F.col("width") != 640, F.lit(250_000_000)), 100.0, 200.0, 0.15, 0.05)
+    return s.select("source_id", verdict.alias("verdict"), F.regexp_replace(detail, r"^[0-9.]+ GB", "x GB").alias("detail"), catalog.human_duration(F.col("duration_s") * 60).alias("long"))
 
 
 def b16_failures(spark, d):
-    log = adapter.ledger(spark, d).select("call_id", F.concat_ws(" ", "kind", F.when(F.col("tokens") % 3 == 0, "429 quota exceeded").when(F.col("tokens") % 3 == 1, "connection timed out").otherwise("no such file")).alias("message"))
-    return log.groupBy(quality.failure_kind(F.col("message")).alias("failure")).agg(F.count("*").alias("n"))
+    """Errors of a log by the list their file goes to, and whether to try again, to mend the setup, or to wait for the drive."""
+    texts = ("429 too many requests", "Connection timed out", "no such file", "no free disk space", "Download stopped early", "moov atom not found", "downloadQuotaExceeded", "https://www.googleapis.com/drive/v3/x: Server returned 403 Forbidden", "invalid_grant", "download is empty")
+    log = adapter.ledger(spark, d).select("call_id", F.concat_ws(" ", "kind", F.element_at(F.array(*map(F.lit, texts)), (F.col("tokens") % 10 + 1).cast("int"))).alias("message"))
+    return log.groupBy(*(f(F.col("message")).alias(n) for n, f in (("failure", quality.failure_kind), ("again", quality.transient), ("setup", quality.environment), ("drive", quality.drive_quota)))).agg(F.count("*").alias("n"))
 
 
 def b17_snap_fps(spark, d):
@@ -303,6 +309,8 @@ def o3_intersection(spark, d):
 
 
 _STEMS = "list_transform(regexp_extract_all(lower({}), '[a-z0-9'']+'), lambda w: w[1:5])"
+_IDEA = "t IN ('calm', 'tense', 'green', 'hope', 'rest', 'warm', 'cool', 'loss') AND NOT (len({T}) > 0 AND list_has_all({STEMS}, {T}))"
+_HUMAN = "(CASE WHEN round_even({0}, 0) >= 3600 THEN format('{{:d}} h {{:02d}} min', round_even({0}, 0)::BIGINT // 3600, round_even({0}, 0)::BIGINT % 3600 // 60) WHEN round_even({0}, 0) >= 60 THEN format('{{:d}} min {{:02d}} s', round_even({0}, 0)::BIGINT // 60, round_even({0}, 0)::BIGINT % 60) ELSE round_even({0}, 0)::BIGINT || ' s' END)"
 ORACLE = {
     "a1_sources_newest": oracle("SELECT source_id, created_at FROM sources WHERE status = 'indexed' ORDER BY created_at DESC, source_id LIMIT 50", "sources"),
     "a2_shots_by_status": oracle("SELECT shot_id, caption FROM shots WHERE status = 'indexed'", "shots"),
@@ -326,13 +334,17 @@ ORACLE = {
         WHERE (field, term) NOT IN (SELECT 'action', lower(p_type) FROM part WHERE p_size <= 10 UNION SELECT 'setting', p_brand FROM part WHERE p_size <= 3) GROUP BY ALL""", "shots"),
     "b7_candidates": oracle("""SELECT 'kind' AS field, kind || '_' || (tokens % 10) AS term, count(*) AS n, min("at") AS first_seen, max("at") AS last_seen FROM ledger GROUP BY ALL HAVING count(*) >= 5""", "ledger"),
     "b11_mentioned": oracle(f"SELECT list_has_all({_STEMS.format('caption')}, {_STEMS.format("tags[1] || ' gears'")}) AS m, count(*) AS n FROM shots GROUP BY ALL", "shots"),
-    "b12_evidence": oracle(f"SELECT shot_id, array_to_string(list_filter(list_distinct_o, lambda t: t NOT IN ('red', 'blue') AND list_has_all({_STEMS.format('caption')}, {_STEMS.format('t')})), ',') AS tags FROM (SELECT shot_id, caption, CASE WHEN list_contains(tags, action) THEN tags ELSE list_append(tags, action) END AS list_distinct_o FROM shots)", "shots"),
-    "b13_review_reasons": oracle("""SELECT shot_id, array_to_string(list_filter([CASE WHEN confidence < 0.6 THEN 'low_confidence' WHEN confidence < 0.7 THEN 'unsure' END,
-        CASE WHEN list_has_any(quality_flags, ['shaky', 'dark']) THEN 'defect' END], lambda x: x IS NOT NULL), ',') AS reasons FROM shots""", "shots"),
-    "b15_intake": oracle("""SELECT source_id, CASE WHEN media_kind <> 'image' AND duration_s > 300 THEN 'too_long' WHEN filesize_bytes > 250000000 THEN 'too_big' ELSE 'ok' END AS verdict,
-        CASE WHEN s < 60 THEN CAST(floor(s) AS INT) || ' s' WHEN s < 3600 THEN CAST(floor(s / 60) AS INT) || ' min' ELSE CAST(floor(s / 3600) AS INT) || ' h ' || format('{:02d}', CAST(floor(s / 60) AS INT) % 60) || ' min' END AS long
-        FROM (SELECT *, duration_s * 60 AS s FROM sources)""", "sources"),
-    "b16_failures": oracle("SELECT CASE tokens % 3 WHEN 0 THEN 'quota' WHEN 1 THEN 'transient' ELSE 'missing' END AS failure, count(*) AS n FROM ledger GROUP BY ALL", "ledger"),
+    "b12_evidence": oracle(f"""SELECT shot_id, array_to_string(list_filter(ws, lambda t: NOT ({_IDEA.format(STEMS=_STEMS.format("caption"), T=_STEMS.format("t"))})), ',') AS tags,
+        array_to_string(list_concat(given, list_filter(ws, lambda t: t IN ('hope', 'rest', 'warm', 'cool', 'loss') AND NOT list_contains(given, t) AND {_IDEA.format(STEMS=_STEMS.format("caption"), T=_STEMS.format("t"))}))[1:4], ',') AS themes FROM (
+        SELECT shot_id, caption, list_filter(all_, lambda t, i: list_position(all_, t) = i AND t NOT IN ('red', 'blue')) AS ws, list_filter(list_concat(mood, ['rest']), lambda t: t IN ('hope', 'rest', 'warm', 'cool', 'loss')) AS given
+        FROM (SELECT *, list_concat(tags, [action, 'ghost', 'hope', 'calm', 'hope']) AS all_ FROM shots))""", "shots"),
+    "b13_review_reasons": oracle("""SELECT shot_id, array_to_string(list_filter([CASE WHEN confidence < 0.7 THEN 'low_confidence' END, CASE WHEN shot_type <> 'wide' AND duration_s / 50 < 0.6 THEN 'low_category_confidence' END,
+        CASE WHEN top_pick AND shot_type = 'wide' THEN 'category_unmatched' END, CASE WHEN list_has_any(quality_flags, ['shaky', 'dark']) THEN 'quality_defect' END], lambda x: x IS NOT NULL), ',') AS reasons FROM shots""", "shots"),
+    "b15_intake": oracle(f"""SELECT source_id, CASE WHEN too_long THEN 'too_long' WHEN fulls OR big THEN 'too_big' END AS verdict,
+        CASE WHEN too_long THEN {_HUMAN.format("duration_s")} || ' long; the limit is ' || CASE WHEN forced THEN '3 min 20 s' ELSE '1 min 40 s' END || '. Probably a recording rather than B-roll.'
+             WHEN fulls THEN 'x GB is more than this server can hold at once (0.2 GB free to use).' WHEN big THEN 'x GB; the limit is 0.15 GB.' END AS detail, {_HUMAN.format("duration_s * 60")} AS long
+        FROM (SELECT *, coalesce(media_kind <> 'image', true) AND duration_s > CASE WHEN forced THEN 200 ELSE 100 END AS too_long, forced AND width <> 640 AND filesize_bytes > 200000000 AS fulls, NOT forced AND filesize_bytes > 150000000 AS big FROM (SELECT *, status = 'needs_review' AS forced FROM sources))""", "sources"),
+    "b16_failures": oracle("""SELECT CASE tokens % 10 WHEN 3 THEN 'too_big' WHEN 4 THEN 'download_incomplete' WHEN 9 THEN 'download_incomplete' WHEN 5 THEN 'unreadable' ELSE 'analysis_failed' END AS failure, tokens % 10 IN (0, 1, 6, 7, 8) AS again, tokens % 10 IN (6, 7, 8) AS setup, tokens % 10 IN (6, 7) AS drive, count(*) AS n FROM ledger GROUP BY ALL""", "ledger"),
     "b17_snap_fps": """SELECT p_partkey, coalesce((SELECT r FROM (VALUES (23.976), (24.0), (25.0), (29.97), (30.0), (48.0), (50.0), (59.94), (60.0)) v(r) WHERE abs(f - r) / r <= 0.015 ORDER BY abs(f - r), r LIMIT 1)::DOUBLE, round(f, 3)) AS fps
         FROM (SELECT p_partkey, 23.5 + p_partkey % 400 / 10 AS f FROM part)""",
     "b18_fingerprint": """SELECT doc_id, sha256(CAST(octet_length(b) AS VARCHAR)::BLOB || b[1:1048576] || CASE WHEN octet_length(b) > 2097152 THEN b[octet_length(b) - 1048575:octet_length(b)] ELSE ''::BLOB END) AS hash FROM (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents)""",

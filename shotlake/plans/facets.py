@@ -47,6 +47,11 @@ def g9_tag_audit(spark, d):
     return facets.tag_audit(s.select("shot_id", F.explode("tags").alias("tag")), s.count())
 
 
+def g9_audit_report(spark, d):
+    """The audit as rows: the commonest tags, and figures over all shots."""
+    return facets.audit_report(adapter.shots(spark, d), 25)
+
+
 def g10_histogram(spark, d):
     return facets.histogram(adapter.shots(spark, d), "confidence", [0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.01])
 
@@ -233,13 +238,22 @@ def k5_best_window(spark, d):
 
 
 def k6_merge_cuts(spark, d):
-    return segments.merge_cuts(_spans(spark, d)).select("id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+    s = _spans(spark, d).select("id", (F.col("x") + 0.05).alias("x"), (F.col("y") + 0.05).alias("y"), (F.max("y").over(W.partitionBy("id")) + 1).alias("length"))
+    return segments.merge_cuts(s).select("id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
 def k7_frames(spark, d):
     return segments.frame_times(adapter.shots(spark, d).select(F.col("shot_id").alias("id"), F.col("start_s").alias("x"), F.col("end_s").alias("y")))
 
 
+def k7_weighted(spark, d):
+    """Moments weighted to a best part that the confidence places; some shots have none, or a short one."""
+    s = adapter.shots(spark, d)
+    lo = F.col("start_s") + F.col("duration_s") * F.col("confidence") * 0.5
+    s = s.select(F.col("shot_id").alias("id"), F.col("start_s").alias("x"), F.col("end_s").alias("y"), segments.frame_count(F.col("duration_s")).alias("count"), F.when(F.col("shot_index") != 2, lo).alias("lo"), (lo + F.col("duration_s") * 0.25).alias("hi"))
+    return segments.weighted_times(s)
+
+
 def k8_best_frames(spark, d):
     l = read(spark, d, "lineitem")
     f = l.groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("position"), F.col("l_partkey").alias("attempt")).agg((F.max("l_quantity") * 6).alias("mean"), F.round(F.max(F.abs("l_tax")) * 300 + F.max(F.col("l_partkey") % 7), 4).alias("sd"))
@@ -247,9 +261,9 @@ def k8_best_frames(spark, d):
 
 
 def k9_trim(spark, d):
-    lo, hi = segments.trim(2.0, 30.0)
-    s = adapter.shots(spark, d).withColumn("length_s", F.max("end_s").over(W.partitionBy("source_id")))
-    return s.select("shot_id", lo.alias("x"), hi.alias("y"))
+    s = adapter.shots(spark, d).withColumn("length_s", F.when(F.col("shot_type") != "wide", F.max("end_s").over(W.partitionBy("source_id")))).withColumn("best_from", F.when(F.col("top_pick"), F.col("start_s") + 1)).withColumn("best_to", F.col("end_s") - 1)
+    lo, hi, whole = segments.trim(2.0, 30.0, ("best_from", "best_to"))
+    return s.select("shot_id", lo.alias("x"), hi.alias("y"), whole.alias("whole"))
 
 
 def k10_packing_list(spark, d):
@@ -271,8 +285,11 @@ ORACLE = {
         LEFT JOIN (SELECT * FROM sources WHERE status <> 'pending') s ON s.category = f.folder OR starts_with(s.category, f.folder || '/')) GROUP BY ALL""", "sources"),
     "g6_ancestors": oracle("SELECT array_to_string(string_split(category, '/')[1:i], '/') AS folder, count(*) AS n FROM sources, range(1, 4) t(i) GROUP BY ALL", "sources"),
     "g8_offered": oracle("SELECT setting AS value, count(*) AS n FROM shots WHERE setting IN (SELECT p_brand FROM part WHERE p_size < 5) GROUP BY ALL", "shots"),
-    "g9_tag_audit": oracle("""SELECT tag, n, round(n / t, 6) AS share, n / t > 0.12 AND n >= 25 AS too_common, n = 1 AS single FROM (
+    "g9_tag_audit": oracle("""SELECT tag, n, round(n / t, 6) AS share, t >= 25 AND n / t > 0.12 AND tag NOT IN ('man', 'men', 'woman', 'women', 'person', 'people', 'group', 'child', 'children', 'boy', 'girl', 'baby', 'crowd') AS too_common, n = 1 AS single FROM (
         SELECT tag, count(*) AS n, (SELECT count(*) FROM shots) AS t FROM (SELECT DISTINCT shot_id, unnest(tags) AS tag FROM shots) GROUP BY ALL)""", "shots"),
+    "g9_audit_report": oracle("""SELECT 'most' AS part, tag AS value, n::DOUBLE AS n FROM (SELECT tag, count(DISTINCT shot_id) AS n FROM (SELECT shot_id, unnest(tags) AS tag FROM shots) GROUP BY tag ORDER BY n DESC, tag LIMIT 25)
+        UNION ALL SELECT 'shots', '', count(*) FROM shots UNION ALL SELECT 'tags_per_shot', '', round(sum(len(tags)) / count(*), 1) FROM shots UNION ALL SELECT 'needs_review', '', count_if(status = 'needs_review') FROM shots
+        UNION ALL SELECT 'distinct_tags', '', count(*) FROM (SELECT DISTINCT unnest(tags) FROM shots) UNION ALL SELECT 'tags_used_once', '', count(*) FROM (SELECT tag FROM (SELECT DISTINCT shot_id, unnest(tags) AS tag FROM shots) GROUP BY tag HAVING count(*) = 1)""", "shots"),
     "g10_histogram": oracle("""SELECT b AS bucket, count(shot_id) AS n FROM (VALUES ('0-0.1', 0, 0.1), ('0.1-0.25', 0.1, 0.25), ('0.25-0.5', 0.25, 0.5), ('0.5-0.75', 0.5, 0.75), ('0.75-0.9', 0.75, 0.9), ('0.9-1.01', 0.9, 1.01)) v(b, lo, hi)
         LEFT JOIN shots ON confidence >= lo::DOUBLE AND confidence < hi::DOUBLE GROUP BY ALL""", "shots"),
     "g12_reason_counts": oracle("SELECT reason, count(*) AS n FROM (SELECT unnest(quality_flags) AS reason FROM shots) GROUP BY ALL", "shots"),
@@ -324,8 +341,14 @@ ORACLE = {
         CASE WHEN len(string_split(path, '/')) = 3 AND contains(path, 'NATION_1') THEN 'one' END], lambda x: x IS NOT NULL), '; ') AS notes FROM (SELECT DISTINCT array_to_string(string_split(category, '/')[1:i], '/') AS path FROM sources, range(1, 4) t(i))""", "sources"),
     "k1_windows": oracle("""SELECT id, k, round(k * step, 6) AS x, round(CASE WHEN k = n - 1 THEN stop ELSE (k + 1) * step END, 6) AS y FROM (SELECT *, CASE WHEN n0 > 1 AND stop - (n0 - 1) * step < 10 THEN n0 - 1 ELSE n0 END AS n FROM (
         SELECT *, CAST(greatest(1, ceil(round(stop / step, 9))) AS INT) AS n0 FROM (SELECT source_id AS id, floor(duration_s) AS stop, greatest(60.0::DOUBLE, floor(duration_s) / 20) AS step FROM sources) WHERE stop > 0)), LATERAL (SELECT unnest(range(n)) AS k)""", "sources"),
-    "k6_merge_cuts": oracle("""SELECT id, round(min(x), 4) AS x, round(max(y), 4) AS y FROM (SELECT *, CASE WHEN avg(y - x) OVER (PARTITION BY id) < 2 THEN 0 ELSE i END AS g FROM (
-        SELECT id, i, min(x) AS x, max(y) AS y FROM (SELECT *, greatest(1, sum(CASE WHEN y - x >= 1.5 THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY x)) AS i FROM (SELECT source_id AS id, start_s / 10 AS x, end_s / 10 AS y FROM shots)) GROUP BY id, i)) GROUP BY id, g""", "shots"),
+    "k6_merge_cuts": oracle("""SELECT id, round(x, 4) AS x, round(y, 4) AS y FROM (
+        SELECT id, CASE WHEN mean < 2 OR i = lo THEN 0 ELSE x END AS x, CASE WHEN mean < 2 THEN length WHEN i = hi THEN greatest(y, length) ELSE y END AS y, mean < 2 AS one, row_number() OVER (PARTITION BY id ORDER BY i) AS r FROM (
+            SELECT *, avg(y - x) OVER p AS mean, min(i) OVER p AS lo, max(i) OVER p AS hi FROM (
+                SELECT id, i, min(x) AS x, max(y) AS y, any_value(length) AS length FROM (
+                    SELECT id, CASE WHEN i = 1 AND max(y) - min(x) < 1.5 THEN 2 ELSE i END AS i, min(x) AS x, max(y) AS y, any_value(length) AS length FROM (
+                        SELECT *, sum(CASE WHEN n = 1 OR y - x >= 1.5 THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY x) AS i FROM (
+                            SELECT source_id AS id, start_s / 10 + 0.05::DOUBLE AS x, end_s / 10 + 0.05::DOUBLE AS y, max(end_s / 10) OVER (PARTITION BY source_id) + 1 AS length, row_number() OVER (PARTITION BY source_id ORDER BY start_s) AS n FROM shots)) q GROUP BY q.id, q.i) GROUP BY id, i)
+            WINDOW p AS (PARTITION BY id))) WHERE NOT one OR r = 1""", "shots"),
     "k8_best_frames": """WITH f AS (SELECT l_orderkey AS id, l_linenumber AS position, l_partkey AS attempt, max(l_quantity) * 6 AS mean, round((max(abs(l_tax)) * 300 + max(l_partkey % 7))::DOUBLE, 4) AS sd FROM lineitem GROUP BY ALL),
         p AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY id, position ORDER BY NOT (mean BETWEEN 18 AND 240 AND sd >= 8), CASE WHEN mean BETWEEN 18 AND 240 AND sd >= 8 THEN attempt ELSE -sd END, attempt) = 1)
         SELECT id, arg_max(position, {'s': sd, 'p': -position}) AS position, max(sd) AS sd FROM p GROUP BY id""",
@@ -335,8 +358,17 @@ ORACLE = {
             WHERE e > s WINDOW w AS (PARTITION BY id ORDER BY s, e)) WINDOW w AS (PARTITION BY id ORDER BY s, e)) WINDOW w2 AS (PARTITION BY id ORDER BY s, e)) WHERE y > x""", "shots"),
     "k5_best_window": oracle("SELECT source_id AS id, x, CASE WHEN least(x + 2.5, y) - (x + 0.5) >= 1 THEN round(x + 0.5, 4) END AS lo, CASE WHEN least(x + 2.5, y) - (x + 0.5) >= 1 THEN round(least(x + 2.5, y), 4) END AS hi FROM (SELECT *, start_s / 10 AS x, end_s / 10 AS y FROM shots)", "shots"),
     "k7_frames": oracle("""SELECT shot_id AS id, CAST(k AS INT) AS k, round(start_s + duration_s * (k + 0.5) / n, 6) AS t FROM (
-        SELECT *, greatest(1, least(12, CAST(round_even(duration_s / 4, 0) AS INT))) AS n FROM shots), LATERAL (SELECT unnest(range(n)) AS k)""", "shots"),
-    "k9_trim": oracle("SELECT shot_id, greatest(0, start_s - 2) AS x, least(least(max(end_s) OVER (PARTITION BY source_id), end_s + 2), greatest(0, start_s - 2) + 30) AS y FROM shots", "shots"),
+        SELECT *, greatest(3, least(8, CAST(round_even(duration_s / 4, 0) AS INT))) AS n FROM shots), LATERAL (SELECT unnest(range(n)) AS k)""", "shots"),
+    "k7_weighted": oracle("""SELECT id, CAST(i - 1 AS INT) AS k, round(ts[i], 6) AS t FROM (SELECT id, ts, unnest(range(1, len(ts) + 1)) AS i FROM (
+        SELECT id, list_sort(CASE WHEN known THEN list_concat(list_transform(range(ins), lambda i: lo + (hi - lo) * (i + 0.5) / ins),
+            CASE WHEN lo > x AND bef > 0 THEN list_transform(range(bef), lambda i: x + (lo - x) * (i + 0.5) / bef) ELSE [] END, CASE WHEN y > hi AND cnt - ins - bef > 0 THEN list_transform(range(cnt - ins - bef), lambda i: hi + (y - hi) * (i + 0.5) / (cnt - ins - bef)) ELSE [] END)
+            ELSE list_transform(range(cnt), lambda i: x + (y - x) * (i + 0.5) / cnt) END) AS ts FROM (
+        SELECT *, least(greatest(CASE WHEN lo - x + y - hi > 0 THEN CAST(round_even((cnt - ins) * (lo - x) / (lo - x + y - hi), 0) AS INT) ELSE 0 END, CASE WHEN lo - x > 0.5 THEN 1 ELSE 0 END), cnt - ins) AS bef, coalesce(raw IS NOT NULL AND cnt >= 4 AND hi - lo >= 1 AND hi - lo < 0.8::DOUBLE * (y - x), false) AS known FROM (
+        SELECT *, greatest(x, raw) AS lo, least(y, best + duration_s * 0.25) AS hi, greatest(2, CAST(round_even(cnt * 0.4::DOUBLE, 0) AS INT)) AS ins FROM (
+        SELECT shot_id AS id, start_s AS x, end_s AS y, duration_s, greatest(3, least(8, CAST(round_even(duration_s / 4, 0) AS INT))) AS cnt, start_s + duration_s * confidence * 0.5 AS best, CASE WHEN shot_index <> 2 THEN start_s + duration_s * confidence * 0.5 END AS raw FROM shots)))))""", "shots"),
+    "k9_trim": oracle("""SELECT shot_id, x, y, x <= 0.05 AND (length IS NULL OR y >= length - 0.05) AS whole FROM (
+        SELECT shot_id, length, greatest(0, f - 2) AS x, CASE WHEN length IS NULL THEN least(l, f + 30) + 2 ELSE least(length, least(l, f + 30) + 2) END AS y FROM (
+            SELECT shot_id, CASE WHEN shot_type <> 'wide' THEN max(end_s) OVER (PARTITION BY source_id) END AS length, CASE WHEN top_pick THEN start_s + 1 ELSE start_s END AS f, CASE WHEN top_pick THEN end_s - 1 ELSE end_s END AS l FROM shots))""", "shots"),
     "k10_packing_list": oracle("""SELECT list, shot_id, pos, need, need * 10 AS bytes, sum(need * 10) OVER (PARTITION BY list ORDER BY pos, shot_id) <= 4000 AS taken FROM (
         SELECT job_id AS list, tokens % 12 AS shot_id, min(call_id) AS pos, max(tokens + 1) AS need FROM ledger GROUP BY ALL)""", "ledger"),
 }

@@ -60,7 +60,8 @@ def _hits(spark, d):
 
 
 def h3_candidates(spark, d):
-    return transcript.candidates(_hits(spark, d), 2, 8)
+    label = F.element_at(F.array(*map(F.lit, ("weak", "match", "near", "none"))), (F.col("shot_id") % 4 + 1).cast("int"))
+    return transcript.candidates(_hits(spark, d).withColumn("label", F.when(label != "none", label)).withColumn("similarity", F.when(F.col("value") > 1, F.round(F.col("value") % 10 / 10, 1))), 2, 8)
 
 
 def h6_variety(spark, d):
@@ -151,10 +152,12 @@ ORACLE = {
         FROM shots WHERE status = 'failed' OR duration_s * confidence * 1.5 < duration_s""", "shots"),
     "l15_timecode": oracle("""SELECT shot_id, format('{:02d}:{:02d}:{:02d}:{:02d}', f // 25 // 3600, f // 25 // 60 % 60, f // 25 % 60, f % 25) AS tc FROM (SELECT shot_id, CAST(round_even(end_s * 97 * 25, 0) AS INT) AS f FROM shots)""", "shots"),
     "a10_guarded_csv": "SELECT c_custkey, c_custkey % 3 <> 1 AS guarded FROM customer",
-    "h3_candidates": """WITH h AS (SELECT user_id AS beat, event_id % 3 AS idea, row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY value DESC, event_id) AS rank, CAST(json_extract_string(props, '$.k') AS INT) AS shot_id FROM events),
+    "h3_candidates": """WITH h AS (SELECT user_id AS beat, event_id % 3 AS idea, row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY value DESC, event_id) AS rank, CAST(json_extract_string(props, '$.k') AS INT) AS shot_id, value FROM events),
+        k AS (SELECT *, CASE shot_id % 4 WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 4 END AS v, -coalesce(nullif(CASE WHEN value > 1 THEN round(value % 10 / 10, 1) END, 0), -1) AS s FROM h),
+        o AS (SELECT beat, shot_id, min({'v': v, 's': s, 'r': rank}) AS best FROM k GROUP BY ALL),
         a AS (SELECT *, shot_id % 10 AS source_id FROM h QUALIFY row_number() OVER (PARTITION BY beat, shot_id ORDER BY rank, idea) = 1),
         b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY beat, source_id ORDER BY rank, idea, shot_id) <= 2)
-        SELECT beat, row_number() OVER (PARTITION BY beat ORDER BY rank, idea, shot_id) AS place, shot_id, source_id FROM b QUALIFY place <= 8""",
+        SELECT beat, row_number() OVER (PARTITION BY beat ORDER BY best, turn) AS place, shot_id, source_id FROM (SELECT *, row_number() OVER (PARTITION BY beat ORDER BY rank, idea, shot_id) AS turn FROM b QUALIFY turn <= 8) JOIN o USING (beat, shot_id)""",
     "p2_rolling_spend": f"""WITH {_CALLS} SELECT workspace_id, s AS start, s + INTERVAL 24 HOUR AS stop, round(sum(cost_usd), 4) AS usd, count(*) AS calls FROM (
         SELECT *, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') - i * INTERVAL 6 HOUR AS s FROM calls, range(4) r(i)) GROUP BY ALL HAVING s + INTERVAL 24 HOUR <= (SELECT l FROM last)""",
     "p3_runs": f"""WITH {_CALLS} SELECT workspace_id, min(ts) AS start, max(ts) + INTERVAL 20 MINUTE AS stop, round(sum(cost_usd), 4) AS usd, count(*) AS calls FROM (

@@ -190,7 +190,7 @@ def _beat_queries(spark, d):
 def l10_beat_candidates(spark, d):
     """Eight candidates of each beat by rank alone, scored 1 / place; beats without any say so."""
     b, v = _beat_queries(spark, d)
-    found, _ = engine.search(b, v, search.library(spark, d), 8, "rank_only", correct=False)
+    found, _ = engine.search(b, v, search.library(spark, d), 8, "rank_only", correct=False, person_filter=False)
     return b.select("query_id").join(found.select("query_id", "rank", "doc"), "query_id", "left").select(F.col("query_id").alias("beat"), "rank", "doc", F.round(1 / F.col("rank"), 6).alias("score"), F.col("doc").isNull().alias("no_match"))
 
 

@@ -192,7 +192,7 @@ def f4_ranked(spark, d):
 def library(spark, d) -> engine.Library:
     """The documents as a library: languages stand for kinds of shot, sources for movements."""
     shot = F.create_map(*(F.lit(x) for x in ("en", "wide", "fr", "close_up", "de", "aerial", "es", "pov")))
-    shots = read(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.coalesce(shot[F.col("lang")], F.lit("unknown")).alias("shot_type"), F.coalesce("source", F.lit("unknown")).alias("camera_movement"), "n_chars")
+    shots = read(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.coalesce(shot[F.col("lang")], F.lit("unknown")).alias("shot_type"), F.coalesce("source", F.lit("unknown")).alias("camera_movement"), "n_chars", (F.col("n_chars") % 3 == 0).alias("featured"))
     vocabulary = keep(keyword.vocabulary(keyword.postings(_tokens(spark, d))), "vocabulary")
     known = spark.createDataFrame([(w,) for w in keyword.EXTRA_WORDS], "word string")
     vectors = keep(_vectors(spark, d).join(shots.select("doc"), "doc", "left_semi"), "vectors")

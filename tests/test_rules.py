@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from shotlake.operators import catalog, facets, quality, segments, transcript
+from shotlake.operators import catalog, engine, facets, hybrid, keyword, quality, segments, transcript, vector
 
 
 def test_short_spans_join_what_is_before(spark):
@@ -77,3 +77,31 @@ def test_candidates_by_verdict(spark):
     df = spark.createDataFrame(hits, "beat int, idea int, rank int, source_id string, shot_id string, label string, similarity double")
     assert [r["shot_id"] for r in transcript.candidates(df, 2, 9).orderBy("place").collect()] == ["e", "c", "b", "a", "f"]
     assert [r["shot_id"] for r in transcript.candidates(df.drop("label", "similarity"), 2, 3).orderBy("place").collect()] == ["a", "c", "b"]
+
+
+def test_names(spark):
+    rows = [("Ann's boat", "Ann Lee"), ("ann lee in Annecy", "Ann Lee"), ("lee of the isle", "Ann Lee"), ("Jo walks", "Jo (J.) Ray"), ("Jo (J.) Ray walks", "Jo (J.) Ray"), ("nobody", None), ("nobody", " "), ("Zoë's zoëlle", "Zoë")]
+    df = spark.createDataFrame(rows, "text string, name string")
+    got = [tuple(r) for r in df.select(*hybrid.without_person(F.col("text"), F.col("name"))).collect()]
+    assert got == [("boat", True), ("in Annecy", True), ("of the isle", True), ("Jo walks", False), ("walks", True), ("nobody", False), ("nobody", False), ("zoëlle", True)]
+
+
+def test_what_a_search_reads_out_of_a_query(spark):
+    """A name filters and browses; kinds of shot are asked for in every field; queries without index words go by vector; browses are newest first."""
+    docs = [(1, "a man on a tripod box", "wide", "static", True, "2024-01-01"), (2, "a man walks by the sea", "wide", "pan", True, "2024-03-01"), (3, "people eating lunch by the sea", "wide", "static", False, "2024-02-01"), (4, "boats at sea", "close_up", "static", False, "2024-04-01"), (5, "empty sea", None, None, None, None)]
+    d = spark.createDataFrame(docs, "doc long, text string, shot_type string, camera_movement string, featured boolean, created_at string")
+    plain = keyword.tokenised(d, "doc", {"text": 1.0})
+    v = d.select("doc", vector.normalised(F.array(F.col("doc").cast("double"), F.lit(1.0))).alias("v"))
+    lib = engine.Library(keyword.tokenised(d, "doc", {"text": 1.0}, True), keyword.vocabulary(keyword.postings(plain)), spark.createDataFrame([("footage",)], "word string"), v, d.drop("text"), "Ann Lee")
+    asked = ["Ann", "wide shot tripod", "show me some footage", "close-ups", "sea", "Ann by the sea", "", "Ann wide shot", "handheld"]
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    vectors = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(len(asked))], "query_id long, q array<double>")
+    got = engine.search(q, vectors, lib, 5, "annotate")[0].orderBy("query_id", "rank").collect()
+    by = {k: [r["doc"] for r in got if r["query_id"] == k] for k in range(len(asked))}
+    assert by[0] == [2, 1] and by[1] == [3, 1] and by[3] == [4] and by[6] == [4, 2, 3, 1, 5] and by[7] == [2, 1] and by[8] == []
+    assert set(by[2]) == {1, 2, 3, 4, 5} and {r["matched"] for r in got if r["query_id"] == 2} == {"vector"}
+    assert set(by[4]) == {1, 2, 3, 4, 5} and set(by[5]) == {1, 2}
+    free = engine.search(q, vectors, lib, 5, "annotate", person_filter=False)[0].collect()
+    assert {r["doc"] for r in free if r["query_id"] == 5} == {1, 2, 3, 4, 5}
+    few = engine.search(q, vectors, lib, 5, "annotate", allowed=d.filter("doc <> 2").select("doc"))[0].collect()
+    assert {r["doc"] for r in few if r["query_id"] == 0} == {1}

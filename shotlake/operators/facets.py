@@ -38,6 +38,40 @@ def folder_rollup(rows: DataFrame, folders: DataFrame, key: str, path: str, at:
     return folders.join(top, "folder", "left").join(parents, "folder", "left").select("folder", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.array_join(F.transform("x", lambda s: s[key]), ","), F.lit("")).alias("newest"), F.coalesce("has_children", F.lit(False)).alias("has_children"))
 
 
+def folder_counts(clips: DataFrame, category: str = "category", secondary: str = "secondary") -> DataFrame:
+    """(folder, direct, also): clips filed in a folder itself, and clips filed neither there nor below that have it as a secondary folder. Null folders count nowhere."""
+    direct = clips.filter(F.col(category).isNotNull()).groupBy(F.col(category).alias("folder")).agg(F.count("*").alias("direct"))
+    other = clips.select(F.col(category).alias("_c"), F.explode(F.array_distinct(secondary)).alias("folder")).filter(F.col("folder").isNotNull())
+    away = F.col("_c").isNull() | ((F.col("_c") != F.col("folder")) & ~F.startswith(F.col("_c"), F.concat(F.col("folder"), F.lit("/"))))
+    also = other.filter(away).groupBy("folder").agg(F.count("*").alias("also"))
+    return direct.join(also, "folder", "full_outer").select("folder", F.coalesce("direct", F.lit(0)).alias("direct"), F.coalesce("also", F.lit(0)).alias("also"))
+
+
+def quick_counts() -> list[Column]:
+    """Aggregates of shots (top_pick, featured, category, status): total, top_picks, featured, unsorted, review."""
+    return [F.count("*").alias("total"), F.count_if("top_pick").alias("top_picks"), F.count_if("featured").alias("featured"), F.count_if(F.col("category").isNull()).alias("unsorted"), F.count_if(F.col("status") == "needs_review").alias("review")]
+
+
+def recent_jobs(jobs: DataFrame, limit: int = 40) -> DataFrame:
+    """jobs (workspace_id, job_id, status, created_at, ...) with their place in a library's panel: running ones, then queued ones, then the rest, each newest first; cancelled ones don't show."""
+    rank = F.when(F.col("status") == "running", 0).when(F.col("status") == "queued", 1).otherwise(2)
+    order = W.partitionBy("workspace_id").orderBy(rank, F.desc("created_at"), "job_id")
+    return jobs.filter("status <> 'cancelled'").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+
+
+def jobs_by_side(jobs: DataFrame, side: Column) -> DataFrame:
+    """(workspace_id, side, queued, running, done, failed): the queue counted for each kind of file."""
+    states = ("queued", "running", "done", "failed")
+    return jobs.filter(F.col("status").isin(*states)).groupBy("workspace_id", side.alias("side")).agg(*(F.count_if(F.col("status") == s).alias(s) for s in states))
+
+
+def waits(jobs: DataFrame, again: Column) -> DataFrame:
+    """jobs (workspace_id, status, last_error) -> (workspace_id, waiting, daily): queued jobs whose error is worth another try (`again`), and whether one of them names a day's limit."""
+    waiting = again & (F.col("status") == "queued") & (F.coalesce("last_error", F.lit("")) != "")
+    said = F.regexp_replace(F.lower("last_error"), " ", "")
+    return jobs.groupBy("workspace_id").agg(F.count_if(waiting).alias("waiting"), F.coalesce(F.bool_or(waiting & (F.contains(said, F.lit("perday")) | F.contains(said, F.lit("dailylimit")))), F.lit(False)).alias("daily"))
+
+
 #: Words for who is in a shot, which may be common.
 PEOPLE = ("man", "men", "woman", "women", "person", "people", "group", "child", "children", "boy", "girl", "baby", "crowd")
 

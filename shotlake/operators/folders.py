@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shotlake.sources.stages import keep
+
 
 def squashed(path: Column) -> Column:
     return F.regexp_replace(F.lower(path), "[^a-z0-9]", "")
@@ -70,12 +72,26 @@ def distinct_any_case(v: Column) -> Column:
     return F.filter(v, lambda x, i: F.array_position(F.transform(v, F.lower), F.lower(x)) == i + 1)
 
 
-def client_tree(clips: DataFrame, leaves: DataFrame, review: str = "To review") -> DataFrame:
-    """clips (source_id, category, secondary, doubt): the home folder, or review in doubt; and each secondary leaf that is not home."""
-    home = F.when(F.col("doubt"), review).otherwise(F.col("category"))
-    homes = clips.select("source_id", home.alias("folder"), F.lit("home").alias("why"))
-    also = clips.select("source_id", home.alias("_h"), F.explode("secondary").alias("folder")).filter("folder <> _h").join(leaves.select(F.col("path").alias("folder")), "folder", "left_semi")
-    return homes.unionByName(also.select("source_id", "folder", F.lit("also").alias("why")).distinct())
+def client_tree(shots: DataFrame, leaves: DataFrame, review: str = "To review", unsorted: str = "Unsorted", picks: str | None = "Top picks", route: bool = True) -> DataFrame:
+    """shots (source_id, shot_id, shot_index, duration_s, category, secondary, doubt, top_pick, prefix) -> (source_id, folder, why, shot_id) under a client's own tree.
+
+    A file's home is its longest shot's folder, if that is a leaf; the review folder, if that shot is in doubt (and `route`); else the
+    unsorted one. Shots not in doubt also lie in their folder and secondary ones that are leaves, but for the file's home; starred shots in
+    the picks. All of it hangs under the prefix, which may be null. Nulls are no folders, no doubt, no star.
+    """
+    w = W.partitionBy("source_id").orderBy(F.desc("duration_s"), "shot_index")
+    known = leaves.select(F.col("path").alias("folder")).distinct()
+    doubt = F.coalesce("doubt", F.lit(False)) & F.lit(route)
+    under = lambda folder: F.concat_ws("/", "prefix", folder)
+    firsts = shots.withColumn("_r", F.row_number().over(w)).filter("_r = 1").withColumn("_d", doubt).join(known.withColumnRenamed("folder", "category").withColumn("_leaf", F.lit(True)), "category", "left")
+    real = F.when(~F.col("_d") & F.col("_leaf"), F.col("category"))
+    homes = keep(firsts.select("source_id", "prefix", real.alias("home"), F.when(F.col("_d"), review).otherwise(F.coalesce(real, F.lit(unsorted))).alias("folder")), "tree-homes")
+    places = shots.filter(~doubt).select("source_id", "shot_id", "prefix", F.explode(F.array_distinct(F.array_compact(F.concat(F.array("category"), F.coalesce("secondary", F.array().cast("array<string>")))))).alias("folder"))
+    also = places.join(known, "folder", "left_semi").join(homes.select("source_id", "home"), "source_id").filter(F.col("home").isNull() | (F.col("folder") != F.col("home")))
+    rows = homes.select("source_id", under("folder").alias("folder"), F.lit("home").alias("why"), F.lit(None).cast(shots.schema["shot_id"].dataType).alias("shot_id"))
+    rows = rows.unionByName(also.select("source_id", under("folder").alias("folder"), F.lit("also").alias("why"), "shot_id").distinct())
+    starred = shots.filter("top_pick").select("source_id", under(F.lit(picks)).alias("folder"), F.lit("pick").alias("why"), "shot_id").distinct()
+    return rows.unionByName(starred) if picks else rows
 
 
 def approve(clips: DataFrame, proposed: DataFrame) -> DataFrame:

@@ -5,11 +5,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def match_files(local: DataFrame, originals: DataFrame) -> DataFrame:
-    """local (id, name, md5) to originals (orig_id, orig_name, md5): same name first, then least id: id, orig_id, renamed."""
-    renamed = F.col("name") != F.col("orig_name")
-    best = W.partitionBy("id").orderBy(renamed, "orig_id")
-    return local.join(originals, "md5").withColumn("_r", F.row_number().over(best)).filter("_r = 1").select("id", "orig_id", renamed.alias("renamed"))
+def match_files(local: DataFrame, originals: DataFrame, indexed: DataFrame) -> DataFrame:
+    """local (id, name, md5, size) to originals (orig_id, orig_name, md5, size), indexed (orig_id): id, orig_id, renamed, identical, status.
+
+    Of the originals of a content that of the same name (in any case) comes first, then the least id; identical says how many there are. The
+    first local file by id has its original: matched, or already_indexed; others of it are duplicate; those without one, or without md5 or
+    size, unmatched. Originals are one row for each content, and for each content and name, so files never meet all of a content.
+    """
+    known = (F.coalesce("md5", F.lit("")) != "") & (F.col("size") > 0)
+    key = [F.lower("md5").alias("md5"), "size"]
+    right = originals.filter(known).select(*key, "orig_id", "orig_name")
+    any_ = right.groupBy("md5", "size").agg(F.min(F.struct("orig_id", "orig_name")).alias("any"), F.count("*").alias("identical"))
+    named = right.groupBy("md5", "size", F.lower("orig_name").alias("_n")).agg(F.min(F.struct("orig_id", "orig_name")).alias("same"))
+    found = local.filter(known).select("id", "name", *key, F.lower("name").alias("_n")).join(any_, ["md5", "size"]).join(named, ["md5", "size", "_n"], "left").withColumn("x", F.coalesce("same", "any")).select("id", "name", "x.*", "identical")
+    first = found.groupBy("orig_id").agg(F.min("id").alias("first"))
+    done = indexed.select("orig_id", F.lit(True).alias("done")).distinct()
+    status = F.when(F.col("id") != F.col("first"), "duplicate").when(F.col("done"), "already_indexed").otherwise("matched")
+    placed = found.join(first, "orig_id").join(done, "orig_id", "left").select("id", "orig_id", (F.col("name") != F.col("orig_name")).alias("renamed"), "identical", status.alias("status"))
+    return local.select("id").join(placed, "id", "left").select("id", "orig_id", "renamed", "identical", F.coalesce("status", F.lit("unmatched")).alias("status"))
 
 
 def history(shots: DataFrame, used: DataFrame, most: int) -> DataFrame:

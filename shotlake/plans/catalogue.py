@@ -229,9 +229,9 @@ def i1_shots_sources(spark, d):
 
 
 def i2_match_files(spark, d):
-    s = adapter.sources(spark, d)
-    local = s.select(F.col("filename").alias("name"), F.col("content_hash").alias("md5"), F.col("source_id").alias("id"))
-    return usage.match_files(local, s.select(F.col("source_id").alias("orig_id"), F.col("filename").alias("orig_name"), F.col("content_hash").alias("md5")))
+    s = adapter.sources(spark, d).withColumn("size", F.conv(F.substring("content_hash", 1, 4), 16, 10).cast("long"))
+    originals = s.filter("width > 640").select(F.col("source_id").alias("orig_id"), F.when(F.col("width") == 1280, F.upper("filename")).otherwise(F.concat(F.lit("old "), "filename")).alias("orig_name"), F.upper("content_hash").alias("md5"), "size")
+    return usage.match_files(s.select(F.col("source_id").alias("id"), F.col("filename").alias("name"), F.col("content_hash").alias("md5"), "size"), originals, s.filter("status = 'indexed'").select(F.col("source_id").alias("orig_id")))
 
 
 def i5_enqueue(spark, d):
@@ -373,8 +373,10 @@ ORACLE = {
     "c9_added": oracle("SELECT source_id FROM sources WHERE created_at BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-01-01' AND status IN ('indexed', 'needs_review')", "sources"),
     "c10_exclude": oracle("SELECT status, count(*) AS n FROM shots WHERE shot_id NOT IN (SELECT shot_id FROM usage) GROUP BY ALL", "shots", "usage"),
     "i1_shots_sources": oracle("SELECT category, count(*) AS n, count(DISTINCT source_id) AS files FROM shots JOIN sources USING (source_id) GROUP BY ALL", "sources", "shots"),
-    "i2_match_files": oracle("""SELECT l.source_id AS id, o.source_id AS orig_id, l.filename <> o.filename AS renamed FROM sources l JOIN sources o USING (content_hash)
-        QUALIFY row_number() OVER (PARTITION BY l.source_id ORDER BY l.filename <> o.filename, o.source_id) = 1""", "sources"),
+    "i2_match_files": oracle("""SELECT id, orig_id, renamed, identical, CASE WHEN orig_id IS NULL THEN 'unmatched' WHEN row_number() OVER (PARTITION BY orig_id ORDER BY id) > 1 THEN 'duplicate' WHEN orig_id IN (SELECT source_id FROM sources WHERE status = 'indexed') THEN 'already_indexed' ELSE 'matched' END AS status FROM (
+        SELECT l.source_id AS id, o.source_id AS orig_id, l.filename <> o.name AS renamed, CASE WHEN o.source_id IS NOT NULL THEN count(*) OVER (PARTITION BY l.source_id) END AS identical
+        FROM (SELECT *, ('0x' || content_hash[1:4])::BIGINT AS size FROM sources) l LEFT JOIN (SELECT source_id, content_hash, ('0x' || content_hash[1:4])::BIGINT AS size, CASE WHEN width = 1280 THEN upper(filename) ELSE 'old ' || filename END AS name FROM sources WHERE width > 640) o ON o.content_hash = l.content_hash AND o.size = l.size AND l.size > 0
+        QUALIFY row_number() OVER (PARTITION BY l.source_id ORDER BY lower(l.filename) <> lower(o.name), o.source_id) = 1)""", "sources"),
     "i5_enqueue": oracle("SELECT DISTINCT filename FROM sources WHERE filename NOT IN (SELECT filename FROM sources WHERE status = 'pending' OR width = 640)", "sources"),
     "i7_usage_history": oracle("""SELECT s.shot_id, count(u.project) AS uses, coalesce(string_agg(project, ',' ORDER BY used_at DESC, project) FILTER (r <= 5), '') AS recent FROM shots s
         LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY shot_id ORDER BY used_at DESC, project) AS r FROM usage) u USING (shot_id) WHERE shot_index = 0 GROUP BY ALL""", "shots", "usage"),

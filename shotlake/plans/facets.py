@@ -3,7 +3,7 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shotlake.operators import catalog, facets, hybrid, placement, segments
+from shotlake.operators import catalog, facets, hybrid, placement, quality, segments
 from shotlake.sources import adapter
 from shotlake.sources.adapter import oracle, read
 
@@ -78,14 +78,24 @@ def g16_price(spark, d):
     return l.select("call_id", F.round(facets.price(F.col("kind"), F.col("tokens"), F.col("cached"), {"view": (300.0, 0.001), "click": (2500.0, 0.0)}), 8).alias("usd"))
 
 
+def _jobs(spark, d):
+    """A job per call: what happened stands for its state, and an error text for its last error."""
+    state = F.create_map(*(F.lit(x) for x in ("click", "running", "view", "done", "error", "failed", "purchase", "queued", "signup", "cancelled")))
+    texts = ("429 Too many requests per day", "Daily limit reached: 429", "connection reset", "no such file", "")
+    ext = F.element_at(F.array(*map(F.lit, (".mp4", ".jpg", ".txt"))), (F.col("tokens") % 3 + 1).cast("int"))
+    return adapter.ledger(spark, d).select("workspace_id", F.col("call_id").alias("job_id"), state[F.col("kind")].alias("status"), F.col("at").alias("created_at"), F.concat(F.lit("take"), ext).alias("filename"), F.element_at(F.array(*map(F.lit, texts)), (F.col("tokens") % 5 + 1).cast("int")).alias("last_error"))
+
+
 def g17_job_panel(spark, d):
-    l = adapter.ledger(spark, d)
-    return l.groupBy("job_id").pivot("kind", ["click", "error", "purchase", "signup", "view"]).count().fillna(0)
+    return facets.recent_jobs(_jobs(spark, d), 40).select("workspace_id", "place", "job_id", "status")
+
+
+def g17_by_side(spark, d):
+    return facets.jobs_by_side(_jobs(spark, d), F.coalesce(catalog.media_kind(F.col("filename")), F.lit("video")))
 
 
 def g18_waits(spark, d):
-    l = adapter.ledger(spark, d)
-    return l.groupBy("workspace_id").agg(F.count_if(~F.col("ok")).alias("waiting"), F.bool_or(~F.col("ok") & (F.col("tokens") > 98)).alias("daily"))
+    return facets.waits(_jobs(spark, d), quality.transient(F.col("last_error")))
 
 
 def g19_overview(spark, d):
@@ -299,8 +309,10 @@ ORACLE = {
         SELECT workspace_id, round(sum(cost_usd), 2) AS usd, count(DISTINCT job_id) AS jobs FROM ledger GROUP BY ALL)""", "ledger"),
     "g16_price": oracle("""SELECT call_id, round(CASE kind WHEN 'view' THEN (greatest(tokens - tokens % 20, 0) + least(tokens % 20, tokens) * 0.1::DOUBLE) * 300::DOUBLE / 1e6 + 0.001
         WHEN 'click' THEN (greatest(tokens - tokens % 20, 0) + least(tokens % 20, tokens) * 0.1::DOUBLE) * 2500::DOUBLE / 1e6 ELSE 0 END, 8) AS usd FROM ledger""", "ledger"),
-    "g17_job_panel": oracle("SELECT job_id, count_if(kind = 'click') AS click, count_if(kind = 'error') AS error, count_if(kind = 'purchase') AS purchase, count_if(kind = 'signup') AS signup, count_if(kind = 'view') AS view FROM ledger GROUP BY ALL", "ledger"),
-    "g18_waits": oracle("SELECT workspace_id, count_if(NOT ok) AS waiting, bool_or(NOT ok AND tokens > 98) AS daily FROM ledger GROUP BY ALL", "ledger"),
+    "g17_job_panel": oracle("""SELECT workspace_id, row_number() OVER (PARTITION BY workspace_id ORDER BY CASE kind WHEN 'click' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END, "at" DESC, call_id) AS place, call_id AS job_id,
+        CASE kind WHEN 'click' THEN 'running' WHEN 'view' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'queued' END AS status FROM ledger WHERE kind <> 'signup' QUALIFY place <= 40""", "ledger"),
+    "g17_by_side": oracle("""SELECT workspace_id, CASE tokens % 3 WHEN 1 THEN 'image' ELSE 'video' END AS side, count_if(kind = 'purchase') AS queued, count_if(kind = 'click') AS running, count_if(kind = 'view') AS done, count_if(kind = 'error') AS failed FROM ledger WHERE kind <> 'signup' GROUP BY ALL""", "ledger"),
+    "g18_waits": oracle("SELECT workspace_id, count_if(kind = 'purchase' AND tokens % 5 <= 2) AS waiting, coalesce(bool_or(kind = 'purchase' AND tokens % 5 <= 1), false) AS daily FROM ledger GROUP BY ALL", "ledger"),
     "g19_overview": oracle("""SELECT workspace_id, clips, queued, shots, review FROM (SELECT workspace_id, count(*) AS clips, count_if(status = 'pending') AS queued FROM sources GROUP BY ALL)
         FULL JOIN (SELECT workspace_id, count(*) AS shots, count_if(s.status = 'needs_review') AS review FROM shots s JOIN sources USING (source_id) GROUP BY ALL) USING (workspace_id)""", "sources", "shots"),
     "g20_proposals": """SELECT parent, CASE WHEN p = 2 THEN 'place-2' ELSE arg_min(name, {'a': -n, 'b': name}) END AS name, sum(n)::BIGINT AS files, sum(n) >= 50 AS enough, p = 2 AS existing FROM (

@@ -24,7 +24,9 @@ def a7_contract(spark, d):
 def a8_kinds(spark, d):
     """Conversations as SRT, VTT and plain files, told apart."""
     text = F.when(F.col("script_id") % 3 == 0, F.concat(F.lit("﻿1\n00:00:01,000 --> 00:00:02,000\n"), "text")).when(F.col("script_id") % 3 == 1, F.concat(F.lit("WEBVTT\n\n00:01.000 --> 00:02.000\n"), "text")).otherwise(F.col("text"))
-    s = scripts.scripts(spark, d).select("script_id", transcript.kind(F.concat(F.col("script_id").cast("string"), F.lit(".txt")), text).alias("kind"))
+    end = F.when(F.col("script_id") % 5 == 0, ".VTT").when(F.col("script_id") % 5 == 1, ".srt").otherwise(".txt")
+    text = F.when(F.col("script_id") % 6 == 4, F.concat(F.lit(" webvtt\n"), "text")).otherwise(text)
+    s = scripts.scripts(spark, d).select("script_id", transcript.kind(F.concat(F.col("script_id").cast("string"), end), text).alias("kind"))
     return s
 
 
@@ -242,7 +244,7 @@ _STEMS = "list_transform(regexp_extract_all(lower({}), '[a-z0-9'']+'), lambda w:
 
 ORACLE = {
     "a7_contract": oracle("SELECT shot_id, CASE WHEN shot_index <> 6 THEN caption END AS caption, CASE WHEN shot_index <> 6 THEN CAST(len(tags) AS INT) END AS n_subjects, CASE WHEN shot_index <> 6 THEN confidence END AS confidence, shot_index = 6 AS corrupt FROM shots", "shots"),
-    "a8_kinds": "SELECT conv_id AS script_id, CASE conv_id % 3 WHEN 0 THEN 'srt' WHEN 1 THEN 'vtt' ELSE 'plain' END AS kind FROM (SELECT DISTINCT conv_id FROM conversations)",
+    "a8_kinds": "SELECT conv_id AS script_id, CASE WHEN conv_id % 5 = 0 OR conv_id % 6 = 4 OR conv_id % 3 = 1 THEN 'vtt' WHEN conv_id % 3 = 0 THEN 'srt' ELSE 'plain' END AS kind FROM (SELECT DISTINCT conv_id FROM conversations)",
     "a11_edit_list": oracle(f"""SELECT script_id, row_number() OVER (PARTITION BY script_id ORDER BY beat) AS position, 'TAKE' || format('{{:04d}}', dense_rank() OVER (PARTITION BY script_id ORDER BY first) % 10000) AS reel,
         {_TC.format('a')} AS source_from, {_TC.format('a + n')} AS source_to, {_TC.format('a')} AS record_from, {_TC.format('z')} AS record_to, filename AS note FROM (
             SELECT *, min(beat) OVER (PARTITION BY script_id, source_id) AS first FROM (SELECT workspace_id || '-' || substr(source_id, 1, 2) AS script_id, source_id, filename, CAST(start_s * 25 AS INT) AS a, CAST(end_s * 25 AS INT) AS z, CAST(shots.duration_s * 25 AS INT) AS n,

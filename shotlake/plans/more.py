@@ -3,7 +3,7 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shotlake.operators import filters, folders, hybrid, keyword, vector
+from shotlake.operators import facets, filters, folders, hybrid, keyword, vector
 from shotlake.plans import search
 from shotlake.sources import adapter
 from shotlake.sources.adapter import oracle, read
@@ -98,8 +98,14 @@ def f9_sure_then_near(spark, d):
 
 
 def g7_direct_counts(spark, d):
-    s = adapter.sources(spark, d).withColumn("also", F.regexp_replace("category", "^[^/]+", "ASIA"))
-    return s.groupBy().agg(F.count_if(F.col("category").startswith("ASIA/")).alias("inside"), F.count_if(F.col("also").startswith("ASIA/NATION_3/") & ~F.col("category").startswith("ASIA/")).alias("also"))
+    """Files filed in each folder, and those that lie elsewhere but fit there too."""
+    s = adapter.sources(spark, d).select("source_id", "category", F.array(F.regexp_replace("category", "^[^/]+", "ASIA"), F.regexp_extract("category", "^[^/]+", 0), F.lit("ASIA")).alias("secondary"))
+    return facets.folder_counts(s)
+
+
+def g7_quick_counts(spark, d):
+    s = adapter.shots(spark, d).join(adapter.sources(spark, d).select("source_id", "workspace_id", F.when(F.col("width") != 640, F.col("category")).alias("category"), (F.col("width") > 1280).alias("featured")), "source_id")
+    return s.groupBy("workspace_id").agg(*facets.quick_counts())
 
 
 def g23_review_queue(spark, d):
@@ -138,7 +144,10 @@ def i12_owners(spark, d):
 
 
 def j8_client_tree(spark, d):
-    return folders.client_tree(adapter.sources(spark, d).withColumn("secondary", F.array(F.regexp_replace("category", "^[^/]+", "ASIA"), F.lit("Gone/away"))).withColumn("doubt", F.col("status") == "needs_review"), _leaves(spark, d))
+    """A tree in which European folders are no leaves, split by kind of media."""
+    src = adapter.sources(spark, d).select("source_id", "category", "status", F.when(F.col("media_kind") == "image", "Images").otherwise("Videos").alias("prefix"))
+    shots = adapter.shots(spark, d).drop("status").join(src, "source_id").withColumn("doubt", (F.col("status") == "needs_review") & (F.col("shot_index") % 3 != 1)).withColumn("secondary", F.array(F.regexp_replace("category", "^[^/]+", "ASIA"), F.lit("no such")))
+    return folders.client_tree(shots, _leaves(spark, d).filter("path NOT LIKE 'EUROPE/%'"))
 
 
 def j18_approve(spark, d):
@@ -194,7 +203,9 @@ ORACLE = {
         SELECT workspace_id AS query_id, tokens % 10 / 10 AS cov, tokens % 10 >= 5 AND tokens % 4 >= 2 AS lit, CASE WHEN kind <> 'error' THEN tokens / 100 END AS sim, kind = 'view' AS ad, max(CASE WHEN kind <> 'error' THEN tokens / 100 END) OVER (PARTITION BY workspace_id) AS best FROM ledger)) GROUP BY ALL""", "ledger"),
     "f5_browse": oracle("SELECT shot_id, created_at FROM shots JOIN sources USING (source_id) ORDER BY created_at DESC, shot_index, shot_id LIMIT 30 OFFSET 20", "sources", "shots"),
     "f9_sure_then_near": oracle("SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY cost_usd > 100 DESC, cost_usd DESC, call_id) AS place, call_id, cost_usd > 100 AS sure FROM ledger QUALIFY place <= 5", "ledger"),
-    "g7_direct_counts": oracle("SELECT count_if(category LIKE 'ASIA/%') AS inside, count_if(category LIKE '%/NATION_3/%' AND category NOT LIKE 'ASIA/%') AS also FROM sources", "sources"),
+    "g7_direct_counts": oracle("""SELECT coalesce(a.folder, b.folder) AS folder, coalesce(direct, 0) AS direct, coalesce(also, 0) AS also FROM (SELECT category AS folder, count(*) AS direct FROM sources GROUP BY ALL) a
+        FULL JOIN (SELECT folder, count(*) AS also FROM (SELECT DISTINCT source_id, category, unnest([regexp_replace(category, '^[^/]+', 'ASIA'), split_part(category, '/', 1), 'ASIA']) AS folder FROM sources) WHERE category <> folder AND NOT starts_with(category, folder || '/') GROUP BY ALL) b ON a.folder = b.folder""", "sources"),
+    "g7_quick_counts": oracle("SELECT workspace_id, count(*) AS total, count_if(top_pick) AS top_picks, count_if(width > 1280) AS featured, count_if(width = 640) AS unsorted, count_if(s.status = 'needs_review') AS review FROM shots s JOIN sources USING (source_id) GROUP BY ALL", "sources", "shots"),
     "g23_review_queue": oracle("""SELECT shot_id, coalesce(nullif(concat_ws('; ', CASE WHEN len(quality_flags) > 0 THEN 'flags: ' || array_to_string(quality_flags, ', ') END, CASE WHEN confidence < 0.6 THEN 'confidence ' || format('{:.2f}', confidence) END), ''), 'look again') AS reasons FROM shots WHERE status = 'needs_review'""", "shots"),
     "g24_attention": oracle("SELECT coalesce(media_kind, 'other') AS side, status, count(*) AS n, sum(filesize_bytes)::BIGINT AS bytes FROM sources WHERE status <> 'indexed' GROUP BY ALL", "sources"),
     "h5_clock": oracle("SELECT shot_id, start_s AS start FROM shots", "shots"),
@@ -202,8 +213,11 @@ ORACLE = {
     "i6_allowed": oracle("SELECT shot_id, project FROM usage WHERE shot_id IN (SELECT shot_id FROM shots WHERE shot_type = 'wide' AND status IN ('indexed', 'needs_review'))", "shots", "usage"),
     "i10_tags_of": oracle("SELECT shot_id, array_to_string(list_sort(tags), ',') AS tags FROM shots WHERE shot_index = 0", "shots"),
     "i12_owners": oracle("SELECT shot_id, workspace_id AS owner FROM (SELECT DISTINCT shot_id FROM usage) JOIN sources ON source_id = split_part(shot_id, '-', 1)", "sources", "usage"),
-    "j8_client_tree": oracle("""SELECT source_id, CASE WHEN status = 'needs_review' THEN 'To review' ELSE category END AS folder, 'home' AS why FROM sources
-        UNION ALL SELECT source_id, sec, 'also' FROM (SELECT *, regexp_replace(category, '^[^/]+', 'ASIA') AS sec FROM sources) WHERE sec IN (SELECT category FROM sources) AND sec <> CASE WHEN status = 'needs_review' THEN 'To review' ELSE category END""", "sources"),
+    "j8_client_tree": oracle(""", x AS (SELECT s.shot_id, s.source_id, shot_index, s.duration_s, top_pick, category, regexp_replace(category, '^[^/]+', 'ASIA') AS sec, CASE WHEN media_kind = 'image' THEN 'Images' ELSE 'Videos' END AS prefix, src.status = 'needs_review' AND shot_index % 3 <> 1 AS doubt FROM shots s JOIN sources src USING (source_id)),
+        firsts AS (SELECT source_id, prefix, doubt, CASE WHEN NOT doubt AND category NOT LIKE 'EUROPE/%' THEN category END AS home FROM x QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY duration_s DESC, shot_index) = 1)
+        SELECT source_id, prefix || '/' || CASE WHEN doubt THEN 'To review' ELSE coalesce(home, 'Unsorted') END AS folder, 'home' AS why, NULL::VARCHAR AS shot_id FROM firsts
+        UNION SELECT a.source_id, a.prefix || '/' || f, 'also', a.shot_id FROM (SELECT *, unnest([category, sec]) AS f FROM x WHERE NOT doubt) a JOIN firsts h ON h.source_id = a.source_id WHERE f IN (SELECT category FROM sources WHERE category NOT LIKE 'EUROPE/%') AND f IS DISTINCT FROM h.home
+        UNION SELECT source_id, prefix || '/Top picks', 'pick', shot_id FROM x WHERE top_pick""", "sources", "shots"),
     "j18_approve": oracle("SELECT source_id, CASE WHEN width = 1280 THEN 'NEW/PLACE' ELSE category END AS category, CASE WHEN width = 1280 AND status = 'needs_review' THEN 'indexed' ELSE status END AS status FROM sources", "sources"),
     "l11_rerank": oracle("""SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY pos IS NULL, pos, rank) AS place, call_id FROM (SELECT job_id, call_id, row_number() OVER (PARTITION BY job_id ORDER BY cost_usd DESC, call_id) AS rank FROM ledger) s
         LEFT JOIN (SELECT job_id, rank, min(pos) AS pos FROM (SELECT job_id, CAST(tokens % 8 AS INT) AS rank, row_number() OVER (PARTITION BY job_id ORDER BY call_id) AS pos FROM ledger) WHERE pos <= 4 GROUP BY ALL) c USING (job_id, rank) WHERE rank <= 5""", "ledger"),

@@ -3,7 +3,7 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shotlake.operators import catalog, engine, folders, library, placement, segments, transcript
+from shotlake.operators import catalog, engine, exports, folders, library, placement, segments, transcript
 from shotlake.plans import scripts, search
 from shotlake.sources import adapter
 from shotlake.sources.adapter import oracle, read
@@ -37,6 +37,38 @@ def a11_edit_list(spark, d):
     return library.edit_list(t, 25)
 
 
+def _suggested(spark, d):
+    """A beat for each file, its shots as suggestions; files whose shots all failed have none."""
+    src = adapter.sources(spark, d).select("source_id", F.col("workspace_id").alias("script_id"), "filename")
+    sh = adapter.shots(spark, d)
+    span = sh.groupBy("source_id").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"))
+    ok = sh.filter("status <> 'failed'").select("source_id", F.row_number().over(W.partitionBy("source_id").orderBy("shot_index")).alias("rank"), F.col("start_s").alias("shot_start_s"), F.col("duration_s").alias("shot_duration_s"), "shot_type", "camera_movement", "setting", "mood", F.concat(F.lit("="), "caption").alias("reason"), "confidence", (F.col("shot_index") == 1).alias("reused"))
+    rows = src.join(span, "source_id").join(ok, "source_id", "left")
+    return rows.select(
+        "script_id", F.col("source_id").cast("int").alias("beat"), "start_s", "end_s", F.concat(F.lit('Say "'), F.col("source_id"), F.lit('", then go')).alias("narration"), F.lit("@nothing").alias("missing"), "rank", F.when(F.col("rank").isNotNull(), F.col("filename")).alias("filename"), "shot_start_s", "shot_duration_s", "shot_type", "camera_movement", "setting", "mood",
+        "reason", "confidence", "reused", F.lit(None).cast("string").alias("drive_link"), F.concat(F.lit("/media/"), "filename").alias("media_path"), (F.col("start_s") * 25).cast("int").alias("from_frame"), F.when(F.col("rank").isNotNull(), (F.col("end_s") - F.col("start_s") - F.col("shot_duration_s")).cast("int")).alias("gap_frames"), F.lit(25).alias("fps"),
+    )
+
+
+def _read_back(spark, path):
+    """(script_id, line) of the files of write_files()."""
+    return spark.read.schema("value string, script string").text(path).select(F.col("script").cast("string").alias("script_id"), F.col("value").alias("line"))
+
+
+def a10_csv_files(spark, d):
+    """The table of suggestions of each script as a file, read back line by line."""
+    return _read_back(spark, exports.write_files(exports.suggestion_lines(_suggested(spark, d)), f"{shared_dir(spark)}/csv", mark=True))
+
+
+def a11_edit_files(spark, d):
+    """The edit list of each script as a file, read back line by line."""
+    s = adapter.shots(spark, d).join(adapter.sources(spark, d).select("source_id", "filename", F.col("workspace_id").alias("script_id")), "source_id").filter("shot_index < 2")
+    beat = F.row_number().over(W.partitionBy("script_id").orderBy(F.col("source_id").cast("long"), "shot_index")) - 1
+    frames = lambda c: (F.col(c) * 25).cast("int")
+    t = s.select("script_id", beat.cast("int").alias("beat"), "source_id", F.col("filename").alias("name"), frames("start_s").alias("source_in"), frames("duration_s").alias("frames"), frames("start_s").alias("from_frame"), frames("end_s").alias("to_frame"), F.col("script_id").alias("title"), F.when(F.col("shot_index") == 0, F.concat(F.lit("/media/"), "filename")).alias("media_path"), F.col("caption").alias("narration"), F.when(F.col("top_pick"), F.col("setting")).alias("reason"), F.col("shot_index").alias("gap_frames"))
+    return _read_back(spark, exports.write_files(exports.edit_lines(t, 25), f"{shared_dir(spark)}/edl"))
+
+
 def b10_resolve(spark, d):
     nodes = adapter.sources(spark, d).select(F.explode(F.array(F.regexp_extract("category", "^([^/]*)/", 1), F.regexp_extract("category", "^([^/]*/[^/]*)/", 1))).alias("path")).distinct()
     n = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -245,6 +277,16 @@ _STEMS = "list_transform(regexp_extract_all(lower({}), '[a-z0-9'']+'), lambda w:
 ORACLE = {
     "a7_contract": oracle("SELECT shot_id, CASE WHEN shot_index <> 6 THEN caption END AS caption, CASE WHEN shot_index <> 6 THEN CAST(len(tags) AS INT) END AS n_subjects, CASE WHEN shot_index <> 6 THEN confidence END AS confidence, shot_index = 6 AS corrupt FROM shots", "shots"),
     "a8_kinds": "SELECT conv_id AS script_id, CASE WHEN conv_id % 5 = 0 OR conv_id % 6 = 4 OR conv_id % 3 = 1 THEN 'vtt' WHEN conv_id % 3 = 0 THEN 'srt' ELSE 'plain' END AS kind FROM (SELECT DISTINCT conv_id FROM conversations)",
+    "a10_csv_files": oracle(f"""SELECT DISTINCT workspace_id AS script_id, '{",".join(exports.CELLS)}' AS line FROM sources UNION ALL
+        SELECT workspace_id, concat_ws(',', source_id::INT + 1, printf('%.3f', a), printf('%.3f', z), printf('%.3f', z - a), '"Say ""' || source_id || '"", then go"', coalesce(rank::VARCHAR, ''), CASE WHEN rank IS NULL THEN '' ELSE filename END, coalesce(format('{{:02d}}:{{:02d}}:{{:02d}}', floor(x / 3600)::BIGINT, floor(x % 3600 / 60)::BIGINT, floor(x % 60)::BIGINT), ''),
+            coalesce(printf('%.3f', x), ''), coalesce(printf('%.3f', n), ''), coalesce(shot_type, ''), coalesce(camera_movement, ''), coalesce(setting, ''), coalesce(array_to_string(mood, '; '), ''), chr(39) || CASE WHEN rank IS NULL THEN '@nothing' ELSE '=' || caption END, coalesce(printf('%.2f', confidence), ''), CASE WHEN shot_index = 1 THEN 'yes' ELSE '' END, '', CASE WHEN rank = 1 THEN '/media/' || filename ELSE '' END,
+            CASE WHEN rank = 1 THEN {_TC.format('CAST(a * 25 AS INT)')} ELSE '' END, CASE WHEN rank = 1 AND CAST(trunc(z - a - n) AS INT) > 0 THEN printf('%.2f', trunc(z - a - n) / 25) ELSE '' END, CASE WHEN rank = 1 THEN 'placed' WHEN rank > 1 THEN 'alternative' ELSE 'no good match' END)
+        FROM (SELECT source_id, workspace_id, filename, min(start_s) AS a, max(end_s) AS z FROM sources JOIN shots USING (source_id) GROUP BY ALL) LEFT JOIN (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY shot_index) AS rank, start_s AS x, duration_s AS n, shot_type, camera_movement, setting, mood, caption, confidence, shot_index FROM shots WHERE status <> 'failed') USING (source_id)""", "sources", "shots"),
+    "a11_edit_files": oracle(f""", t AS (SELECT workspace_id AS script_id, source_id, filename, shot_index, caption, top_pick, setting, CAST(start_s * 25 AS INT) AS a, CAST(end_s * 25 AS INT) AS z, CAST(shots.duration_s * 25 AS INT) AS n, row_number() OVER (PARTITION BY workspace_id ORDER BY CAST(source_id AS BIGINT), shot_index) AS beat FROM shots JOIN sources USING (source_id) WHERE shot_index < 2),
+        u AS (SELECT *, dense_rank() OVER (PARTITION BY script_id ORDER BY first) AS number FROM (SELECT *, min(beat) OVER (PARTITION BY script_id, source_id) AS first, max(beat) OVER (PARTITION BY script_id) AS last FROM t))
+        SELECT script_id, unnest(['TITLE: ' || script_id, 'FCM: NON-DROP FRAME', '']) AS line FROM (SELECT DISTINCT script_id FROM t) UNION ALL
+        SELECT script_id, unnest(list_filter([printf('%03d', beat) || '  TAKE' || format('{{:04d}}', number % 10000) || ' V     C        ' || {_TC.format('a')} || ' ' || {_TC.format('a + n')} || ' ' || {_TC.format('a')} || ' ' || {_TC.format('z')}, '* FROM CLIP NAME: ' || filename, CASE WHEN shot_index = 0 THEN '* SOURCE FILE: /media/' || filename END, '* BEAT: ' || caption[1:70],
+            CASE WHEN top_pick THEN '* REASON: ' || setting[1:70] END, CASE WHEN shot_index > 0 THEN '* GAP AFTER: 1 frames (0.0s) - clip is shorter than the beat' END, CASE WHEN beat < last THEN '' END], lambda x: x IS NOT NULL)) FROM u""", "sources", "shots"),
     "a11_edit_list": oracle(f"""SELECT script_id, row_number() OVER (PARTITION BY script_id ORDER BY beat) AS position, 'TAKE' || format('{{:04d}}', dense_rank() OVER (PARTITION BY script_id ORDER BY first) % 10000) AS reel,
         {_TC.format('a')} AS source_from, {_TC.format('a + n')} AS source_to, {_TC.format('a')} AS record_from, {_TC.format('z')} AS record_to, filename AS note FROM (
             SELECT *, min(beat) OVER (PARTITION BY script_id, source_id) AS first FROM (SELECT workspace_id || '-' || substr(source_id, 1, 2) AS script_id, source_id, filename, CAST(start_s * 25 AS INT) AS a, CAST(end_s * 25 AS INT) AS z, CAST(shots.duration_s * 25 AS INT) AS n,

@@ -7,8 +7,9 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from shotlake.llm import metric_trees, prefix_trie, toxicity
+from shotlake.llm import language_id, lm, metric_trees, mixing, prefix_trie, toxicity
 from tests.oracle import agree, connect
 
 SF = "/root/testdata/sf0.001"
@@ -238,3 +239,73 @@ def test_toxicity_held_out(spark):
     model = toxicity.train(changed, labels.filter(~toxicity.held_out()))
     again = {r["doc_id"]: r["score"] for r in toxicity.score(changed.select("doc_id", "text"), model).collect()}
     assert all(again[r["doc_id"]] == pytest.approx(r["score"]) for r in rows)
+
+
+def test_lm_keeps_other_columns(spark):
+    """Times to the microsecond, maps with numbers as keys, nulls, and columns named like results or helpers."""
+    docs = spark.createDataFrame([(1, "a b c", 7, 8, 9), (2, None, None, None, None), (3, "", 1, 2, 3)], "doc_id long, text string, score int, _row int, _rk int")
+    docs = docs.withColumn("at", F.when(F.col("doc_id") < 3, F.expr("TIMESTAMP '2024-01-01 00:00:00.123456'"))).withColumn("m", F.create_map(F.col("doc_id").cast("int"), F.lit("x")))
+    got = {r["doc_id"]: r for r in lm.score(docs, docs).collect()}
+    want = {r["doc_id"]: r for r in docs.collect()}
+    assert len(got) == 3
+    for k, r in got.items():
+        assert all(r[c] == want[k][c] for c in ("_row", "_rk", "at", "m")) and r["score"] < 0 and r["train_tokens"] == 6
+    assert got[1].__fields__.count("score") == 1 and "text" not in got[1].__fields__
+
+
+def test_language_prediction_against_exact_sets(spark):
+    """The filter's prediction against exact n-gram sets, counted one n-gram at a time."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = docs.collect()
+    train = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5 != 0 and r["lang"] is not None and r["text"]]
+    grams = lambda text: [g for w in re.findall(r"[^\W\d_]+", text.lower()) for m in [f"\0{w}\0"] for g in ([m] if len(m) < 4 else [m[i : i + 4] for i in range(len(m) - 3)])]
+    counts = defaultdict(lambda: defaultdict(int))
+    for r in train:
+        for g in grams(r["text"]):
+            counts[r["lang"]][g] += 1
+    total = {x: sum(c.values()) for x, c in counts.items()}
+    share = defaultdict(dict)
+    for x, c in counts.items():
+        for g, n in c.items():
+            if n / total[x] >= language_id.LEAST:
+                share[g][x] = n / total[x]
+    holds = {x: {g for g, s in share.items() if x in s and s[x] >= language_id.RARER * max(s.values())} for x in counts}
+    got = {r["doc_id"]: r for r in language_id.op3_language_id(spark, SF).collect()}
+    checked = agreed = 0
+    for r in rows:
+        g = grams(r["text"] or "")
+        if not g:
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        scores = {x: sum(q in holds[x] for q in g) / len(g) for x in holds}
+        best = max(scores.values())
+        checked += 1
+        agreed += got[r["doc_id"]]["lang_pred"] in {x for x, s in scores.items() if s >= best - 0.02} and abs(got[r["doc_id"]]["score"] - scores[got[r["doc_id"]]["lang_pred"]]) <= 0.05
+    assert checked > 100 and agreed == checked
+
+
+def test_mix_takes_what_the_schedule_says(spark):
+    """taken against the van der Corput schedule walked slot by slot: each source's slots, times the block, to a block or two."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = mixing.op1_mixing(spark, SF).collect()
+    size, target, taken = defaultdict(int), {}, defaultdict(int)
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    for r in rows:
+        s = source[r["doc_id"]]
+        size[s] += r["size"]
+        target[s] = r["target"]
+        taken[s] += r["taken"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    names = sorted(target, key=lambda s: (s is None, s or ""))
+    total, edges, at = sum(size.values()), [], 0.0
+    for s in names:
+        at += target[s] / sum(target.values())
+        edges.append(at)
+    m = 14
+    slots = defaultdict(int)
+    for i in range(1 << m):  # van der Corput points through cumulative shares
+        x = sum((i >> b & 1) / (2 << b) for b in range(m))
+        slots[names[min(len(names) - 1, next((j for j, e in enumerate(edges) if x < e), len(names) - 1))]] += 1
+    for s in names:
+        walked = slots[s] / (1 << m) * total
+        assert abs(taken[s] - walked) <= 2 * 64 + total * len(names) / (1 << m)

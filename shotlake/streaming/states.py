@@ -222,4 +222,5 @@ def pace_changes(measured: DataFrame, slow: float = 0.15, fast: float = 0.30) ->
     turn: Column = F.when(F.col("rate") < slow, "slow").when(F.col("rate") > fast, "fast")
     order = W.partitionBy("workspace_id").orderBy("start")
     turns = measured.withColumn("pace", turn).filter("pace IS NOT NULL")
-    return turns.filter(F.col("pace") != F.coalesce(F.lag("pace").over(order), F.lit("fast"))).select("workspace_id", "start", "pace")
+    turns = turns.withColumn("was", F.coalesce(F.lag("pace").over(order), F.lit("fast")))
+    return turns.filter(F.col("pace") != F.col("was")).select("workspace_id", "start", "pace")

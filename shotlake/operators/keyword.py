@@ -63,6 +63,26 @@ def frequencies(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count("*").alias("df"))
 
 
+#: A key counts as hot beyond this share of the rows, so fewer keys than 1 / HOT_SHARE are hot; rows of a hot key that one deal holds.
+HOT_SHARE, DEAL = 0.001, 100_000
+
+
+def meet(rows: DataFrame, wanted: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """rows joined to wanted by the keys; `count` says how many rows a key has, and is alike wherever the key stands in wanted.
+
+    The rows of a key with more than DEAL of them, and over HOT_SHARE of all wanted keys' rows, are dealt by a hash of their document; what is wanted of it goes to each deal.
+    """
+    sizes = wanted.groupBy(*keys).agg(F.max(count).alias("_n"))
+    least = max(DEAL, int((sizes.agg(F.sum("_n")).first()[0] or 0) * HOT_SHARE))
+    hot = keep(sizes.filter(F.col("_n") > least).select(*keys, F.ceil(F.col("_n") / DEAL).cast("int").alias("_deals")), "hot")
+    if hot.isEmpty():
+        return rows.join(wanted, keys)
+    hot = F.broadcast(hot)  # fewer than 1 / HOT_SHARE
+    left = rows.join(hot, keys, "left").withColumn("_deal", F.coalesce(F.pmod(F.xxhash64("doc"), F.col("_deals")), F.lit(0)).cast("int")).drop("_deals")
+    right = wanted.join(hot, keys, "left").withColumn("_deal", F.explode(F.sequence(F.lit(0), F.coalesce("_deals", F.lit(1)) - 1))).drop("_deals")
+    return left.join(right, [*keys, "_deal"]).drop("_deal")
+
+
 def bm25(queries: DataFrame, posts: DataFrame, lens: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
     """The k best documents for each query (query_id, term rows): query_id, rank, doc, score.
 
@@ -71,13 +91,15 @@ def bm25(queries: DataFrame, posts: DataFrame, lens: DataFrame, k: int, allowed:
     """
     stats = lens.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
     hits = posts.join(queries.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    if allowed is not None:
-        hits = hits.join(allowed, "doc", "left_semi")
-    hits = hits.join(lens.select("doc", "len"), "doc").join(df, "term").join(F.broadcast(stats))  # one row
+    df = frequencies(hits)
+    asked = keep(queries.select("query_id", "term").join(df, "term").join(F.broadcast(stats)), "asked")  # one row of statistics
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = queries.join(hits.select("term", "doc", part.alias("part")), "term").groupBy("query_id", "doc").agg(F.sum("part").alias("score"))
+    asked = asked.select("query_id", "term", "df", "avg_len", idf.alias("idf"))
+    if allowed is not None:
+        hits = hits.join(allowed.select("doc"), "doc", "left_semi")
+    met = meet(hits.select("term", "doc", "tf").join(lens.select("doc", "len"), "doc"), asked, ["term"], "df")
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    scored = met.groupBy("query_id", "doc").agg(F.sum(part).alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "doc", F.round("score", 6).alias("score"))
 
@@ -93,9 +115,14 @@ def coverage(queries: DataFrame, candidates: DataFrame, posts: DataFrame, n_docs
     return candidates.join(total, "query_id").join(got, ["query_id", "doc"], "left").select("query_id", "doc", F.round(F.coalesce(F.col("got") / F.col("total"), F.lit(0.0)), 6).alias("coverage"), F.coalesce("found", F.lit(0)).alias("found"), "words")
 
 
+def vocabulary_of(lexicon: DataFrame) -> DataFrame:
+    """(word, df) -> (word, n), without short words, numbers and stopwords."""
+    return lexicon.filter((F.length("word") > 2) & ~F.col("word").rlike("^[0-9]+$") & ~F.col("word").isin(STOPWORDS)).select("word", F.col("df").alias("n"))
+
+
 def vocabulary(posts: DataFrame) -> DataFrame:
     """(word, n): documents per word, without short words, numbers and stopwords."""
-    return frequencies(posts.filter((F.length("term") > 2) & ~F.col("term").rlike("^[0-9]+$") & ~F.col("term").isin(STOPWORDS))).select(F.col("term").alias("word"), F.col("df").alias("n"))
+    return vocabulary_of(frequencies(posts).withColumnRenamed("term", "word"))
 
 
 def max_edits(word: Column) -> Column:

@@ -3,7 +3,7 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shotlake.operators import facets, filters, folders, hybrid, keyword, vector
+from shotlake.operators import facets, filters, folders, hybrid, vector
 from shotlake.plans import search
 from shotlake.sources import adapter
 from shotlake.sources.adapter import oracle, read
@@ -71,7 +71,8 @@ def c11_filter_table(spark, d):
 
 
 def d4_document_frequency(spark, d):
-    return keyword.frequencies(keyword.postings(keyword.tokenised(search.docs(spark, d), "doc_id", {"text": 1.0})))
+    """Documents whose text has the term: the index tells which terms stand in the first column."""
+    return search._index(spark, d).postings.filter("in_first").groupBy(F.col("word").alias("term")).agg(F.count("*").alias("df"))
 
 
 def e6_latest_vectors(spark, d):

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shotlake.operators import engine, hybrid, keyword, vector
+from shotlake.operators import engine, hybrid, index, keyword, vector
 from shotlake.operators.stem import stems
 from shotlake.sources import adapter
 from shotlake.sources.adapter import oracle, read
@@ -28,8 +28,19 @@ def d1_query_tokens(spark, d):
     return read(spark, d, "benchmark").select("item_id", F.posexplode(keyword.query_tokens(F.col("text"))).alias("pos", "word"))
 
 
-def _tokens(spark, d, stemmed=False):
-    return keyword.tokenised(docs(spark, d), "doc_id", COLUMNS, stemmed)
+#: The indexes of a session by the folder and files they were made from.
+_BUILT: dict = {}
+
+
+def _index(spark: SparkSession, d: str) -> index.Index:
+    """The documents' index, made once for a session and a state of the table's files."""
+    m = F.col("_metadata")
+    files = read(spark, d, "documents").select(m["file_path"].alias("p"), m["file_size"].alias("s"), m["file_modification_time"].alias("t"))
+    state = files.agg(F.sum(F.xxhash64("p", "s", "t").cast("decimal(38,0)")), F.count("*")).first()
+    key = spark.sparkContext.applicationId, d, tuple(state)
+    if key not in _BUILT or not index.written(_BUILT[key]):
+        _BUILT[key] = index.build(docs(spark, d), "doc_id", COLUMNS)
+    return _BUILT[key]
 
 
 def d2_stems(spark, d):
@@ -39,29 +50,28 @@ def d2_stems(spark, d):
 
 
 def d3_postings(spark, d):
-    p = keyword.postings(_tokens(spark, d))
-    return p.groupBy("term").agg(F.count("*").alias("df"), F.round(F.sum("tf"), 4).alias("tf"), F.max("in_first").alias("in_text"))
+    return _index(spark, d).postings.groupBy(F.col("word").alias("term")).agg(F.count("*").alias("df"), F.round(F.sum("tf"), 4).alias("tf"), F.max("in_first").alias("in_text"))
 
 
 def d5_vocabulary(spark, d):
-    return keyword.vocabulary(keyword.postings(_tokens(spark, d)))
+    return _index(spark, d).vocabulary()
 
 
-def _bm25(spark, d, tokens, posts, q):
+def _bm25(spark, d, lengths, posts, q):
     allowed = read(spark, d, "documents").filter(F.col("lang").isin("en", "fr")).select(F.col("doc_id").alias("doc"))
-    return keyword.bm25(q, posts, tokens, 10, allowed)
+    return keyword.bm25(q, posts, lengths, 10, allowed)
 
 
 def d6_bm25_topk(spark, d):
-    tokens, q = _tokens(spark, d), terms(spark, d)
-    return _bm25(spark, d, tokens, keyword.postings(tokens, q), q).select(F.col("query_id").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+    built, q = _index(spark, d), terms(spark, d)
+    return _bm25(spark, d, built.lengths, built.of(q, False), q).select(F.col("query_id").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
 
 
 def d7_coverage(spark, d):
     """How much of its query each of the best documents covers."""
-    tokens, q = _tokens(spark, d), terms(spark, d)
-    posts = keep(keyword.postings(tokens, q), "postings")
-    return keyword.coverage(q, _bm25(spark, d, tokens, posts, q).select("query_id", "doc"), posts, tokens.count())
+    built, q = _index(spark, d), terms(spark, d)
+    posts = keep(built.of(q, False), "postings")
+    return keyword.coverage(q, _bm25(spark, d, built.lengths, posts, q).select("query_id", "doc"), posts, built.lengths.count())
 
 
 def d8_max_edits(spark, d):
@@ -193,10 +203,9 @@ def library(spark, d) -> engine.Library:
     """The documents as a library: languages stand for kinds of shot, sources for movements."""
     shot = F.create_map(*(F.lit(x) for x in ("en", "wide", "fr", "close_up", "de", "aerial", "es", "pov")))
     shots = read(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.coalesce(shot[F.col("lang")], F.lit("unknown")).alias("shot_type"), F.coalesce("source", F.lit("unknown")).alias("camera_movement"), "n_chars", (F.col("n_chars") % 3 == 0).alias("featured"))
-    vocabulary = keep(keyword.vocabulary(keyword.postings(_tokens(spark, d))), "vocabulary")
     known = spark.createDataFrame([(w,) for w in keyword.EXTRA_WORDS], "word string")
     vectors = keep(_vectors(spark, d).join(shots.select("doc"), "doc", "left_semi"), "vectors")
-    return engine.Library(_tokens(spark, d, True), vocabulary, known, vectors, shots, "Ann Lee")
+    return engine.Library(_index(spark, d), known, vectors, shots, "Ann Lee")
 
 
 def _item_queries(spark, d):

@@ -22,3 +22,9 @@ def keep(df: DataFrame, name: str, *by: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows anew if they come in fewer splits than there are cores, as from one small file; larger tables are left where they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

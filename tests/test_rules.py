@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from shotlake.operators import catalog, engine, facets, hybrid, keyword, quality, segments, transcript, vector
+from shotlake.operators import catalog, engine, facets, hybrid, index, quality, segments, transcript, vector
 
 
 def test_short_spans_join_what_is_before(spark):
@@ -90,9 +90,8 @@ def test_what_a_search_reads_out_of_a_query(spark):
     """A name filters and browses; kinds of shot are asked for in every field; queries without index words go by vector; browses are newest first."""
     docs = [(1, "a man on a tripod box", "wide", "static", True, "2024-01-01"), (2, "a man walks by the sea", "wide", "pan", True, "2024-03-01"), (3, "people eating lunch by the sea", "wide", "static", False, "2024-02-01"), (4, "boats at sea", "close_up", "static", False, "2024-04-01"), (5, "empty sea", None, None, None, None)]
     d = spark.createDataFrame(docs, "doc long, text string, shot_type string, camera_movement string, featured boolean, created_at string")
-    plain = keyword.tokenised(d, "doc", {"text": 1.0})
     v = d.select("doc", vector.normalised(F.array(F.col("doc").cast("double"), F.lit(1.0))).alias("v"))
-    lib = engine.Library(keyword.tokenised(d, "doc", {"text": 1.0}, True), keyword.vocabulary(keyword.postings(plain)), spark.createDataFrame([("footage",)], "word string"), v, d.drop("text"), "Ann Lee")
+    lib = engine.Library(index.build(d, "doc", {"text": 1.0}), spark.createDataFrame([("footage",)], "word string"), v, d.drop("text"), "Ann Lee")
     asked = ["Ann", "wide shot tripod", "show me some footage", "close-ups", "sea", "Ann by the sea", "", "Ann wide shot", "handheld"]
     q = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
     vectors = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(len(asked))], "query_id long, q array<double>")

@@ -178,7 +178,8 @@ def corrections(words: DataFrame, vocab: DataFrame) -> DataFrame:
             yield b.assign(edits=[osa_distance(w, c, m) for w, c, m in zip(b["word"], b["fixed"], b["most"], strict=True)])
 
     unknown = words.select("word").distinct().join(vocab.select("word"), "word", "left_anti").withColumn("most", max_edits(F.col("word"))).filter("most > 0")
-    left = unknown.select("word", "most", F.explode(_deletions(F.col("word"), F.col("most"))).alias("key"))
+    # written, so that Spark knows how small it is: the vocabulary's side, much larger, then need not be shuffled
+    left = keep(unknown.select("word", "most", F.explode(_deletions(F.col("word"), F.col("most"))).alias("key")), "misspelt")
     right = vocab.select(F.col("word").alias("fixed"), F.col("n"), F.explode(_deletions(F.col("word"), max_edits(F.col("word")))).alias("key"))
     pairs = left.join(right, "key").select("word", "most", "fixed", "n").distinct().withColumn("plain", F.levenshtein("word", "fixed"))
     swapped = (F.col("plain") > 1) & (F.col("plain") <= 2 * F.col("most"))

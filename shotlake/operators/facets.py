@@ -113,14 +113,16 @@ def ledger_totals(calls: DataFrame) -> DataFrame:
 def trailing_spend(calls: DataFrame, by: str, seconds: int = 86_400) -> DataFrame:
     """Each call with what its library spent in the trailing window, both ends included.
 
-    A library's calls are cut into stretches as long as the window; each stretch sees the one before it, so a library of
-    any size spreads over tasks.
+    A library's calls are cut into stretches as long as the window. A call sees its own stretch up to itself, and the one before it from
+    as far in on: two running sums, so that the work grows with the calls, whatever a window holds, and nothing is taken off a sum.
     """
-    t = F.unix_micros(F.col("at").cast("timestamp"))
-    mine = F.floor(t / (seconds * 1_000_000))
-    rows = calls.withColumn("_t", t).withColumn("_k", F.explode(F.array(mine, mine + 1))).withColumn("_own", F.col("_k") == mine)
-    w = W.partitionBy(by, "_k").orderBy("_t").rangeBetween(-seconds * 1_000_000, 0)
-    return rows.withColumn("spent", F.round(F.sum("cost_usd").over(w), 4)).filter("_own").drop("_t", "_k", "_own")
+    t, length = F.unix_micros(F.col("at").cast("timestamp")), seconds * 1_000_000
+    mine = F.floor(t / length)
+    rows = calls.withColumn("_u", F.pmod(t, F.lit(length))).withColumn("_k", F.explode(F.array(mine, mine + 1))).withColumn("_own", F.col("_k") == mine)
+    # a frame that runs to the end would be added up anew for each row, so the stretch before runs backwards
+    upto = lambda order, mask: F.sum(F.when(mask, F.col("cost_usd"))).over(W.partitionBy(by, "_k").orderBy(order).rangeBetween(W.unboundedPreceding, W.currentRow))
+    rows = rows.withColumn("_now", upto(F.col("_u"), F.col("_own"))).withColumn("_then", upto(F.desc("_u"), ~F.col("_own"))).filter("_own")
+    return rows.withColumn("spent", F.round(F.coalesce(F.col("_now") + F.col("_then"), "_now", "_then"), 4)).drop("_u", "_k", "_own", "_now", "_then")
 
 
 def price(kind: Column, tokens: Column, cached: Column, rates: dict[str, tuple[float, float]]) -> Column:

@@ -6,10 +6,10 @@ due though no new ones came. The batch forms run the same question as windows an
 """
 
 import pickle
-from collections import deque
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -20,6 +20,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 #: A file's two looks at the same size and time; refusals in a row that count, and how long nothing may have got through. Fixed values of the last two: 12 and 300.
 STREAK, QUIET_S = 12, 300
 DAY_US = 86_400 * 1_000_000
+#: Times that a fold takes before its rows are given out.
+CHUNK = 20_000
 
 
 def in_order(rows: DataFrame, key: str, columns: list[str], make: Callable, schema: str, at: str = "at", forget: str | None = None) -> DataFrame:
@@ -32,32 +34,31 @@ def in_order(rows: DataFrame, key: str, columns: list[str], make: Callable, sche
     gone = int(pd.Timedelta(forget).total_seconds() * 1000) if forget else None
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending, fold, last = pickle.loads(state.get[0]) if state.exists else ([], make(), 0)
+        pending, fold, last = pickle.loads(state.get[0]) if state.exists else (None, make(), 0)
         if not state.hasTimedOut:
-            for b in batches:
-                times = b[at].astype("datetime64[us]").astype("int64")
-                pending += list(zip(times.tolist(), *(b[c].tolist() for c in columns), strict=True))
-        mark = state.getCurrentWatermarkMs()
-        pending.sort(key=repr if any(None in r for r in pending) else None)
-        pending.sort(key=lambda r: r[0])
-        ready, found = 0, []
-        while ready < len(pending) and pending[ready][0] // 1000 < mark:
-            time, same = pending[ready][0], []
-            while ready < len(pending) and pending[ready][0] == time:
-                same.append(pending[ready][1:])
-                ready += 1
-            found += [(*k, *r) for r in fold.step(time, same)]
-            last = time // 1000
-        del pending[:ready]
-        if not pending and gone is not None and last + gone < mark:
+            new = [b[[at, *columns]].assign(**{at: b[at].astype("datetime64[us]").astype("int64")}) for b in batches if len(b)]
+            pending = pd.concat([x for x in (pending, *new) if x is not None and len(x)] or new, ignore_index=True) if new else pending
+        mark, ready = state.getCurrentWatermarkMs(), 0
+        if pending is not None and len(pending):
+            due = pending[at] // 1000 < mark
+            now, pending = pending[due].sort_values([at, *columns], na_position="first", ignore_index=True), pending[~due]
+            times, ready = now[at].to_numpy(), len(now)
+            starts = np.flatnonzero(np.r_[True, times[1:] != times[:-1]]) if ready else times
+            for some in range(0, len(starts), CHUNK):
+                bounds = [*starts[some : some + CHUNK].tolist(), int(starts[some + CHUNK]) if some + CHUNK < len(starts) else ready]
+                rows_ = list(zip(*(now[c].iloc[bounds[0] : bounds[-1]].tolist() for c in columns), strict=True))
+                found = [(*k, *r) for a, z in zip(bounds, bounds[1:]) for r in fold.step(int(times[a]), rows_[a - bounds[0] : z - bounds[0]])]
+                if found:
+                    yield pd.DataFrame(found, columns=out)
+            last = int(times[-1]) // 1000 if ready else last
+        held = pending is not None and len(pending) > 0
+        if not held and gone is not None and last + gone < mark:
             state.remove()
         else:
-            state.update((pickle.dumps((pending, fold, last)),))
-            wake = pending[0][0] // 1000 if pending else last + gone if gone is not None else None
+            state.update((pickle.dumps((pending if held else None, fold, last)),))
+            wake = int(pending[at].min()) // 1000 if held else last + gone if gone is not None else None
             if wake is not None:
                 state.setTimeoutTimestamp(max(wake, mark + 1))
-        if found:
-            yield pd.DataFrame(found, columns=out)
 
     return rows.select(key, at, *columns).groupBy(key).applyInPandasWithState(step, schema, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
 
@@ -98,16 +99,26 @@ def settled_stream(listings: DataFrame) -> DataFrame:
 
 
 class Trailing:
-    """Sums by time over the last day: one entry for each time that had a call, dropped when it is out of reach."""
+    """Sums by time over the last day, in two stacks: the later ones with their sum, the earlier ones each with the sum from it on.
+
+    An entry goes once from one to the other, so a call costs the same however many the day holds; nothing is taken off a sum, so no rounding gathers.
+    """
 
     def __init__(self):
-        self.entries = deque()
+        self.earlier, self.later, self.sum = [], [], 0.0
 
     def step(self, time: int, rows: list[tuple]) -> list[tuple]:
-        while self.entries and self.entries[0][0] < time - DAY_US:
-            self.entries.popleft()
-        self.entries.append((time, sum(cost for _, cost in rows)))
-        spent = sum(s for _, s in self.entries)  # added anew, so that no rounding gathers
+        self.later.append((time, sum(cost for _, cost in rows)))
+        self.sum += self.later[-1][1]
+        while (self.earlier[-1] if self.earlier else self.later[0])[0] < time - DAY_US:
+            if not self.earlier:
+                upto = 0.0
+                for t, s in reversed(self.later):
+                    upto += s
+                    self.earlier.append((t, upto))
+                self.later, self.sum = [], 0.0
+            self.earlier.pop()
+        spent = self.sum + (self.earlier[-1][1] if self.earlier else 0.0)
         return [(call_id, pd.Timestamp(time, unit="us"), round(spent, 4) + 0.0) for call_id, _ in rows]
 
 

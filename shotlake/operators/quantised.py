@@ -6,6 +6,7 @@ many cells it visits follows from recall measured against exact neighbours.
 """
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +22,8 @@ from shotlake.sources.stages import keep
 SAMPLE, MOST_CELLS, STEP = 4_000_000, 4096, 4
 #: Rows of a cell that one task looks at; queries whose tables it holds; rows looked at exactly per neighbour wanted.
 PART, BLOCK, AGAIN = 50_000, 128, 8
+#: Queries that meet a cell's rows in one group; rows or visits of a batch that a task hands on.
+ASKED, BATCH = 2048, 2048
 #: Queries that the number of visited cells is measured with, and the recall asked of the cells.
 MEASURED, RECALL = 200, 0.97
 
@@ -58,6 +61,10 @@ def _padded(points: np.ndarray, books: np.ndarray) -> np.ndarray:
     return np.pad(points, ((0, 0), (0, books.shape[0] * books.shape[2] - points.shape[1])))
 
 
+def _slices(rows: pd.DataFrame, size: int) -> Iterator[pd.DataFrame]:
+    return (rows.iloc[at : at + size] for at in range(0, len(rows), size))
+
+
 def build(vectors: DataFrame, cells: int | None = None) -> Lists:
     """Lists over vectors (doc, v), unit and of one length. The sample is bounded and drawn by a hash of doc; every row is in the lists."""
     vectors = keep(vectors.select("doc", "v"), "pq-vectors")
@@ -76,11 +83,12 @@ def build(vectors: DataFrame, cells: int | None = None) -> Lists:
     books = np.stack([np.resize(b, (256, STEP)) for p in range(parts) for b in [_means(left[:, p * STEP : (p + 1) * STEP], min(256, len(left)))]])
 
     def encode(batches):
-        for b in batches:
-            v = np.array(b["v"].tolist(), float).reshape(len(b), dim)
-            at = (v @ middles.T - (middles**2).sum(axis=1) / 2).argmax(axis=1)
-            code = _codes(_padded(v - middles[at], books), books)
-            yield pd.DataFrame({"cell": at.astype(np.int32), "doc": b["doc"], "code": [c.tobytes() for c in code]})
+        for whole in batches:
+            for b in _slices(whole, BATCH):
+                v = np.array(b["v"].tolist(), float).reshape(len(b), dim)
+                at = (v @ middles.T - (middles**2).sum(axis=1) / 2).argmax(axis=1)
+                code = _codes(_padded(v - middles[at], books), books)
+                yield pd.DataFrame({"cell": at.astype(np.int32), "doc": b["doc"], "code": [c.tobytes() for c in code]})
 
     kind = dict(vectors.dtypes)["doc"]
     coded = keep(vectors.mapInPandas(encode, f"cell int, doc {kind}, code binary"), "pq-coded")
@@ -98,12 +106,14 @@ def visits(lists: Lists, queries: DataFrame, probes: int, least: int = 0) -> Dat
     kind = dict(queries.dtypes)
 
     def near(batches):
-        for b in batches:
-            q = np.array(b["q"].tolist(), float).reshape(len(b), middles.shape[1])
-            order = np.argsort((middles**2).sum(axis=1) / 2 - q @ middles.T, axis=1, kind="stable")
-            held = np.cumsum(counts[order], axis=1) - counts[order]
-            row, turn = np.nonzero((np.arange(len(middles)) < probes) | (held < least))
-            yield pd.DataFrame({"query_id": b["query_id"].to_numpy()[row], "q": b["q"].to_numpy()[row], "cell": order[row, turn].astype(np.int32), "turn": turn.astype(np.int32)})
+        for whole in batches:
+            # a query leaves with its vector for every cell it visits, so a batch of queries is much larger when it leaves
+            for b in _slices(whole, max(1, BATCH // max(1, min(probes, len(middles))))):
+                q = np.array(b["q"].tolist(), float).reshape(len(b), middles.shape[1])
+                order = np.argsort((middles**2).sum(axis=1) / 2 - q @ middles.T, axis=1, kind="stable")
+                held = np.cumsum(counts[order], axis=1) - counts[order]
+                row, turn = np.nonzero((np.arange(len(middles)) < probes) | (held < least))
+                yield pd.DataFrame({"query_id": b["query_id"].to_numpy()[row], "q": b["q"].to_numpy()[row], "cell": order[row, turn].astype(np.int32), "turn": turn.astype(np.int32)})
 
     return queries.select("query_id", "q").mapInPandas(near, f"query_id {kind['query_id']}, q {kind['q']}, cell int, turn int")
 
@@ -157,7 +167,12 @@ def search(lists: Lists, queries: DataFrame, k: int) -> DataFrame:
 
     queries = keep(queries.select("query_id", "q"), "pq-queries")
     asks = visits(lists, queries, lists.probes, k).join(F.broadcast(lists.sizes), "cell").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    rough = asks.select("query_id", "q", "cell", "salt").groupBy("cell", "salt").cogroup(lists.rows.groupBy("cell", "salt")).applyInPandas(cell, f"query_id {kind[1]}, doc {kind[0]}, about double")
+    # a cell may be visited by nearly all queries: they are dealt, and each deal meets the cell's rows
+    deals = max(1, -(-queries.count() // ASKED))
+    asks = asks.select("query_id", "q", "cell", "salt", F.pmod(F.xxhash64("query_id"), F.lit(deals)).cast("int").alias("deal"))
+    rows = lists.rows.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+    keys = ["cell", "salt", "deal"]
+    rough = asks.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(cell, f"query_id {kind[1]}, doc {kind[0]}, about double")
     first = rough.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("about"), "doc"))).filter(F.col("r") <= most).select("query_id", "doc")
     sure = first.join(queries, "query_id").join(lists.vectors, "doc").withColumn("score", vector.dot(F.col("q"), F.col("v")))
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "doc")

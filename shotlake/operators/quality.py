@@ -69,13 +69,23 @@ def _stems(text: Column) -> Column:
 
 def mentioned(term: Column, text: Column) -> Column:
     """Whether the term has words, and each, cut to five letters, is a word of the text cut so."""
-    words, have = _stems(term), _stems(text)
-    return (F.size(words) > 0) & F.forall(words, lambda w: F.array_contains(have, w))
+    return mentioned_in(term, _stems(text))
+
+
+def mentioned_in(term: Column, have: Column) -> Column:
+    """As mentioned(), by the text's words, cut already: a lambda works out what it holds anew for each element."""
+    words = _stems(term)
+    return (F.size(words) > 0) & (F.size(F.array_except(words, have)) == 0)
+
+
+def mentions(text: Column, use) -> Column:
+    """use(the text's cut words), which are worked out once for a row, not once for each element of a list in it."""
+    return F.element_at(F.transform(F.array(_stems(text)), use), 1)
 
 
 def supported(tags: Column, text: Column, stop: tuple) -> Column:
     """Distinct tags that the text bears out, without stop words."""
-    return F.filter(F.array_distinct(tags), lambda t: ~t.isin(*stop) & mentioned(t, text))
+    return mentions(text, lambda have: F.filter(F.array_distinct(tags), lambda t: ~t.isin(*stop) & mentioned_in(t, have)))
 
 
 def evidence(tags: Column, themes: Column, text: Column, stop: tuple, names: tuple, concepts: tuple, allowed: tuple) -> tuple[Column, Column]:

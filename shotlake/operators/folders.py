@@ -79,6 +79,8 @@ def client_tree(shots: DataFrame, leaves: DataFrame, review: str = "To review",
     unsorted one. Shots not in doubt also lie in their folder and secondary ones that are leaves, but for the file's home; starred shots in
     the picks. All of it hangs under the prefix, which may be null. Nulls are no folders, no doubt, no star.
     """
+    # written: three sides read the shots, which may be costly to make
+    shots = keep(shots.select("source_id", "shot_id", "shot_index", "duration_s", "category", "secondary", "doubt", "top_pick", "prefix"), "tree-shots")
     w = W.partitionBy("source_id").orderBy(F.desc("duration_s"), "shot_index")
     known = leaves.select(F.col("path").alias("folder")).distinct()
     doubt = F.coalesce("doubt", F.lit(False)) & F.lit(route)

@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 from shotlake.operators import keyword
 from shotlake.operators.versions import Commits
+from shotlake.sources.stages import keep
 
 #: Segments of one size class that are merged, and the documents of the smallest class.
 FAN, SMALLEST = 4, 1000
+#: Bytes of text whose words a task counts at a time, and postings of a file: splits go by packed bytes, and postings pack well.
+TEXT_BYTES, FILE_POSTS = 4_000_000, 250_000
 
 
 class Segmented:
@@ -38,12 +41,13 @@ class Segmented:
         """Of these segments, the newest word on each document, and its postings."""
         docs, posts = self._tables(segments)
         last = docs.groupBy("doc").agg(F.max_by(F.struct("seq", "len", "gone"), "seq").alias("x")).select("doc", "x.*")
-        return last, posts.join(last.filter("NOT gone").select("doc", "seq"), ["doc", "seq"], "left_semi")
+        # postings stream past the documents of their partition, without being sorted
+        return last, posts.join(last.filter("NOT gone").select("doc", "seq").hint("shuffle_hash"), ["doc", "seq"], "left_semi")
 
     def _put(self, docs: DataFrame, posts: DataFrame, oldest: int, newest: int) -> tuple:
         path = f"{self.folder}/segments/{uuid.uuid4().hex}"
         docs.select("doc", "seq", "len", "gone").write.parquet(f"{path}/docs")
-        posts.select("doc", "seq", "term", "tf", "in_first").write.parquet(f"{path}/posts")
+        posts.select("doc", "seq", "term", "tf", "in_first").write.option("maxRecordsPerFile", FILE_POSTS).parquet(f"{path}/posts")
         return path, self.spark.read.schema(self.docs_schema).parquet(f"{path}/docs").count(), oldest, newest
 
     def apply(self, changes: DataFrame, batch: int | None = None, deleted: str = "deleted", at: str = "at") -> int:
@@ -56,15 +60,25 @@ class Segmented:
         if seq <= version:
             return version
         segments = [tuple(r) for r in rows if r["path"]]
-        held = F.struct(*(F.col(c) for c in self.columns), F.coalesce(F.col(deleted), F.lit(False)).alias("gone"))
-        last = changes.groupBy(F.col(self.doc).alias("doc")).agg(F.max_by(held, at).alias("x")).select("doc", "x.*")
-        tokens = keyword.tokenised(last.filter("NOT gone"), "doc", self.columns, self.stemmed)
-        docs = tokens.select("doc", F.lit(seq).alias("seq"), "len", F.lit(False).alias("gone")).unionByName(last.filter("gone").select("doc", F.lit(seq).alias("seq"), F.lit(0).alias("len"), "gone"))
-        new = self._put(docs, keyword.postings(tokens).withColumn("seq", F.lit(seq)), seq, seq)
+        counted = self._counted(changes, deleted, at)
+        docs = counted.groupBy("doc").agg(F.sum("n").cast("int").alias("len"), F.max("gone").alias("gone")).withColumn("seq", F.lit(seq))
+        new = self._put(docs, counted.filter("term IS NOT NULL").withColumn("seq", F.lit(seq)), seq, seq)
         segments += [new] if new[1] else []
         self.commits.put(seq, self._merged(segments) or [(None, 0, 0, 0)])
         return seq
 
+    def _counted(self, changes: DataFrame, deleted: str, at: str) -> DataFrame:
+        """A written stage (term, doc, tf, in_first, n, gone) of the latest change of each document; one without words, or gone, has a row with a null term.
+
+        Texts are dealt by document into parts of about TEXT_BYTES, and each part's words are counted where it lies, so a task's memory does not grow with the batch.
+        """
+        size = changes.agg(F.sum(sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c in self.columns), F.lit(0)).cast("long"))).first()[0] or 0
+        held = F.struct(*(F.col(c) for c in self.columns), F.coalesce(F.col(deleted), F.lit(False)).alias("gone"))
+        rows = changes.select(F.col(self.doc).alias("doc"), held.alias("x"), F.col(at).alias("_at")).repartition(1 + size // TEXT_BYTES, "doc")
+        last = rows.groupBy("doc").agg(F.max_by("x", "_at").alias("x")).select("doc", "x.*")
+        words = last.select("doc", "gone", F.explode_outer(F.when(~F.col("gone"), keyword.terms(self.columns, self.stemmed))).alias("t")).select("doc", "gone", "t.*")
+        return keep(words.groupBy("term", "doc").agg(F.sum("w").alias("tf"), F.max("f").alias("in_first"), F.count("term").alias("n"), F.max("gone").alias("gone")), "segment-words", most=FILE_POSTS)
+
     def _merged(self, segments: list) -> list:
         while True:
             tiers: dict[int, list] = {}
